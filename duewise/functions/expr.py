@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
@@ -61,3 +61,12 @@ def lookup(key: Column, table: dict[str, object], default: object = None) -> Col
     for name, value in table.items():
         out = F.when(key == name, F.lit(value)) if out is None else out.when(key == name, F.lit(value))
     return out.otherwise(F.lit(default)) if default is not None else out
+
+
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator, so that later filters and projections reuse the computed value.
+
+    Without it the optimizer copies an expensive expression into every place that refers to it. No shuffle.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))

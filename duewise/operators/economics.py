@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duewise import params as P
-from duewise.functions.expr import clip_probability, lookup
+from duewise.functions.expr import clip_probability, fixed, lookup
 
 
 def uplift(action: str, amount: Column, cause: Column, confidence: Column) -> Column:
@@ -115,10 +115,10 @@ def decide(context: DataFrame, now_utc: Column) -> DataFrame:
     ranked = ranking(
         p, amount, F.col("prior_contact_count"), F.col("is_disputed"), F.col("root_cause_label"), F.col("root_cause_confidence")
     )
-    rows = context.withColumn("ranking", ranked)
-    rows = rows.withColumn("proposed_action", recommended(F.col("ranking"), p, amount))
+    rows = fixed(context, ranking=ranked)
+    rows = fixed(rows, proposed_action=recommended(F.col("ranking"), p, amount))
     action = F.col("proposed_action")
-    rows = rows.withColumn("policy_rule", policy_rule(action, now_utc))
+    rows = fixed(rows, policy_rule=policy_rule(action, now_utc))
     return rows.withColumns(policy_outcome(F.col("policy_rule"), action))
 
 

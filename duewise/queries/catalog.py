@@ -1,6 +1,6 @@
 """All registered queries. Importing the modules registers them."""
 
-from duewise.queries import features  # noqa: F401
+from duewise.queries import decisions, features  # noqa: F401
 from duewise.queries.registry import SPECS
 
 
