@@ -1,6 +1,6 @@
 """All registered queries. Importing the modules registers them."""
 
-from duewise.queries import decisions, experiment, features, retrieval  # noqa: F401
+from duewise.queries import decisions, experiment, features, modelling, retrieval  # noqa: F401
 from duewise.queries.registry import SPECS
 
 

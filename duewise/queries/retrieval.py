@@ -11,6 +11,7 @@ from duewise.operators import features as FE
 from duewise.operators import retrieval as R
 from duewise.queries.registry import query
 from duewise.queries.sqlviews import AS_OF, fdays, r, sql, view
+from duewise.session import materialise
 from duewise.sources.driver_tables import read_raw
 
 # The checks
@@ -119,12 +120,14 @@ def _disputed(x, rows, key):
 
 
 def corpus_vectors(x):
-    return _with_vector(x, _disputed(x, corpus(x), "invoice_id"), "invoice_id", lambda k: k)
+    """The stored case table: retrieval reads a written corpus, as it reads it several times."""
+    rows = _with_vector(x, _disputed(x, corpus(x), "invoice_id"), "invoice_id", lambda k: k)
+    return materialise(rows.drop("action_types", "status", "delay_days", "customer_id", "merchant_id"), "corpus")
 
 
 def live_queries(x):
     rows = _disputed(x, C.case_queries(FE.live_features(x.d), x.as_of), "query_id")
-    return _with_vector(x, rows, "query_id", lambda k: k * 7 + 3)
+    return materialise(_with_vector(x, rows, "query_id", lambda k: k * 7 + 3), "queries")
 
 
 def document_corpus(x):
@@ -236,11 +239,11 @@ def retrieve(x):
   FROM top_sample t JOIN invoices i ON i.id = t.query_id JOIN customers a ON a.id = i.customer_id
   JOIN invoices j ON j.id = t.doc_id JOIN customers b ON b.id = j.customer_id"""))
 def cohesion(x):
-    features = FE.recovery_features(x.d)
+    features = materialise(FE.recovery_features(x.d), "features")
     order = F.md5(F.concat_ws(":", F.lit(str(P.SEED)), F.col("invoice_id").cast("string")))
     sample = features.orderBy(order, "invoice_id").limit(60)
     rows = C.case_queries(sample).withColumn("is_disputed", F.lit(False))
-    rows = _with_vector(x, rows, "query_id", lambda k: k * 7 + 3)
+    rows = materialise(_with_vector(x, rows, "query_id", lambda k: k * 7 + 3), "queries")
     found = R.hybrid_retrieve(rows, corpus_vectors(x), exclude_self=True)
     truth = FE.with_archetype(features, x.d.customers).select("invoice_id", "archetype")
     return R.archetype_cohesion(found, rows, truth)

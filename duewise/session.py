@@ -15,6 +15,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def build_session(app: str = "duewise", cores: str = "*", **conf: str) -> SparkSession:
@@ -25,7 +26,7 @@ def build_session(app: str = "duewise", cores: str = "*", **conf: str) -> SparkS
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
     )
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

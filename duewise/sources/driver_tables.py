@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from duewise import params as P
 from duewise.functions.expr import hash_prefix, lookup, plus_days, rnd, to_ntz
@@ -39,8 +40,15 @@ def _cents(price):
     return F.floor(price * 100.0 + 0.5).cast("bigint")
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Schema inference opens a file footer; it is done once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
