@@ -1,6 +1,6 @@
 """All registered queries. Importing the modules registers them."""
 
-from duewise.queries import decisions, experiment, features, lifecycle, modelling, retrieval, stored  # noqa: F401
+from duewise.queries import decisions, experiment, features, lifecycle, modelling, models, retrieval, stored  # noqa: F401
 from duewise.queries.registry import SPECS
 
 
