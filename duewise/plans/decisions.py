@@ -82,6 +82,11 @@ def strategy_summary(outcomes: DataFrame) -> DataFrame:
         F.sum("cost").alias("total_cost"),
         F.sum("friction").alias("total_friction"),
     )
+    names = outcomes.sparkSession.range(1).select(
+        F.explode(F.array(F.lit(P.BASELINE_STRATEGY), F.lit(P.ENGINE_STRATEGY))).alias("strategy")
+    )
+    # A strategy without invoices still has its row, with zeros.
+    totals = names.join(totals, "strategy", "left").na.fill(0)
     return totals.withColumns({
         "net_expected_recovered": F.col("gross_expected_recovered") - F.col("total_cost") - F.col("total_friction"),
         "recovery_rate": F.when(F.col("total_amount") != 0, F.col("gross_expected_recovered") / F.col("total_amount")).otherwise(0.0),
