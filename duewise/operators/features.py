@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from duewise import params as P
 from duewise.functions.expr import cents, floor_days, money, plus_days, ratio, to_ntz
-from duewise.operators.history import history_facts, known_history, query_points, rolling_features
+from duewise.operators.history import history_facts, known_history, query_points, rolling_columns
+from duewise.session import materialise
 from duewise.sources.tables import Domain, live_pool, organic_history, visible_customers
 
 
@@ -53,47 +54,36 @@ def static_features(rows: DataFrame) -> DataFrame:
 
 
 def feature_rows(
-    d: Domain, population: DataFrame, scope: DataFrame, cutoff: Column, *, keep: list[str],
-    query_id: str = "invoice_id", midnight: bool = True, own_may_be_known: bool = False,
+    d: Domain, points: DataFrame, facts: DataFrame, *, keep: list[str], midnight: bool = True, own_may_be_known: bool = False,
 ) -> DataFrame:
-    """Static and rolling features of ``population``, with history drawn from the invoices in ``scope``.
+    """Static and rolling features of the query points, with history drawn from ``facts``.
 
-    ``population`` carries invoice columns (key renamed to ``invoice_id``), its key ``query_id`` and ``cutoff``.
+    A point carries its own columns through the history joins, so no join puts the two halves together again.
     """
-    facts = history_facts(scope, d.promises, d.actions)
-    asked = population.select(*dict.fromkeys([query_id, "invoice_id"]), cutoff.alias("cutoff"))
-    own = facts.join(asked, "invoice_id")
-    points = query_points(own, F.col("cutoff"), query_id)
-    history = known_history(points, facts, midnight=midnight, own_may_be_known=own_may_be_known)
-    rows = star(population.withColumn("cutoff", cutoff), d.customers, d.merchants)
-    rows = rows.withColumn("query_id", F.col(query_id))
-    paid = paid_as_of(rows, d.payments)
-    base = static_features(rows.join(paid, "query_id", "left"))
-    rolled = rolling_features(
-        history.join(rows.select("query_id", "relationship_start_date"), "query_id")
-    )
+    rows = star(points.join(paid_as_of(points, d.payments), "query_id", "left"), d.customers, d.merchants)
+    known = known_history(rows, facts, midnight=midnight, own_may_be_known=own_may_be_known)
     features = [*P.NUMERIC_FEATURES, *P.CATEGORICAL_FEATURES]
-    ids = ["invoice_id", "customer_id", "merchant_id"]
-    out = base.join(rolled, "query_id")
-    return out.select(*dict.fromkeys([*ids, *keep, *features]))
+    out = static_features(known).withColumns(rolling_columns())
+    return out.select(*dict.fromkeys(["invoice_id", "customer_id", "merchant_id", *keep, *features]))
 
 
-def _keyed(invoices: DataFrame) -> DataFrame:
-    return invoices.withColumnRenamed("id", "invoice_id")
+def stored_facts(d: Domain, invoices: DataFrame) -> DataFrame:
+    """One narrow row per invoice, written once: every later step reads it instead of the raw tables."""
+    return materialise(history_facts(invoices, d.promises, d.actions), "facts")
 
 
 def recovery_features(d: Domain) -> DataFrame:
     """One row per resolved organic invoice, as of its due date, seeing only organic history."""
-    past = organic_history(d.invoices, d.payments)
-    keep = ["invoice_number", "due_date", "issue_date", "status", "paid_at"]
-    return feature_rows(d, _keyed(past), past, to_ntz(F.col("due_date")), keep=keep)
+    facts = stored_facts(d, organic_history(d.invoices, d.payments))
+    points = query_points(facts, to_ntz(F.col("due_date")))
+    return feature_rows(d, points, facts, keep=["invoice_number", "due_date", "issue_date", "status", "paid_at"])
 
 
 def live_features(d: Domain) -> DataFrame:
     """One row per open invoice, as of its due date, seeing all invoices of its customer."""
-    live = live_pool(d.invoices)
-    keep = ["invoice_number", "due_date", "issue_date", "status"]
-    return feature_rows(d, _keyed(live), d.invoices, to_ntz(F.col("due_date")), keep=keep)
+    facts = stored_facts(d, d.invoices)
+    points = query_points(live_pool(facts), to_ntz(F.col("due_date")))
+    return feature_rows(d, points, facts, keep=["invoice_number", "due_date", "issue_date", "status"])
 
 
 def promise_cutoffs(promises: DataFrame, actions: DataFrame) -> DataFrame:
@@ -106,32 +96,28 @@ def promise_cutoffs(promises: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def _promise_rows(promises: DataFrame, invoices: DataFrame) -> DataFrame:
+def _promise_points(promises: DataFrame, facts: DataFrame) -> DataFrame:
     p = promises.select(
         F.col("id").alias("promise_id"), "invoice_id", "promised_date", "source", F.col("status").alias("promise_status"), "T"
     )
-    return p.join(_keyed(invoices), "invoice_id")
+    keep = ["promise_id", "promised_date", "source", "promise_status", "T"]
+    return query_points(p.join(facts, "invoice_id"), F.col("T"), "promise_id", keep)
 
 
 def promise_features(d: Domain) -> DataFrame:
     """One row per kept or broken promise on organic history, as of its cutoff T."""
-    past = organic_history(d.invoices, d.payments)
-    closed = d.promises.filter(F.col("status").isin("kept", "broken"))
-    rows = _promise_rows(promise_cutoffs(closed, d.actions), past)
-    rows = rows.withColumn("kept", (F.col("promise_status") == "kept").cast("int"))
+    facts = stored_facts(d, organic_history(d.invoices, d.payments))
+    closed = promise_cutoffs(d.promises.filter(F.col("status").isin("kept", "broken")), d.actions)
+    points = _promise_points(closed, facts).withColumn("kept", (F.col("promise_status") == "kept").cast("int"))
     keep = ["promise_id", "T", "promised_date", "source", "kept"]
-    return feature_rows(
-        d, rows, past, F.col("T"), keep=keep, query_id="promise_id", midnight=False, own_may_be_known=True
-    )
+    return feature_rows(d, points, facts, keep=keep, midnight=False, own_may_be_known=True)
 
 
 def live_promise_features(d: Domain, promises: DataFrame) -> DataFrame:
     """Features of just-made promises at ``T`` (their event time), seeing all invoices of the customer."""
-    rows = _promise_rows(promises, d.invoices)
+    facts = stored_facts(d, d.invoices)
     keep = ["promise_id", "T", "promised_date", "source"]
-    return feature_rows(
-        d, rows, d.invoices, F.col("T"), keep=keep, query_id="promise_id", midnight=False, own_may_be_known=True
-    )
+    return feature_rows(d, _promise_points(promises, facts), facts, keep=keep, midnight=False, own_may_be_known=True)
 
 
 # Labels

@@ -21,6 +21,7 @@ from duewise.functions.expr import cents, floor_days, money, plus_days, ratio, t
 from duewise.operators.prefix import before, strict_prefix
 
 SUMS = ["n", "paid", "written_off", "delay", "cents", "promises", "kept", "escalations"]
+BASE = ["customer_id", "invoice_number", "amount", "issue_date", "due_date", "status", "paid_at"]
 WINDOW_SUMS = ["n", "paid", "late", "delay", "promises", "kept"]
 
 
@@ -53,7 +54,7 @@ def history_facts(invoices: DataFrame, promises: DataFrame, actions: DataFrame)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     touches = touch_counts(promises, actions).withColumnRenamed("invoice_id", "id")
     return invoices.join(touches, "id", "left").select(
-        F.col("id").alias("invoice_id"), "customer_id", "issue_date", "due_date", resolved_at().alias("resolved_at"),
+        F.col("id").alias("invoice_id"), *BASE, resolved_at().alias("resolved_at"),
         F.lit(1).cast("bigint").alias("n"),
         paid.cast("bigint").alias("paid"),
         off.cast("bigint").alias("written_off"),
@@ -64,12 +65,11 @@ def history_facts(invoices: DataFrame, promises: DataFrame, actions: DataFrame)
     )
 
 
-def query_points(facts: DataFrame, cutoff: Column, query_id: str = "invoice_id") -> DataFrame:
+def query_points(facts: DataFrame, cutoff: Column, query_id: str = "invoice_id", keep: list[str] = ()) -> DataFrame:
     """Query points about invoices of ``facts`` themselves; the own measures ride along to be taken out later."""
-    own = ["issue_date", "resolved_at", "late", *SUMS, "due_date"]
     return facts.select(
-        F.col(query_id).alias("query_id"), "customer_id", cutoff.alias("cutoff"),
-        *[F.col(c).alias(f"own_{c}") for c in own],
+        F.col(query_id).alias("query_id"), "invoice_id", *BASE, *keep, cutoff.alias("cutoff"),
+        *[F.col(c).alias(f"own_{c}") for c in ["resolved_at", "late", *SUMS]],
     )
 
 
@@ -113,28 +113,29 @@ def _day_timeline(points: DataFrame, facts: DataFrame, resolved: DataFrame, own_
     same_day = ["issued", "last_issue", "prev_issue"]
     return running.filter("asked = 1").select(
         "customer_id", "day",
-        *[F.col(before(c)).alias(c) for c in [*SUMS, "issued", "top", "second", "last_issue", "prev_issue"]],
-        *[F.col(c).alias(f"same_{c}") for c in same_day],
+        *[F.col(before(c)).alias(f"h_{c}") for c in [*SUMS, "issued", "top", "second", "last_issue", "prev_issue"]],
+        *[F.col(c).alias(f"h_same_{c}") for c in same_day],
     )
 
 
-def _recent_windows(points: DataFrame, resolved: DataFrame) -> DataFrame:
+def _recent_windows(points: DataFrame, resolved: DataFrame, keys: list[str]) -> DataFrame:
     """Totals over events due inside the last 90 / 180 days and known before the query day."""
     span = P.RECENT_LONG_DAYS
     cells = resolved.groupBy("customer_id", "due_date", "day").agg(*[F.sum(c).alias(c) for c in WINDOW_SUMS]).select(
         "customer_id", F.col("due_date").alias("due"), F.col("day").alias("known"), *WINDOW_SUMS,
         F.floor(F.unix_date("due_date") / span).cast("int").alias("bucket"),
     )
-    asked = points.select("customer_id", "day", "late_cut").distinct()
+    asked = points.select(*keys).distinct()
+    late_cut = F.col("late_cut") if "late_cut" in keys else F.lit(0)
     home = F.floor(F.unix_date("day") / span).cast("int")
     buckets = asked.withColumn("bucket", F.explode(F.array(home, home - 1)))
     joined = buckets.join(cells, ["customer_id", "bucket"]).filter(
-        (F.col("known") < F.col("day")) & (F.col("due") >= F.date_sub(F.col("day"), F.lit(span) - F.col("late_cut")))
+        (F.col("known") < F.col("day")) & (F.col("due") >= F.date_sub(F.col("day"), F.lit(span) - late_cut))
     )
-    short = F.col("due") >= F.date_sub(F.col("day"), F.lit(P.RECENT_SHORT_DAYS) - F.col("late_cut"))
-    return joined.groupBy("customer_id", "day", "late_cut").agg(
-        *[F.sum(c).alias(f"long_{c}") for c in WINDOW_SUMS],
-        *[F.sum(F.when(short, F.col(c)).otherwise(0)).alias(f"short_{c}") for c in ["n", "paid", "late"]],
+    short = F.col("due") >= F.date_sub(F.col("day"), F.lit(P.RECENT_SHORT_DAYS) - late_cut)
+    return joined.groupBy(*keys).agg(
+        *[F.sum(c).alias(f"h_long_{c}") for c in WINDOW_SUMS],
+        *[F.sum(F.when(short, F.col(c)).otherwise(0)).alias(f"h_short_{c}") for c in ["n", "paid", "late"]],
     )
 
 
@@ -162,12 +163,12 @@ def _own_day_part(points: DataFrame, resolved: DataFrame, own_may_be_known: bool
     running = strict_prefix(rows, ["customer_id", "day"], "at", sums=sums, top_two=[("top", "second")])
     return running.filter("asked = 1").select(
         "customer_id", "day", F.col("at").alias("cutoff"),
-        *[F.col(before(c)).alias(f"near_{c}") for c in [*sums, "top", "second"]],
+        *[F.col(before(c)).alias(f"h_near_{c}") for c in [*sums, "top", "second"]],
     )
 
 
 def known_history(points: DataFrame, facts: DataFrame, *, midnight: bool, own_may_be_known: bool) -> DataFrame:
-    """Raw history measures per query point, own invoice taken out.
+    """Points with raw history measures (``h_`` columns), own invoice taken out.
 
     ``midnight`` says every cutoff is a date, which drops the own-day part. ``own_may_be_known`` must be true unless the
     cutoff is the invoice's own due date, where the own outcome cannot be known yet.
@@ -176,72 +177,78 @@ def known_history(points: DataFrame, facts: DataFrame, *, midnight: bool, own_ma
     marked = points.select("*", day.alias("day"), (F.col("cutoff") > to_ntz(day)).cast("int").alias("late_cut"))
     resolved = facts.filter(F.col("resolved_at").isNotNull()).withColumn("day", F.to_date("resolved_at"))
     timeline = _day_timeline(marked, facts, resolved, own_may_be_known)
-    recent = _recent_windows(marked, resolved)
-    out = marked.join(timeline, ["customer_id", "day"]).join(recent, ["customer_id", "day", "late_cut"], "left")
+    by_day = ["customer_id", "day"]
+    if midnight:
+        # Both parts are one row per customer and day; joined first, they cost the wide points one shuffle.
+        out = marked.join(timeline.join(_recent_windows(marked, resolved, by_day), by_day, "left"), by_day)
+    else:
+        recent = _recent_windows(marked, resolved, [*by_day, "late_cut"])
+        out = marked.join(timeline, by_day).join(recent, [*by_day, "late_cut"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    h = lambda c: F.col(f"h_{c}")
     wide = [f"long_{c}" for c in WINDOW_SUMS] + [f"short_{c}" for c in ["n", "paid", "late"]]
     if not midnight:
         out = out.join(_own_day_part(marked, resolved, own_may_be_known), ["customer_id", "day", "cutoff"], "left")
-        near = lambda c: F.coalesce(F.col(f"near_{c}"), F.lit(0))
-        out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) + near(c) for c in [*SUMS, *wide]})
-        both = F.when(F.col("top").isNotNull() & F.col("near_top").isNotNull(), F.least("top", "near_top"))
-        out = out.withColumns({
-            "second": F.greatest(both, "second", "near_second"), "top": F.greatest("top", "near_top"),
-        })
+        both = F.when(h("top").isNotNull() & h("near_top").isNotNull(), F.least(h("top"), h("near_top")))
         timed = F.col("late_cut") == 1
-        had = F.col("same_issued") > 0
+        had = timed & (h("same_issued") > 0)
         out = out.withColumns({
-            "prev_issue": F.when(timed & had, F.coalesce(F.col("same_prev_issue"), F.col("last_issue"))).otherwise(F.col("prev_issue")),
-            "last_issue": F.when(timed & had, F.col("same_last_issue")).otherwise(F.col("last_issue")),
-            "issued": F.when(timed, F.col("issued") + F.col("same_issued")).otherwise(F.col("issued")),
+            **{f"h_{c}": zero(f"h_{c}") + zero(f"h_near_{c}") for c in [*SUMS, *wide]},
+            "h_second": F.greatest(both, h("second"), h("near_second")),
+            "h_top": F.greatest(h("top"), h("near_top")),
+            "h_prev_issue": F.when(had, F.coalesce(h("same_prev_issue"), h("last_issue"))).otherwise(h("prev_issue")),
+            "h_last_issue": F.when(had, h("same_last_issue")).otherwise(h("last_issue")),
+            "h_issued": F.when(timed, h("issued") + h("same_issued")).otherwise(h("issued")),
         })
     else:
-        out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in wide})
+        out = out.withColumns({f"h_{c}": zero(f"h_{c}") for c in wide})
     return _without_own(out, own_may_be_known)
 
 
 def _without_own(out: DataFrame, own_may_be_known: bool) -> DataFrame:
-    own_issued = to_ntz(F.col("own_issue_date")) < F.col("cutoff")
-    out = out.withColumns({
-        "last_issue": F.when(own_issued & (F.col("own_issue_date") == F.col("last_issue")), F.col("prev_issue")).otherwise(F.col("last_issue")),
-        "issued": F.col("issued") - own_issued.cast("int"),
-    })
-    if not own_may_be_known:
-        return out
-    known = F.coalesce(F.col("own_resolved_at") < F.col("cutoff"), F.lit(False))
-    due = to_ntz(F.col("own_due_date"))
-    changes = {c: F.col(c) - F.when(known, F.col(f"own_{c}")).otherwise(0) for c in SUMS}
-    for name, days in {"long": P.RECENT_LONG_DAYS, "short": P.RECENT_SHORT_DAYS}.items():
-        inside = known & (due >= F.col("cutoff") - F.make_dt_interval(F.lit(days)))
-        for c in WINDOW_SUMS if name == "long" else ["n", "paid", "late"]:
-            changes[f"{name}_{c}"] = F.col(f"{name}_{c}") - F.when(inside, F.col(f"own_{c}")).otherwise(0)
-    changes["top"] = F.when(known & (F.col("own_cents") == F.col("top")), F.col("second")).otherwise(F.col("top"))
+    own_issued = to_ntz(F.col("issue_date")) < F.col("cutoff")
+    last = F.col("h_last_issue")
+    changes = {
+        "h_last_issue": F.when(own_issued & (F.col("issue_date") == last), F.col("h_prev_issue")).otherwise(last),
+        "h_issued": F.col("h_issued") - own_issued.cast("int"),
+    }
+    if own_may_be_known:
+        known = F.coalesce(F.col("own_resolved_at") < F.col("cutoff"), F.lit(False))
+        less = lambda h, when, c: F.col(h) - F.when(when, F.col(f"own_{c}")).otherwise(0)
+        changes |= {f"h_{c}": less(f"h_{c}", known, c) for c in SUMS}
+        for name, days in {"long": P.RECENT_LONG_DAYS, "short": P.RECENT_SHORT_DAYS}.items():
+            inside = known & (to_ntz(F.col("due_date")) >= F.col("cutoff") - F.make_dt_interval(F.lit(days)))
+            for c in WINDOW_SUMS if name == "long" else ["n", "paid", "late"]:
+                changes[f"h_{name}_{c}"] = less(f"h_{name}_{c}", inside, c)
+        top = F.col("h_top")
+        changes["h_top"] = F.when(known & (F.col("own_cents") == top), F.col("h_second")).otherwise(top)
     return out.withColumns(changes)
 
 
-def rolling_features(history: DataFrame) -> DataFrame:
-    """Feature columns from the raw history measures; needs ``relationship_start_date``."""
-    n, paid = F.col("n"), F.col("paid")
+def rolling_columns() -> dict[str, Column]:
+    """Feature columns from the raw measures; also needs ``cutoff`` and ``relationship_start_date``."""
+    h = lambda c: F.col(f"h_{c}")
+    n, paid = h("n"), h("paid")
     some = n > 0
     months = floor_days(to_ntz(F.col("relationship_start_date")), F.col("cutoff")) / 30.0
-    return history.select(
-        "query_id",
-        some.alias("has_prior_history"),
-        n.alias("prior_invoice_count"),
-        paid.alias("prior_paid_count"),
-        F.col("written_off").alias("prior_written_off_count"),
-        ratio(paid, n).alias("prior_payment_rate"),
-        ratio(F.col("delay"), paid).alias("prior_avg_delay_days"),
-        (ratio(F.col("cents"), n) / 100.0).alias("prior_avg_amount"),
-        money(F.col("cents")).alias("prior_total_amount"),
-        F.when(some, money(F.col("top"))).alias("prior_max_amount"),
-        F.col("promises").alias("prior_promise_count"),
-        ratio(F.col("kept"), F.col("promises")).alias("prior_promise_kept_rate"),
-        ratio(F.col("escalations"), n).alias("prior_escalation_touches_avg"),
-        floor_days(to_ntz(F.col("last_issue")), F.col("cutoff")).cast("double").alias("prior_days_since_last_invoice"),
-        F.when(months > 0, F.col("issued") / months).alias("customer_invoice_frequency"),
-        ratio(F.col("short_paid"), F.col("short_n")).alias("recent_90d_payment_rate"),
-        ratio(F.col("short_late"), F.col("short_n")).alias("recent_90d_late_rate"),
-        ratio(F.col("long_paid"), F.col("long_n")).alias("recent_180d_payment_rate"),
-        ratio(F.col("long_delay"), F.col("long_paid")).alias("recent_180d_avg_delay_days"),
-        ratio(F.col("long_kept"), F.col("long_promises")).alias("recent_180d_ptp_keep_rate"),
-    )
+    return {
+        "has_prior_history": some,
+        "prior_invoice_count": n,
+        "prior_paid_count": paid,
+        "prior_written_off_count": h("written_off"),
+        "prior_payment_rate": ratio(paid, n),
+        "prior_avg_delay_days": ratio(h("delay"), paid),
+        "prior_avg_amount": ratio(h("cents"), n) / 100.0,
+        "prior_total_amount": money(h("cents")),
+        "prior_max_amount": F.when(some, money(h("top"))),
+        "prior_promise_count": h("promises"),
+        "prior_promise_kept_rate": ratio(h("kept"), h("promises")),
+        "prior_escalation_touches_avg": ratio(h("escalations"), n),
+        "prior_days_since_last_invoice": floor_days(to_ntz(h("last_issue")), F.col("cutoff")).cast("double"),
+        "customer_invoice_frequency": F.when(months > 0, h("issued") / months),
+        "recent_90d_payment_rate": ratio(h("short_paid"), h("short_n")),
+        "recent_90d_late_rate": ratio(h("short_late"), h("short_n")),
+        "recent_180d_payment_rate": ratio(h("long_paid"), h("long_n")),
+        "recent_180d_avg_delay_days": ratio(h("long_delay"), h("long_paid")),
+        "recent_180d_ptp_keep_rate": ratio(h("long_kept"), h("long_promises")),
+    }

@@ -166,18 +166,17 @@ def _best_of_tile(lists: tuple[str, ...], k: int):
         order = np.argsort(-stack, axis=2, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(1, len(ids) + 1)[None, None, :], axis=2)
-        fused = (1.0 / (P.RRF_K + rank)).sum(axis=0)
-        found = []
-        for i in range(len(q)):
-            if whole[i]:
-                usable = np.flatnonzero(np.isfinite(stack[0, i]))
-                keep = usable[np.argsort(-fused[i, usable], kind="stable")[:k]]
-            else:
-                keep = np.unique(order[:, i, :bound])
-                keep = keep[np.isfinite(stack[0, i, keep])]
-            columns = [np.repeat(q["query_id"].iat[i], len(keep)), ids[keep], *stack[:, i, keep], *rank[:, i, keep]]
-            found.append(pd.DataFrame(dict(zip(names, columns))))
-        return pd.concat(found, ignore_index=True)
+        if whole.all():
+            fused = np.where(np.isfinite(stack[0]), (1.0 / (P.RRF_K + rank)).sum(axis=0), -1.0)
+            rows = np.repeat(np.arange(len(q)), min(k, len(ids)))
+            keep = np.argsort(-fused, axis=1, kind="stable")[:, :k].ravel()
+        else:
+            near = [np.unique(order[:, i, :bound]) for i in range(len(q))]
+            rows, keep = np.repeat(np.arange(len(q)), [len(n) for n in near]), np.concatenate(near)
+        usable = np.isfinite(stack[0, rows, keep])
+        rows, keep = rows[usable], keep[usable]
+        columns = [q["query_id"].to_numpy()[rows], ids[keep], *stack[:, rows, keep], *rank[:, rows, keep]]
+        return pd.DataFrame(dict(zip(names, columns)))
 
     return run
 

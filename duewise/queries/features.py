@@ -103,20 +103,19 @@ def kept_label(x):
 
 
 def _live_history(x):
-    facts = H.history_facts(x.d.invoices, x.d.promises, x.d.actions)
-    live_ids = S.live_pool(x.d.invoices).select(F.col("id").alias("invoice_id"))
-    points = H.query_points(facts.join(live_ids, "invoice_id", "left_semi"), to_ntz(F.col("due_date")))
+    facts = FE.stored_facts(x.d, x.d.invoices)
+    points = H.query_points(S.live_pool(facts), to_ntz(F.col("due_date")))
     return H.known_history(points, facts, midnight=True, own_may_be_known=False)
 
 
 @query("O050_prior_resolved_join", sql("""SELECT qid AS invoice_id, n AS n_prior, coalesce(cents, 0)::BIGINT AS prior_cents FROM hist_live"""))
 def prior_resolved(x):
-    return _live_history(x).select(F.col("query_id").alias("invoice_id"), F.col("n").alias("n_prior"), F.col("cents").alias("prior_cents"))
+    return _live_history(x).select("invoice_id", F.col("h_n").alias("n_prior"), F.col("h_cents").alias("prior_cents"))
 
 
 @query("O051_prior_issued_join", sql(f"SELECT qid AS invoice_id, issued::BIGINT AS n_issued, {day('last_issue')} AS last_issue FROM issued_live"))
 def prior_issued(x):
-    return _live_history(x).select(F.col("query_id").alias("invoice_id"), F.col("issued").alias("n_issued"), "last_issue")
+    return _live_history(x).select("invoice_id", F.col("h_issued").alias("n_issued"), F.col("h_last_issue").alias("last_issue"))
 
 
 @query("O052_star_enrichment", sql("""SELECT i.id AS invoice_id, m.id AS merchant_id, c.segment AS customer_segment, c.industry AS customer_industry,
@@ -130,7 +129,8 @@ def star(x):
 @query("O053_prior_promises_actions", sql("""SELECT qid AS invoice_id, promises::BIGINT AS promises, coalesce(kept, 0)::BIGINT AS kept,
   coalesce(escalations, 0)::BIGINT AS escalations FROM hist_live"""))
 def prior_touches(x):
-    return _live_history(x).select(F.col("query_id").alias("invoice_id"), "promises", "kept", "escalations")
+    touches = [F.col(f"h_{c}").alias(c) for c in ("promises", "kept", "escalations")]
+    return _live_history(x).select("invoice_id", *touches)
 
 
 @query("O054_paid_as_of_cutoff", sql(f"SELECT qid AS invoice_id, {r('paid_cents / 100.0', 2)} AS paid FROM paidto_live WHERE paid_cents > 0"), digits=2)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duewise.operators import features as FE
-from duewise.operators.history import history_facts, known_history, query_points, rolling_features
+from duewise.operators.history import history_facts, known_history, query_points, rolling_columns
 from duewise.sources.schema import TABLES
 from duewise.sources.tables import Domain
 
@@ -111,7 +111,8 @@ def rolled(spark, invoices, promises, actions, cutoffs, **kind):
     asked = spark.createDataFrame(cutoffs, "qid BIGINT, invoice_id BIGINT, cutoff TIMESTAMP_NTZ")
     points = query_points(facts.join(asked, "invoice_id"), F.col("cutoff"), "qid")
     starts = spark.createDataFrame(STARTS, "customer_id BIGINT, relationship_start_date DATE")
-    out = rolling_features(known_history(points, facts, **kind).join(starts, "customer_id"))
+    known = known_history(points, facts, **kind).join(starts, "customer_id")
+    out = known.select("query_id", *[c.alias(n) for n, c in rolling_columns().items()])
     return {row["query_id"]: row.asDict() for row in out.collect()}
 
 
