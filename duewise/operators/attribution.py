@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duewise import params as P
-from duewise.functions.expr import cents, lookup, plus_days, ratio, rnd, to_ntz
+from duewise.functions.expr import cents, lookup, ratio, rnd
 from duewise.operators.prefix import before, chunked_prefix
 from duewise.sources.tables import Domain
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duewise import params as P
-from duewise.functions.expr import cents, lookup, plus_days, to_ntz
+from duewise.functions.expr import cents, lookup, to_ntz
 from duewise.operators.prefix import chunked_lag
 
 _PAYMENTS = ["payment.received", "payment.partial"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duewise import params as P
-from duewise.functions.expr import cents, hash_prefix, lookup, to_ntz
+from duewise.functions.expr import cents, hash_prefix
 from duewise.sources.tables import Domain
 
 

@@ -8,11 +8,10 @@ from duewise import params as P
 from duewise.functions.expr import clip_probability, rnd
 from duewise.operators import economics as E
 from duewise.operators.context import decision_context, is_disputed
-from duewise.operators.features import with_archetype
 from duewise.plans import decisions as PD
 from duewise.queries import sqldecisions  # noqa: F401
 from duewise.queries.registry import query
-from duewise.queries.sqlviews import fdays, r, rr, sql, ts
+from duewise.queries.sqlviews import r, rr, sql
 from duewise.sources.driver_tables import with_probability
 from duewise.sources.tables import live_pool
 

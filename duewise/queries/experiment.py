@@ -13,6 +13,7 @@ from duewise.plans import experiment as X
 from duewise.queries.decisions import decisions
 from duewise.queries.registry import query
 from duewise.queries.sqlviews import AS_OF, day, md5_prefix, r, rr, sql, ts, view
+from duewise.session import materialise
 from duewise.sources.driver_tables import outcome_draws, with_probability
 
 _DRAW = md5_prefix("'outcome:' || a.invoice_id", 8)
@@ -65,7 +66,8 @@ def outcomes(x):
 
 
 def rows(x):
-    return X.experiment_rows(x.d, with_probability, outcome_draws, x.as_of, x.now_utc)
+    """The stored experiment: records are written once and every report reads them."""
+    return materialise(X.experiment_rows(x.d, with_probability, outcome_draws, x.as_of, x.now_utc), "experiment")
 
 
 @query("O004_attribution_load", sql(f"""SELECT invoice_id, treatment_group, action, counterfactual_action, segment, archetype, {r('amount', 2)} AS amount,

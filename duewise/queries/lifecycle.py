@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duewise import params as P
-from duewise.operators import audit
 from duewise.operators import events as EV
-from duewise.queries.features import live_promises
 from duewise.queries.registry import query
-from duewise.queries.sqlviews import AS_OF, case, md5_prefix, r, sql, ts, view
+from duewise.queries.sqlviews import AS_OF, case, r, sql, ts, view
 from duewise.session import new_path
 from duewise.sources.driver_tables import account_events_from
 from duewise.streaming import accounts as ST

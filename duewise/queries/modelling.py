@@ -9,7 +9,7 @@ from duewise.operators import metrics as M
 from duewise.operators import sampling as SP
 from duewise.operators.features import promise_cutoffs, recovery_label, with_archetype
 from duewise.queries.registry import query
-from duewise.queries.sqlviews import fdays, r, rr, sql, ts, view
+from duewise.queries.sqlviews import fdays, r, sql, view
 from duewise.sources.driver_tables import with_probability
 from duewise.sources.tables import organic_history
 

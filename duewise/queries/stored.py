@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duewise import params as P
-from duewise.functions.expr import money, rnd
 from duewise.operators import attribution as A
 from duewise.operators import audit
 from duewise.operators import features as FE
 from duewise.operators import quality as Q
 from duewise.operators import reads
+from duewise.operators.sampling import assign_arms
 from duewise.plans import decisions as PD
+from duewise.plans.experiment import population
 from duewise.queries.decisions import decisions
-from duewise.queries.experiment import outcomes, rows as experiment_rows
-from duewise.queries.features import live_promises
+from duewise.queries.experiment import rows as experiment_rows
 from duewise.queries.registry import query
 from duewise.queries.retrieval import corpus
-from duewise.queries.sqlviews import AS_OF, day, feature_columns, r, rr, sql, ts, view
+from duewise.queries.sqlviews import AS_OF, day, r, rr, sql, ts, view
 from duewise.session import new_path
 from duewise.sources import sinks
 
@@ -262,9 +262,6 @@ _listed = f"invoice_id, invoice_number, customer_name, segment, {r('amount', 2)}
 
 
 def listed(x):
-    from duewise.operators.sampling import assign_arms
-    from duewise.plans.experiment import population
-
     return reads.scored_invoices(x.d, assign_arms(population(x.d, x.as_of)))
 
 

@@ -5,7 +5,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from duewise import params as P
 from duewise.operators import retrieval as R
