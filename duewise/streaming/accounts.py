@@ -17,6 +17,7 @@ from duewise.sources import sinks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 REVIEW_MICROS = P.COOLDOWN_DAYS * 86_400_000_000
+REVIEW_STATES = list(P.REVIEW_TIMEOUT_STATES)
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
@@ -31,36 +32,41 @@ def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 TRANSITION = "event_id BIGINT, invoice_id BIGINT, next_state STRING, state_transition_path STRING"
 
 
-class PromiseMemory(StatefulProcessor):
-    """Remembers per account whether it rests in a promise, and wakes quiet accounts for review.
+def promise_memory() -> StatefulProcessor:
+    """The processor, as a local class: it travels by value, so the streaming runner needs no package of ours."""
 
-    Both possible outcomes of an event arrive as columns; the processor only knows which one holds.
-    """
+    class PromiseMemory(StatefulProcessor):
+        """Remembers per account whether it rests in a promise, and wakes quiet accounts for review.
+
+        Both possible outcomes of an event arrive as columns; the processor only knows which one holds.
+        """
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.rests = handle.getValueState("rests", "rests boolean")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rests = handle.getValueState("rests", "rests boolean")
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows), ignore_index=True).sort_values(["occurred_at", "event_id"], ignore_index=True)
+            stored = self.rests.get() if self.rests.exists() else (False,)
+            was = batch["rests"].shift(1, fill_value=bool(stored[0])).astype(bool)
+            batch["next_state"] = batch["state_otherwise"].mask(was, batch["state_after_promise"])
+            batch["state_transition_path"] = batch["path_otherwise"].mask(was, batch["path_after_promise"])
+            last = batch.iloc[-1]
+            self.rests.update((bool(last["rests"]),))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if last["next_state"] in REVIEW_STATES:
+                self.handle.registerTimer(int(last["event_micros"] + REVIEW_MICROS) // 1000)
+            yield batch[["event_id", "invoice_id", "next_state", "state_transition_path"]]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["occurred_at", "event_id"], ignore_index=True)
-        stored = self.rests.get() if self.rests.exists() else (False,)
-        was = batch["rests"].shift(1, fill_value=bool(stored[0])).astype(bool)
-        batch["next_state"] = batch["state_otherwise"].mask(was, batch["state_after_promise"])
-        batch["state_transition_path"] = batch["path_otherwise"].mask(was, batch["path_after_promise"])
-        last = batch.iloc[-1]
-        self.rests.update((bool(last["rests"]),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if last["next_state"] in P.REVIEW_TIMEOUT_STATES:
-            self.handle.registerTimer(int(last["event_micros"] + REVIEW_MICROS) // 1000)
-        yield batch[["event_id", "invoice_id", "next_state", "state_transition_path"]]
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            due = {"event_id": [None], "invoice_id": [key[0]], "next_state": [None], "state_transition_path": ["review.timeout"]}
+            yield pd.DataFrame(due)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = {"event_id": [None], "invoice_id": [key[0]], "next_state": [None], "state_transition_path": ["review.timeout"]}
-        yield pd.DataFrame(due)
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return PromiseMemory()
 
 
 def stream_transitions(events: DataFrame) -> DataFrame:
@@ -74,7 +80,7 @@ def stream_transitions(events: DataFrame) -> DataFrame:
         rests_in_promise().alias("rests"), *_outcome("after_promise", True), *_outcome("otherwise", False),
     )
     return rows.groupBy("invoice_id").transformWithStateInPandas(
-        statefulProcessor=PromiseMemory(), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime",
+        statefulProcessor=promise_memory(), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime",
     )
 
 
