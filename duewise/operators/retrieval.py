@@ -83,10 +83,12 @@ def bm25_query_weights(asked: DataFrame, cases: DataFrame, exclude_self: bool) -
                            (F.col("length") / F.col("n")).alias("avgdl"))
     else:
         less = F.col("n") - 1
-        whole = df.groupBy("pool").agg(F.sum(_idf(less, F.col("df"))).alias("idf_sum"), F.count(F.lit(1)).alias("n_terms"))
+        # A word of every case, the own one included, counts n - 1 times without it; n would leave the logarithm undefined.
+        capped = _idf(less, F.least(F.col("df"), less))
+        whole = df.groupBy("pool").agg(F.sum(capped).alias("idf_sum"), F.count(F.lit(1)).alias("n_terms"))
         mine = asked.join(cases.withColumnRenamed("doc_id", "query_id"), ["query_id", "pool"])
         own = mine.select("query_id", "pool", F.explode(F.array_distinct("tokens")).alias("term")).withColumn("own", F.lit(1))
-        shift = F.when(F.col("df") > 1, _idf(less, F.col("df") - 1)).otherwise(0.0) - _idf(less, F.col("df"))
+        shift = F.when(F.col("df") > 1, _idf(less, F.col("df") - 1)).otherwise(0.0) - capped
         moved = own.join(df, ["pool", "term"]).groupBy("query_id").agg(
             F.sum(shift).alias("shift"), F.count_if(F.col("df") == 1).alias("gone")
         )

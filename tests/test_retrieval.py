@@ -89,6 +89,12 @@ def test_equals_brute_force_without_the_own_case(spark, blocks):
     check(spark, corpus[:12], corpus, 5, exclude=True, **blocks)
 
 
+def test_own_case_is_taken_out_of_words_that_every_case_has(spark):
+    rng = random.Random(17)
+    corpus = [(c[0], f"segment industry {c[1]}", *c[2:]) for c in (make(rng, i) for i in range(150))]
+    check(spark, corpus[:10], corpus, 5, exclude=True)
+
+
 def test_many_equal_cases_keep_exact_ranks(spark):
     rng = random.Random(13)
     one = make(rng, 0)
