@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from duewise.llm import packing, records
+from duewise.llm import mixing, packing, records
 from duewise.llm.common import read_table
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    return mixed.withColumn("position", F.round("position", 6))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(read_table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,6 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_token_records, op10_best_two_fit)
+    f.__name__: f for f in (op1_mix_sources, op8_token_records, op10_best_two_fit)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE}
