@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duewise.llm import mixing, packing, records, secrets, topk
+from duewise.llm import langid, mixing, packing, records, secrets, topk
 from duewise.llm.common import read_table
 
 
@@ -25,6 +25,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,6 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op4_secret_scan, op6_exact_top_k, op8_token_records, op10_best_two_fit)
+    f.__name__: f for f in (op1_mix_sources, op4_secret_scan, op6_exact_top_k, op7_language_id, op8_token_records, op10_best_two_fit)
 }
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op6_exact_top_k": topk.ORACLE}
