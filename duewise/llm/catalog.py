@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duewise.llm import langid, mixing, packing, records, secrets, topk
+from duewise.llm import fingerprint, langid, mixing, packing, records, secrets, topk
 from duewise.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("position", F.round("position", 6))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,6 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op4_secret_scan, op6_exact_top_k, op7_language_id, op8_token_records, op10_best_two_fit)
+    f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op4_secret_scan, op6_exact_top_k, op7_language_id, op8_token_records, op10_best_two_fit)
 }
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op6_exact_top_k": topk.ORACLE}
