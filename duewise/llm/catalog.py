@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duewise.llm import fingerprint, langid, mixing, packing, records, secrets, topk
+from duewise.llm import fingerprint, langid, mixing, neardup, packing, records, secrets, topk
 from duewise.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op5_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
@@ -42,6 +46,6 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op4_secret_scan, op6_exact_top_k, op7_language_id, op8_token_records, op10_best_two_fit)
+    f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op4_secret_scan, op5_hyperminhash_dedup, op6_exact_top_k, op7_language_id, op8_token_records, op10_best_two_fit)
 }
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op6_exact_top_k": topk.ORACLE}
