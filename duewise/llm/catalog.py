@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duewise.llm import fingerprint, langid, mixing, neardup, packing, records, secrets, topk
+from duewise.llm import fingerprint, langid, mixing, neardup, packing, records, secrets, substrings, topk
 from duewise.llm.common import read_table
 
 
@@ -41,11 +41,15 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(read_table(spark, sf_dir, "documents"))
 
 
+def op9_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated_words(read_table(spark, sf_dir, "documents"))
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op4_secret_scan, op5_hyperminhash_dedup, op6_exact_top_k, op7_language_id, op8_token_records, op10_best_two_fit)
+    f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op4_secret_scan, op5_hyperminhash_dedup, op6_exact_top_k, op7_language_id, op8_token_records, op9_de_bruijn_dedup, op10_best_two_fit)
 }
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op6_exact_top_k": topk.ORACLE}
