@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duewise.llm import fingerprint, langid, mixing, neardup, packing, records, secrets, substrings, topk
+from duewise.llm import fingerprint, langid, mixing, neardup, packing, quality, records, secrets, substrings, topk
 from duewise.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op4_secret_scan, op5_hyperminhash_dedup, op6_exact_top_k, op7_language_id, op8_token_records, op9_de_bruijn_dedup, op10_best_two_fit)
+    f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op3_kneser_ney_quality, op4_secret_scan, op5_hyperminhash_dedup, op6_exact_top_k, op7_language_id, op8_token_records, op9_de_bruijn_dedup, op10_best_two_fit)
 }
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op6_exact_top_k": topk.ORACLE}
