@@ -213,7 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int =
     overall = held.agg(at).first()["threshold"]
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in by_language.items() if k is not None], F.lit(overall).cast("double"))
     fine = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return scored.withColumn("threshold", limit * F.exp(spread / F.sqrt("n_signs"))).withColumn("kept", fine)
+    return scored.withColumn("threshold", limit * F.exp(spread / F.sqrt(F.greatest("n_signs", F.lit(1))))).withColumn("kept", fine)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

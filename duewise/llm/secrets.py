@@ -183,11 +183,19 @@ def redacted(text: str | None, words_path: str, min_bits: float = MIN_BITS) -> s
 
 
 def redact(docs: DataFrame, words_path: str | None = None, min_bits: float = MIN_BITS) -> DataFrame:
-    """All rows and columns, secrets in ``text`` replaced."""
+    """All rows and columns, secrets in ``text`` replaced; ``n_chars``, if there is one, follows a changed text."""
     path = words_path or default_tokenizer()
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redacted(t, path, min_bits), na_action="ignore")
-
-    return docs.select(*[clean(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+        return texts.map(lambda t: redacted(t, path, min_bits), na_action="ignore").astype(object)
+
+    done = docs.withColumn("_clean", clean(F.col("text").cast("string")))
+    length = lambda kind: F.when(F.col("_clean").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_clean")).cast(kind)
+    out = []
+    for f in docs.schema.fields:
+        if f.name == "text":
+            out.append(F.col("_clean").alias("text"))
+        else:
+            out.append(length(f.dataType).alias("n_chars") if f.name == "n_chars" else F.col(f"`{f.name}`"))
+    return done.select(*out)
