@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     def cut(batches):
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(file).stream(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(file).stream(batch.column(1)), strict=True):
                 ids = np.append(np.frombuffer(ids, encoder(file).dtype), end_id)
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]

@@ -7,7 +7,7 @@ record is
 
 and the payload is a presence byte and the document's id (8 bytes, signed), the width of an id in bytes (1), the ids. All
 numbers are little-endian. A mask rotates a crc32 by 15 bits and adds a constant, so that a checksum over bytes that hold
-checksums stays sound. A folder ``index`` holds, as parquet, a row for each record: ``shard`` (the file's number),
+checksums stays sound. A folder ``index`` holds, as parquet, a row for each record (``places``: the same without ``start``): ``shard`` (the file's number),
 ``offset``, ``length`` (of the whole record), ``doc_id``, ``n_tokens`` and ``start`` (ids of all records before it), so that
 shuffled reads fetch records without reading what lies between.
 
@@ -33,7 +33,8 @@ from duewise.llm.tokens import default_tokenizer, encoder, ids_crc32
 
 MASK = 0xA282EAD8
 END_ID = 2
-BYTES_OF_TEXT = 32 << 20
+BYTES_OF_TEXT = 16 << 20
+BYTES_AT_ONCE = 1 << 20
 _HEAD = struct.Struct("<QI")
 _DOC = struct.Struct("<?qB")
 _CRC = struct.Struct("<I")
@@ -82,19 +83,23 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
         end = b"" if tail is None else np.array([tail], enc.dtype).tobytes()
         width = enc.dtype.itemsize
         for batch in batches:
-            ids = enc.stream(batch.column(1).to_pylist())
-            made = [frame(payload(d, x + end, width)) for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
-            for i in range(0, len(made), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(made[i : i + 500], pa.binary())], ["record"])
+            made, held = [], 0
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.stream(batch.column(1)), strict=True):
+                made.append(frame(payload(doc_id, ids + end, width)))
+                held += len(made[-1])
+                if held > BYTES_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
+                    made, held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = rows.repartitionByRange(max(1, -(-size // bytes_of_text)), "doc_id").sortWithinPartitions("doc_id", "text")
     lines = ordered.mapInArrow(frames, "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", "\n").option("compression", "none").text(f"{path}/data")
-    scanned = scan_records(docs.sparkSession, path)
-    scanned.drop("ids_crc32").write.parquet(f"{path}/index_of_shards")
-    with_starts(docs.sparkSession.read.parquet(f"{path}/index_of_shards")).write.parquet(f"{path}/index")
+    scan_records(docs.sparkSession, path).drop("ids_crc32").write.parquet(f"{path}/places")
+    places = docs.sparkSession.read.parquet(f"{path}/places")
+    with_starts(places, places).write.parquet(f"{path}/index")
     return path
 
 
@@ -121,9 +126,9 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(read, INDEX)
 
 
-def with_starts(scanned: DataFrame) -> DataFrame:
-    """``start`` over all files: a running total over the files, one row each, is added to the start in the file."""
-    shards = scanned.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
+def with_starts(scanned: DataFrame, places: DataFrame) -> DataFrame:
+    """``start`` over all files: a running total over the files of ``places``, one row each, is added to the start in the file."""
+    shards = places.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return scanned.join(shards, "shard").withColumn("start", F.col("start_in_shard") + F.col("_before")).drop("start_in_shard", "_before")
@@ -152,4 +157,4 @@ def token_records(docs: DataFrame, path: str | None = None, **options) -> DataFr
     """Write all documents as records, read the files back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     path = write_records(docs, path or new_path(spark, "records"), **options)
-    return with_starts(scan_records(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(scan_records(spark, path), spark.read.parquet(f"{path}/places")).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words and parts kept by a Python worker before it starts anew; this bounds memory, not results.
-KEPT = 400_000
+KEPT = 250_000
 #: New parts that are encoded in one call, with a blank between them.
 TOGETHER = 100
 
@@ -101,10 +101,11 @@ class Encoder:
         get = self.words.__getitem__
         return [b"".join(map(get, cut)) for cut in cuts]
 
-    def stream(self, texts: list[str | None], signs: int = 4_000_000):
-        """``encode`` for a long list, some signs at a time."""
+    def stream(self, texts, signs: int = 1_500_000):
+        """``encode`` for many texts (an Arrow column), some signs at a time."""
         group, held = [], 0
         for text in texts:
+            text = text.as_py()
             group.append(text)
             held += len(text or "")
             if held >= signs:
