@@ -48,9 +48,9 @@ def decision_label() -> Column:
 
 
 def decision_reason() -> Column:
-    """Error first, then the policy verdict, then the recorded promise."""
+    """Error first, then the policy verdict, then the recorded promise of a promise round."""
     moved = F.when(
-        F.col("next_state").isNotNull(), F.concat(F.lit("promise recorded -- account moved to "), F.col("next_state"))
+        F.col("next_state").isNotNull() & F.col("event_type").startswith("promise."), F.concat(F.lit("promise recorded -- account moved to "), F.col("next_state"))
     )
     return F.coalesce(F.col("error"), F.col("policy_reason"), moved, F.lit("no assessment this round"))
 
@@ -178,7 +178,7 @@ def timeline(logs: DataFrame, payments: DataFrame) -> DataFrame:
         at.alias("_tie"),
     )
     entries = decided.unionByName(paid)
-    return entries.withColumn("round", round_label()).orderBy("invoice_id", "timestamp", "type", "_tie", "summary").drop("_tie")
+    return entries.withColumn("round", round_label()).repartition("invoice_id").sortWithinPartitions("invoice_id", "timestamp", "type", "_tie", "summary").drop("_tie")
 
 
 def round_label() -> Column:

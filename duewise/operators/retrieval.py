@@ -112,7 +112,8 @@ def bm25_query_weights(asked: DataFrame, cases: DataFrame, exclude_self: bool) -
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     m = np.stack(vectors.to_numpy()).astype(np.float64)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.nan_to_num(m / np.where(length > 0, length, 1.0), nan=0.0, posinf=0.0, neginf=0.0)  # a vector without direction scores 0
 
 
 def _bm25(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
@@ -149,7 +150,7 @@ def _scores(q: pd.DataFrame, c: pd.DataFrame, lists: tuple[str, ...]) -> np.ndar
         layers.append(np.round(_bm25(q, c), 9))
     if "amount" in lists:
         layers.append(-np.round(np.abs(c["log_amount"].to_numpy()[None, :] - q["q_log_amount"].to_numpy()[:, None]), 9))
-    stack = np.stack(layers)
+    stack = np.nan_to_num(np.stack(layers), nan=-1e300)  # an unknown amount is the farthest
     if q["exclude_id"].notna().all():
         stack[:, q["exclude_id"].to_numpy()[:, None] == c["doc_id"].to_numpy()[None, :]] = -np.inf
     return stack
@@ -164,18 +165,13 @@ def _best_of_tile(lists: tuple[str, ...], k: int):
             return pd.DataFrame(columns=names)
         c = c.sort_values("doc_id", ignore_index=True)
         stack = _scores(q, c, lists)
-        ids, whole = c["doc_id"].to_numpy(), q["n_blocks"].to_numpy() == 1
+        ids = c["doc_id"].to_numpy()
         order = np.argsort(-stack, axis=2, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(1, len(ids) + 1)[None, None, :], axis=2)
-        if whole.all():
-            fused = np.where(np.isfinite(stack[0]), (1.0 / (P.RRF_K + rank)).sum(axis=0), -1.0)
-            rows = np.repeat(np.arange(len(q)), min(k, len(ids)))
-            keep = np.argsort(-fused, axis=1, kind="stable")[:, :k].ravel()
-        else:
-            near = [np.unique(order[:, i, :bound]) for i in range(len(q))]
-            rows, keep = np.repeat(np.arange(len(q)), [len(n) for n in near]), np.concatenate(near)
-        usable = np.isfinite(stack[0, rows, keep])
+        near = [np.unique(order[:, i, :bound]) for i in range(len(q))]
+        rows, keep = np.repeat(np.arange(len(q)), [len(n) for n in near]), np.concatenate(near)
+        usable = np.isfinite(stack[0, rows, keep])  # all but the own case
         rows, keep = rows[usable], keep[usable]
         columns = [q["query_id"].to_numpy()[rows], ids[keep], *stack[:, rows, keep], *rank[:, rows, keep]]
         return pd.DataFrame(dict(zip(names, columns)))
@@ -268,13 +264,8 @@ def hybrid_retrieve(
         names = [f"s_{name}" for name in lists] + [f"r_{name}" for name in lists]
         return ranked.filter(F.col("rank") <= top_k).select("query_id", "doc_id", *names, "rrf_score", "rank")
 
-    if blocks.filter("n_blocks > 1").isEmpty():
-        return finish(best)
-
     bound = len(lists) * (P.RRF_K + top_k) - P.RRF_K
-    best = materialise(best.join(asked.select("query_id", "n_blocks"), "query_id"), "tiles")
-    done = best.filter("n_blocks = 1").drop("n_blocks")
-    seen = best.filter("n_blocks > 1").drop("n_blocks")
+    seen = materialise(best, "tiles")
     for name in lists:
         place = Window.partitionBy("query_id").orderBy(F.col(f"s_{name}").desc(), "doc_id")
         seen = seen.withColumn(f"r_{name}", F.row_number().over(place))
@@ -291,10 +282,10 @@ def hybrid_retrieve(
     )
     beaten = tiled(
         _beaten_in_tile(lists), f"{pair}, " + ", ".join(f"b_{name} bigint" for name in lists),
-        asked.join(packed, "query_id"), cases.filter("n_blocks > 1"),
+        asked.join(packed, "query_id"), cases,
     )
     exact = beaten.groupBy("query_id", "doc_id").agg(*[(F.sum(f"b_{name}") + 1).alias(f"r_{name}") for name in lists])
-    return finish(done.unionByName(alive.join(exact, ["query_id", "doc_id"])))
+    return finish(alive.join(exact, ["query_id", "doc_id"]))
 
 
 def archetype_cohesion(results: DataFrame, queries: DataFrame, archetypes: DataFrame) -> DataFrame:

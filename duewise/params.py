@@ -156,4 +156,3 @@ BEHAVIOR_SNAPSHOT = [
     "customer_industry", "customer_relationship_days_at_cutoff", "has_prior_history", "prior_invoice_count",
     "prior_escalation_touches_avg", "prior_days_since_last_invoice", "customer_invoice_frequency",
 ]
-SNAPSHOT_LIMIT = 20

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, IDF, Imputer, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, Imputer, Normalizer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
@@ -64,13 +64,13 @@ def raw_score(trees: GBTClassificationModel, matrix: DataFrame) -> DataFrame:
     return scored.drop("probability", "rawPrediction", "prediction")
 
 
-def fit_trees(matrix: DataFrame, label: str, rounds: int = ROUNDS) -> GBTClassificationModel:
+def fit_trees(matrix: DataFrame, label: str, rounds: int = ROUNDS, bins: int = 64) -> GBTClassificationModel:
     """Boosted trees on fit and validation rows; the validation rows only decide when to stop."""
     matrix.sparkSession.sparkContext.setCheckpointDir(shared_dir(matrix.sparkSession))
     rows = matrix.filter(F.col("split").isin("fit", "validation")).withColumn("is_validation", F.col("split") == "validation")
     gbt = GBTClassifier(
         labelCol=label, maxDepth=DEPTH, maxIter=rounds, stepSize=STEP, seed=P.SEED, validationIndicatorCol="is_validation",
-        validationTol=0.0, maxBins=64, checkpointInterval=10,
+        validationTol=0.0, maxBins=bins, checkpointInterval=10,
     )
     return gbt.fit(rows.select("features", F.col(label).cast("double").alias(label), "is_validation"))
 
@@ -111,7 +111,8 @@ def train(name: str, table: DataFrame, rounds: int = ROUNDS, by: str = "time") -
     fit_rows = stored.filter("split = 'fit'")
     prepare = prepare_stages([*P.CATEGORICAL_FEATURES, *extra]).fit(numeric_inputs(fit_rows))
     matrix = feature_matrix(prepare, stored)
-    trees = fit_trees(matrix, label, rounds)
+    widest = max((len(v) for s in prepare.stages if isinstance(s, StringIndexerModel) for v in s.labelsArray), default=0)
+    trees = fit_trees(matrix, label, rounds, bins=max(64, widest + 1))
     scored = raw_score(trees, matrix)
     calibration = scored if by == "time" else scored.withColumn("split", F.when(F.col("split") == "validation", "calibration").otherwise(F.col("split")))
     return Trained(name, prepare, trees, fit_calibrator(calibration, label, method)), scored

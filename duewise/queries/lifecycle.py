@@ -125,7 +125,7 @@ def broken(x):
     )
 
 
-@query("O166_stream_audit", sql("""SELECT event_id, invoice_id, selected_action AS decision, 'promise recorded -- account moved to ' || next_state AS reason,
+@query("O166_stream_audit", sql("""SELECT event_id, invoice_id, selected_action AS decision, CASE WHEN event_type LIKE 'promise.%' AND next_state IS NOT NULL THEN 'promise recorded -- account moved to ' || next_state ELSE 'no assessment this round' END AS reason,
   array_to_string(path, ',') AS path FROM replayed"""))
 def stream_audit(x):
     root = new_path(x.spark, "audit")

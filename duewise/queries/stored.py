@@ -282,6 +282,12 @@ def invoice_page(x):
     return reads.page(listed(x), limit=50, offset=100)
 
 
+@query("O173_one_invoice", sql(f"SELECT {_listed} FROM listed WHERE invoice_id = (SELECT min(invoice_id) FROM listed)"), digits=2)
+def one_invoice(x):
+    rows = listed(x)
+    return reads.one_invoice(rows, rows.agg(F.min("invoice_id")).scalar())
+
+
 @query("O173_invoice_traces", sql(f"""SELECT l.invoice_id, l.invoice_number, l.customer_name, l.current_state, n.decision, n.reason,
   {r('coalesce(n.recovery_probability, s.recovery_probability)', 2)} AS recovery_probability FROM listed l JOIN newest_log n ON n.invoice_id = l.invoice_id
   LEFT JOIN newest_scored s ON s.invoice_id = l.invoice_id"""), digits=2)
@@ -352,7 +358,7 @@ def store_snapshot(x):
   prior_promise_count::BIGINT AS prior_promise_count, {r('customer_invoice_frequency', 2)} AS customer_invoice_frequency, 'recovery-v1' AS model_version FROM feat_recovery"""), digits=2)
 def snapshots(x):
     path = new_path(x.spark, "feature-snapshots")
-    sinks.append(sinks.feature_snapshots(FE.recovery_features(x.d), "recovery-v1", "due_date", limit=None), path)
+    sinks.append(sinks.feature_snapshots(FE.recovery_features(x.d), "recovery-v1", "due_date"), path)
     g = F.get_json_object
     return x.spark.read.parquet(path).select(
         "invoice_id", "customer_id", "feature_timestamp", g("payment_features", "$.amount").cast("double").alias("amount"),

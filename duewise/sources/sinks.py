@@ -63,11 +63,10 @@ def merged_open_promises(promises: DataFrame, created: DataFrame) -> DataFrame:
     return closed.unionByName(a.join(b, F.col("a.invoice_id") == F.col("b.invoice_id"), "full_outer").select(*pick))
 
 
-def feature_snapshots(features: DataFrame, version: str, stamp: str, limit: int | None = P.SNAPSHOT_LIMIT) -> DataFrame:
-    """Three JSON buckets per feature row; undefined features are explicit nulls. A demo limit unless None."""
+def feature_snapshots(features: DataFrame, version: str, stamp: str) -> DataFrame:
+    """Three JSON buckets per feature row; undefined features are explicit nulls."""
     bucket = lambda names: F.to_json(F.struct(*[c for c in names if c in features.columns]), {"ignoreNullFields": "false"})
-    rows = features if limit is None else features.orderBy("invoice_id").limit(limit)
-    return rows.select(
+    return features.select(
         "merchant_id", "customer_id", "invoice_id", F.col(stamp).cast("timestamp_ntz").alias("feature_timestamp"),
         bucket(P.PAYMENT_SNAPSHOT).alias("payment_features"), bucket(P.PROMISE_SNAPSHOT).alias("promise_features"),
         bucket(P.BEHAVIOR_SNAPSHOT).alias("behavior_features"), F.lit(version).alias("model_version"),

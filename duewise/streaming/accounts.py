@@ -107,8 +107,9 @@ def audit_sink(root: str, rounds_of=None):
         rounds = rounds_of(done) if rounds_of else with_empty_round(done)
         logs = audit.event_decision_logs(rounds)
         logs.write.mode("overwrite").parquet(f"{root}/logs/batch={batch_id}")
+        decided = done.filter("next_state IS NOT NULL")  # an event that leads nowhere leaves the state and its time as they are
         updates = sinks.newest_per_key(
-            done.select("invoice_id", F.col("next_state").alias("current_state"), F.col("occurred_at").alias("updated_at"), "event_id"),
+            decided.select("invoice_id", F.col("next_state").alias("current_state"), F.col("occurred_at").alias("updated_at"), "event_id"),
             ["invoice_id"], F.struct("updated_at", "event_id"),
         ).drop("event_id")
         fresh = updates if stored is None else sinks.merged(stored, updates, ["invoice_id"])

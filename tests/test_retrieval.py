@@ -131,3 +131,17 @@ def test_no_pair_rows_in_the_plan(spark):
     corpus = spark.createDataFrame([make(rng, i) for i in range(50)], CASE)
     plan = R.hybrid_retrieve(spark.createDataFrame([make(rng, 99)], ASK), corpus, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "Join Cross" not in plan
+
+
+def test_cases_and_queries_without_direction_or_amount_take_part(spark):
+    rng = random.Random(9)
+    corpus = [make(rng, i, hot=1.0) for i in range(30)]
+    corpus[4] = (*corpus[4][:6], [0.0] * 6)
+    corpus[7] = (corpus[7][0], corpus[7][1], None, *corpus[7][3:])
+    queries = [(*make(rng, 100)[:6], [0.0] * 6), make(rng, 101)]
+    found = R.hybrid_retrieve(spark.createDataFrame(queries, ASK), spark.createDataFrame(corpus, CASE), 30)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.doc_id)
+    assert set(got) == {100, 101} and all(len(ids) >= P.MIN_CANDIDATES for ids in got.values())
+    assert any({4, 7} <= ids for ids in got.values())
