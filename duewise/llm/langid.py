@@ -59,19 +59,32 @@ class Lattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
         kept = [p for p in pieces if p == FRONT or (p.removeprefix(FRONT).isalpha() and p == p.lower())]
-        self.index = {p: i for i, p in enumerate(kept)}
         self.longest = max(map(len, kept))
         self.unknown, self.none = len(kept), len(kept) + 1
+        hashes = np.array([int(self._hash(_signs([p]))[-1][0]) for p in kept], np.uint64)
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+
+    @staticmethod
+    def _hash(signs: np.ndarray) -> list[np.ndarray]:
+        """Of each row's first 1, 2, ... signs."""
+        out, h = [], np.zeros(len(signs), np.uint64)
+        for k in range(signs.shape[1]):
+            h = (h + signs[:, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            out.append(h)
+        return out
 
     def edges(self, words: list[str]):
         """For words of one length: (from, to, each word's piece between)."""
-        get, size = self.index.get, len(words[0])
-        for j in range(1, size + 1):
-            for i in range(max(0, j - self.longest), j):
-                ids = np.array([get(w[i:j], -1) for w in words])
-                ids[ids < 0] = self.unknown if j == i + 1 else self.none
-                if j == i + 1 or (ids != self.none).any():
-                    yield i, j, ids
+        signs = _signs(words)
+        size = signs.shape[1]
+        for i in range(size):
+            for j, h in enumerate(self._hash(signs[:, i : i + self.longest]), i + 1):
+                at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+                found = self.sorted[at] == h
+                if j == i + 1 or found.any():
+                    yield i, j, np.where(found, self.order[at], self.unknown if j == i + 1 else self.none)
 
     def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """Of each word (rows) in each language (columns). ``table``: pieces, the unknown piece and a row of zeros, by language."""
@@ -104,6 +117,11 @@ class Lattice:
         return out
 
 
+def _signs(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row for each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1).astype(np.uint64)
+
+
 def by_length(words: list[str]):
     places = defaultdict(list)
     for k, w in enumerate(words):
@@ -113,13 +131,10 @@ def by_length(words: list[str]):
 
 def words_of(text: str) -> list[str]:
     """Lower-case words with the mark at their front, long ones in stretches."""
-    out = []
-    for w in LETTERS.findall(text.lower()):
-        if len(w) < LONGEST:
-            out.append(w)
-        else:
-            out += [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-    return out
+    found = LETTERS.findall(text.lower())
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
