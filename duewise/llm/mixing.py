@@ -35,7 +35,7 @@ def segments(knots) -> list[tuple[float, float, float, float]]:
     """Per piece: area before it, its start, the weight there, the slope."""
     out, area = [], 0.0
     for (u0, w0), (u1, w1) in zip(knots, knots[1:], strict=False):
-        out.append((area, u0, w0, (w1 - w0) / (u1 - u0)))
+        out.append((area, float(u0), float(w0), (w1 - w0) / (u1 - u0)))
         area += (u1 - u0) * (w0 + w1) / 2
     return out
 
