@@ -84,6 +84,11 @@ def _cells(df: DataFrame, dim: str, sets: list[list[str]], aggs: list[Column]) -
     out = df.groupingSets(sets, dim, "slice_action").agg(
         F.grouping(dim).alias("g_dim"), F.grouping("slice_action").alias("g_action"), *aggs
     )
+    cells = cells.join(cuped_theta(df), "metric")
+    theta = F.col("theta")
+    for side in ("t", "c"):
+        spread = F.col(f"var_y_{side}") + theta * theta * F.col(f"var_x_{side}") - 2 * theta * F.col(f"cov_{side}")
+        cells = cells.withColumn(f"adj_{side}", F.col(f"y_{side}") - theta * (F.col(f"x_{side}") - F.col("x_mean"))).withColumn(f"var_adj_{side}", spread)
     real = ((F.col("g_dim") == 1) | F.col(dim).isNotNull()) & ((F.col("g_action") == 1) | F.col("slice_action").isNotNull())
     return out.filter(real)
 
@@ -188,20 +193,28 @@ def cuped_theta(df: DataFrame) -> DataFrame:
 
 
 def cuped_slices(df: DataFrame, sets: list[list[str]] | None = None) -> DataFrame:
-    """Raw and adjusted effect side by side per slice and metric; slices with an empty arm give no row."""
+    """Raw and adjusted effect side by side per slice and metric; slices with an empty arm give no row.
+
+    One pass over the rows: mean and variance of the adjusted outcome follow from the moments of x and y in each arm, so only
+    the cells meet theta.
+    """
     sets = sets or [[], ["segment"], ["slice_action"], ["segment", "slice_action"]]
-    rows = _metrics(_sliced(df)).join(cuped_theta(df), "metric")
-    rows = rows.withColumn("adj", F.col("y") - F.col("theta") * (F.col("x") - F.col("x_mean")))
+    rows = _metrics(_sliced(df))
     arm = lambda c, who: F.when(who, F.col(c))
     aggs = [F.count_if(_acted()).alias("treatment_n"), F.count_if(_control()).alias("control_n")]
-    for c in ("y", "adj"):
-        for side, who in (("t", _acted()), ("c", _control())):
+    for side, who in (("t", _acted()), ("c", _control())):
+        for c in ("x", "y"):
             aggs += [F.avg(arm(c, who)).alias(f"{c}_{side}"), F.var_samp(arm(c, who)).alias(f"var_{c}_{side}")]
-    aggs += [F.first("theta").alias("theta"), F.first("corr").alias("corr")]
+        aggs.append(F.covar_samp(arm("x", who), arm("y", who)).alias(f"cov_{side}"))
     keyed = [["metric", *s] for s in sets]
     cells = rows.groupingSets(keyed, "metric", "segment", "slice_action").agg(
         F.grouping("segment").alias("g_dim"), F.grouping("slice_action").alias("g_action"), *aggs
     )
+    cells = cells.join(cuped_theta(df), "metric")
+    theta = F.col("theta")
+    for side in ("t", "c"):
+        spread = F.col(f"var_y_{side}") + theta * theta * F.col(f"var_x_{side}") - 2 * theta * F.col(f"cov_{side}")
+        cells = cells.withColumn(f"adj_{side}", F.col(f"y_{side}") - theta * (F.col(f"x_{side}") - F.col("x_mean"))).withColumn(f"var_adj_{side}", spread)
     real = ((F.col("g_dim") == 1) | F.col("segment").isNotNull()) & ((F.col("g_action") == 1) | F.col("slice_action").isNotNull())
     nt, nc = F.col("treatment_n"), F.col("control_n")
 
