@@ -11,7 +11,7 @@ from duewise.operators.context import decision_context, is_disputed
 from duewise.plans import decisions as PD
 from duewise.queries import sqldecisions  # noqa: F401
 from duewise.queries.registry import query
-from duewise.queries.sqlviews import r, rr, sql
+from duewise.queries.sqlviews import NOW_UTC, SUNDAY_UTC, r, rr, sql
 from duewise.sources.driver_tables import with_probability
 from duewise.sources.tables import live_pool
 
@@ -20,8 +20,8 @@ def context(x):
     return PD.live_context(x.d, with_probability, x.as_of)
 
 
-def decisions(x):
-    return PD.live_decisions(x.d, with_probability, x.as_of, x.now_utc)
+def decisions(x, now=None):
+    return PD.live_decisions(x.d, with_probability, x.as_of, x.now_utc if now is None else now)
 
 
 def ranked(x):
@@ -86,6 +86,11 @@ def policy(x):
     return decisions(x).select("invoice_id", "proposed_action", "policy_rule", "policy_result", "final_action", "reason")
 
 
+@query("O034_policy_sunday", sql("SELECT invoice_id, proposed AS proposed_action, rule::BIGINT AS policy_rule, policy_result, final_action, reason FROM decided_sunday"))
+def policy_sunday(x):
+    return decisions(x, x.sunday_utc).select("invoice_id", "proposed_action", "policy_rule", "policy_result", "final_action", "reason")
+
+
 @query("O035_action_state", sql("SELECT invoice_id, final_action, next_state AS current_state FROM next_states"))
 def action_state(x):
     return decisions(x).select(
@@ -179,15 +184,24 @@ def counterfactual(x):
     return E.counterfactual(context(x), x.now_utc).select("invoice_id", "counterfactual_action")
 
 
-@query("O157_decision_safety", sql("""SELECT count(*) - count(DISTINCT invoice_id) AS duplicate_invoices,
+def _safety(source: str, now: str) -> str:
+    return f"""SELECT count(*) - count(DISTINCT invoice_id) AS duplicate_invoices,
   count(*) FILTER (final_action NOT IN ('wait', 'stop') AND policy_result = 'blocked') AS policy_bypass,
-  0::BIGINT AS out_of_hours, count(*) FILTER (base_probability IS NULL) AS missing_score,
+  count(*) FILTER (final_action IN ('voice', 'escalate') AND NOT {sqldecisions.hours_sql(now)}) AS out_of_hours, count(*) FILTER (base_probability IS NULL) AS missing_score,
   count(*) FILTER (base_probability < 0.01 OR base_probability > 0.99) AS score_out_of_bounds,
-  count(*) FILTER (final_action = 'stop' AND NOT is_actually_paid) AS abandoned FROM decided"""))
+  count(*) FILTER (final_action = 'stop' AND NOT is_actually_paid) AS abandoned FROM {source}"""
+
+
+@query("O157_decision_safety", sql(_safety("decided", NOW_UTC)))
 def safety(x):
     return PD.safety_checks(decisions(x), E.in_business_hours(x.now_utc))
 
 
+@query("O157_decision_safety_sunday", sql(_safety("decided_sunday", SUNDAY_UTC)))
+def safety_sunday(x):
+    return PD.safety_checks(decisions(x, x.sunday_utc), E.in_business_hours(x.sunday_utc))
+
+
 @query("O171_baseline_vs_engine", sql(f"SELECT {_sum}, CASE WHEN strategy = '{P.ENGINE_STRATEGY}' THEN (n_wait + n_stop)::DOUBLE END AS unnecessary_interventions_avoided FROM summary"), digits=2)
 def evaluation(x):
     snapshot = PD.evaluation_snapshot(PD.strategy_summary(PD.strategies(decisions(x))))

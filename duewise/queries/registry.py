@@ -38,6 +38,10 @@ class Inputs:
     def now_utc(self) -> Column:
         return ntz(driver_tables.NOW_UTC)
 
+    @property
+    def sunday_utc(self) -> Column:
+        return ntz(driver_tables.SUNDAY_UTC)
+
 
 @dataclass
 class Spec:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from duewise import params as P
-from duewise.queries.sqlviews import AS_OF, NOW_UTC, fdays, view
+from duewise.queries.sqlviews import AS_OF, NOW_UTC, SUNDAY_UTC, fdays, view
 
 BASE_P = "(0.05::DOUBLE + (i.id % 90)::DOUBLE / 100.0)"
 CASH_P = "((i.id * 31 % 100)::DOUBLE / 100.0)"
@@ -42,9 +42,13 @@ def recommend_sql(candidates: str) -> str:
       max(ev) FILTER (action = 'wait') OVER (PARTITION BY invoice_id) AS wait_ev FROM {candidates}) WHERE rn = 1"""
 
 
-def policy_sql(source: str, paid: str, disputed: str, contacts: str, days: str) -> str:
-    local = f"({NOW_UTC} + to_minutes(330))"
-    hours = f"(isodow({local}) <> 7 AND hour({local}) >= 9 AND hour({local}) < 19)"
+def hours_sql(now: str) -> str:
+    local = f"({now} + to_minutes(330))"
+    return f"(isodow({local}) <> 7 AND hour({local}) >= 9 AND hour({local}) < 19)"
+
+
+def policy_sql(source: str, paid: str, disputed: str, contacts: str, days: str, now: str = NOW_UTC) -> str:
+    hours = hours_sql(now)
     contact = "proposed IN ('email', 'whatsapp', 'payment_link', 'voice', 'escalate')"
     loud = "proposed IN ('voice', 'escalate')"
     rule = f"""CASE WHEN {paid} THEN 1 WHEN {disputed} AND {loud} THEN 2
@@ -62,6 +66,7 @@ def policy_sql(source: str, paid: str, disputed: str, contacts: str, days: str)
 view("cand", candidate_sql("ctx", "c.contacts", "cause", "cause_p", "c.is_disputed"))
 view("reco", recommend_sql("cand"))
 view("decided", policy_sql("reco", "is_actually_paid", "is_disputed", "contacts", "days_since"))
+view("decided_sunday", policy_sql("reco", "is_actually_paid", "is_disputed", "contacts", "days_since", SUNDAY_UTC))
 view("cand_cf", candidate_sql("ctx", "0", "NULL", "0.0", "false"))
 view("reco_cf", recommend_sql("cand_cf"))
 view("decided_cf", policy_sql("reco_cf", "false", "false", "0", "NULL::DOUBLE"))

@@ -10,6 +10,7 @@ from duewise.sources import driver_tables as D
 VIEWS: dict[str, str] = {}
 AS_OF = f"TIMESTAMP '{D.AS_OF}'"
 NOW_UTC = f"TIMESTAMP '{D.NOW_UTC}'"
+SUNDAY_UTC = f"TIMESTAMP '{D.SUNDAY_UTC}'"
 
 
 def r(expr: str, digits: int = 6) -> str:

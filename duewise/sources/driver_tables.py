@@ -12,6 +12,7 @@ from duewise.sources.tables import Domain
 
 AS_OF = "2001-08-01 12:00:00"
 NOW_UTC = "2001-08-01 06:30:00"
+SUNDAY_UTC = "2001-08-05 06:30:00"  # out of hours
 
 TERM_DAYS = {"1-URGENT": 30, "2-HIGH": 45, "3-MEDIUM": 60, "4-NOT SPECIFIED": 90, "5-LOW": 120}
 STATUS = {"F": "paid", "P": "written_off", "O": "open"}
