@@ -128,6 +128,19 @@ def test_audit_sink_over_batches_and_a_repeated_batch(spark):
     assert spark.read.parquet(f"{root}/logs").count() == len(rows)
 
 
+def test_an_event_without_a_next_state_leaves_the_account_as_it_is(spark):
+    root = new_path(spark, "audit")
+    sink = ST.audit_sink(root)
+    sink(spark.createDataFrame([event(1, "promise.created", 1), event(2, "invoice.overdue", 1, action=None), event(3, "invoice.overdue", 2, action=None), event(4, "invoice.overdue", 3)], SCHEMA), 0)
+    state = {r.invoice_id: (r.current_state, r.updated_at) for r in spark.read.parquet(f"{root}/state/batch=0").collect()}
+    assert state == {1: ("promise", START + dt.timedelta(hours=1)), 3: (P.ACTION_STATE["email"], START + dt.timedelta(hours=4))}
+    reasons = {r.event_id: r.reason for r in spark.read.parquet(f"{root}/logs").collect()}
+    assert reasons[1] == "promise recorded -- account moved to promise" and {reasons[k] for k in (2, 3, 4)} == {"no assessment this round"}
+    sink(spark.createDataFrame([event(9, "invoice.overdue", 1, action=None)], SCHEMA), 1)
+    later = {r.invoice_id: r.updated_at for r in spark.read.parquet(f"{root}/state/batch=1").collect()}
+    assert later[1] == START + dt.timedelta(hours=1)
+
+
 def test_dedup_inside_the_watermark(spark):
     rows = [event(1, "invoice.overdue"), event(1, "invoice.overdue"), event(2, "invoice.overdue")]
     out = new_path(spark, "out")
