@@ -84,11 +84,6 @@ def _cells(df: DataFrame, dim: str, sets: list[list[str]], aggs: list[Column]) -
     out = df.groupingSets(sets, dim, "slice_action").agg(
         F.grouping(dim).alias("g_dim"), F.grouping("slice_action").alias("g_action"), *aggs
     )
-    cells = cells.join(cuped_theta(df), "metric")
-    theta = F.col("theta")
-    for side in ("t", "c"):
-        spread = F.col(f"var_y_{side}") + theta * theta * F.col(f"var_x_{side}") - 2 * theta * F.col(f"cov_{side}")
-        cells = cells.withColumn(f"adj_{side}", F.col(f"y_{side}") - theta * (F.col(f"x_{side}") - F.col("x_mean"))).withColumn(f"var_adj_{side}", spread)
     real = ((F.col("g_dim") == 1) | F.col(dim).isNotNull()) & ((F.col("g_action") == 1) | F.col("slice_action").isNotNull())
     return out.filter(real)
 
