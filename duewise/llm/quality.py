@@ -1,23 +1,25 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model is over signs: case and punctuation stay, digits count as one sign, white space as one blank, and signs fold to
-``BITS`` bits, so that a run of ``ORDER`` signs is one number. It is trained on trusted text, a sample of at most ``TRUSTED``
-labelled documents of good quality, drawn by hash; one in five of these is left out and sets the thresholds: a document of n signs
-is kept if its perplexity is at most exp(``SPREAD`` / sqrt(n)) times the ``QUANTILE`` of these in its language. The factor allows for
-chance in short texts.
+``BITS`` bits, so that a run of ``ORDER`` signs is one number. It is trained on trusted text, all labelled documents of good
+quality; one in five of these, drawn by hash, is left out and sets the thresholds: a document of n signs is kept if its
+perplexity is at most exp(``SPREAD`` / sqrt(n)) times the ``QUANTILE`` of these in its language. The factor allows for chance in
+short texts.
 
 Counts live in tables that Spark shards by run; nothing of the model is broadcast.
 
-1. Documents are packed into blocks, one for each batch that a task reads, and each block lists its distinct runs.
+1. Documents are packed into blocks, one for each batch that a task reads, and each block lists its distinct runs. Labels meet
+   the ids of blocks, and each block is told which of its rows to count; runs are added up in the task before they are shuffled.
 2. The distinct runs of all blocks, order by order from one sign up, are joined with the counts of the run, the totals of its
    context and the probability of the run without its first sign, which gives the run's probability.
 3. These go back to the blocks by a join on the run, and each block scores its documents.
+4. Quantiles are exact, from running totals over distinct perplexities that are split by their logarithm.
 
-What is shuffled follows the blocks' distinct runs, a small share of the text.
+What is shuffled is the packed blocks, twice, and their distinct runs, a small share of the text.
 
 Cases. Null and empty texts have no perplexity and are rejected. Without a trusted text all probabilities are equal and, as
-there is no threshold, all texts are kept. A language without trusted text, null among them, takes the threshold over all languages. Repeated rows
-and null ids are scored like others. Other columns are ignored. Empty tables give an empty result.
+there is no threshold, all texts are kept. A language of which fewer than ``LEAST`` texts are left out has no threshold either and is
+kept; null is a language of its own. Repeated rows and null ids are scored like others. Other columns are ignored. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duewise.llm.common import materialise
+from duewise.operators.prefix import before, chunked_prefix
 
 ORDER = 4
 BITS = 12
-#: Most labelled documents that the model and the thresholds learn from.
-TRUSTED = 20_000
+#: Fewest left-out texts that give a language a threshold.
+LEAST = 10
 QUANTILE = 0.99
 SPREAD = 3.0
 _SIZE = 1 << BITS
@@ -79,12 +82,23 @@ def _pieces(texts, order: int):
         yield np.concatenate(group)
 
 
-def trusted(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """doc_id, lang, text, calibrates of the sample of labelled good documents. The sample's ids are a bounded side of the join."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    drawn = good.orderBy(F.xxhash64("_id"), "_id").limit(most).withColumn("calibrates", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(5)) == 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).drop("_id")
+def trusted(labels: DataFrame) -> DataFrame:
+    """doc_id, calibrates of the labelled good documents."""
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return good.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0)
+
+
+def trained_texts(blocks: DataFrame, good: DataFrame) -> DataFrame:
+    """text of all rows whose document the model is trained on; only ids meet the labels."""
+    each = blocks.select("block", F.posexplode("ids").alias("at", "doc_id"))
+    rows = each.join(good.where("NOT calibrates").select("doc_id"), "doc_id").groupBy("block").agg(F.collect_list("at").alias("rows"))
+
+    def unpack(batches):
+        for batch in batches:
+            for packed, at in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_arrays([_unpacked(packed).column(2).take(at.values)], ["text"])
+
+    return blocks.join(rows, "block").select("packed", "rows").mapInArrow(unpack, "text string")
 
 
 def count_runs(texts: DataFrame, order: int) -> DataFrame:
@@ -147,8 +161,8 @@ def probabilities(wanted: DataFrame, counts: Counts) -> DataFrame:
     return lower
 
 
-def _blocks(docs: DataFrame, order: int) -> DataFrame:
-    """block, packed documents (Arrow under bz2, which makes least of text), for each batch that a task reads."""
+def _blocks(docs: DataFrame) -> DataFrame:
+    """block, ids, packed documents (Arrow under bz2, which makes least of text), for each batch that a task reads."""
 
     def pack(batches):
         from pyspark import TaskContext
@@ -159,9 +173,10 @@ def _blocks(docs: DataFrame, order: int) -> DataFrame:
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_batch(batch)
             packed = bz2.compress(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 31) + k], pa.int64()), pa.array([packed], pa.binary())], ["block", "packed"])
+            ids = pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 31) + k], pa.int64()), ids, pa.array([packed], pa.binary())], ["block", "ids", "packed"])
 
-    return docs.mapInArrow(pack, "block long, packed binary")
+    return docs.select("doc_id", "lang", "text").mapInArrow(pack, "block long, ids array<long>, packed binary")
 
 
 def _unpacked(packed) -> pa.RecordBatch:
@@ -170,8 +185,11 @@ def _unpacked(packed) -> pa.RecordBatch:
 
 def perplexities(docs: DataFrame, counts: Counts) -> DataFrame:
     """doc_id, lang, n_signs, perplexity (null without signs) of all rows of (doc_id, lang, text)."""
+    return block_perplexities(materialise(_blocks(docs), "blocks"), counts)
+
+
+def block_perplexities(blocks: DataFrame, counts: Counts) -> DataFrame:
     order = counts.order
-    blocks = materialise(_blocks(docs.select("doc_id", "lang", "text"), order), "blocks")
 
     def distinct(batches):
         for batch in batches:
@@ -181,7 +199,7 @@ def perplexities(docs: DataFrame, counts: Counts) -> DataFrame:
                     found = np.union1d(found, piece)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), block))], ["run", "block"])
 
-    listed = materialise(blocks.mapInArrow(distinct, "run long, block long"), "block-runs")
+    listed = materialise(blocks.select("block", "packed").mapInArrow(distinct, "run long, block long"), "block-runs")
     known = probabilities(listed, counts)
     tables = listed.join(known, "run").groupBy("block").agg(F.collect_list("run").alias("runs"), F.collect_list("p").alias("ps"))
 
@@ -200,23 +218,37 @@ def perplexities(docs: DataFrame, counts: Counts) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(n, pa.int64()), pa.array(out, pa.float64())], ["doc_id", "lang", "n_signs", "perplexity"])
 
     empty = F.array().cast("array<bigint>"), F.array().cast("array<double>")
-    joined = blocks.join(tables, "block", "left").select("packed", F.coalesce("runs", empty[0]).alias("runs"), F.coalesce("ps", empty[1]).alias("ps"))
+    joined = blocks.select("block", "packed").join(tables, "block", "left").select("packed", F.coalesce("runs", empty[0]).alias("runs"), F.coalesce("ps", empty[1]).alias("ps"))
     return joined.mapInArrow(score, "doc_id long, lang string, n_signs long, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int = TRUSTED, quantile: float = QUANTILE, spread: float = SPREAD) -> DataFrame:
-    """doc_id, lang, n_signs, perplexity, threshold, kept of every row."""
-    sample = materialise(trusted(docs, labels, most), "trusted")
-    counts = Counts(sample.where("NOT calibrates").select("text"), order)
+def thresholds(held: DataFrame, quantile: float, least: int = LEAST) -> DataFrame:
+    """lang, limit: the exact quantile of (lang, perplexity), linear between neighbours, of each language with ``least`` rows or more."""
+    lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))  # a join key without nulls
+    distinct = held.groupBy(lang.alias("_lang"), "perplexity").agg(F.count(F.lit(1)).alias("n"))
+    distinct = materialise(distinct.withColumn("_chunk", F.floor(F.log("perplexity") * 1000)), "held")
+    total = distinct.groupBy("_lang").agg(F.sum("n").alias("_all")).where(F.col("_all") >= least)
+    at = quantile * (F.col("_all") - 1)
+    holds = lambda i: ((F.col(before("n")) <= i) & (i < F.col(before("n")) + F.col("n"))).cast("int")
+    share = holds(F.floor(at)) * (1 - (at - F.floor(at))) + holds(F.floor(at) + 1) * (at - F.floor(at))
+    placed = chunked_prefix(distinct, ["_lang"], "perplexity", "_chunk", ["n"]).join(total, "_lang")
+    limits = placed.groupBy("_lang").agg(F.sum(F.col("perplexity") * share).alias("limit"))
+    return limits.select(F.when(F.col("_lang") != "", F.substring("_lang", 2, 1 << 30)).alias("lang"), "limit")
+
+
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
+    """doc_id, lang, n_signs, perplexity, threshold (null if the language has none), kept of every row."""
+    good = trusted(labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    scored = materialise(perplexities(rows, counts), "perplexities")
-    held = scored.join(F.broadcast(sample.where("calibrates").select("doc_id").distinct()), "doc_id", "left_semi").where("perplexity IS NOT NULL")
-    at = F.percentile("perplexity", quantile).alias("threshold")
-    by_language = {r["lang"]: r["threshold"] for r in held.groupBy("lang").agg(at).collect()}  # languages of a bounded sample
-    overall = held.agg(at).first()["threshold"]
-    limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in by_language.items() if k is not None], F.lit(overall).cast("double"))
+    blocks = materialise(_blocks(rows), "blocks")
+    counts = Counts(trained_texts(blocks, good), order)
+    scored = materialise(block_perplexities(blocks, counts), "perplexities")
+    held = scored.join(good.where("calibrates").select("doc_id"), "doc_id", "left_semi").where("perplexity IS NOT NULL")
+    limits = materialise(thresholds(held, quantile, least), "thresholds").withColumnRenamed("lang", "_lang")
+    limit = F.col("limit") * F.exp(spread / F.sqrt(F.greatest("n_signs", F.lit(1))))
     fine = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return scored.withColumn("threshold", limit * F.exp(spread / F.sqrt(F.greatest("n_signs", F.lit(1))))).withColumn("kept", fine)
+    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", limit)
+    return joined.drop("_lang", "limit").withColumn("kept", fine)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
