@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duewise.llm.common import materialise, word_array
-from duewise.operators.prefix import before, chunked_prefix
+from duewise.operators.prefix import before, chunked_prefix, chunked_rank
 
 SHARE = 1.5
 EPOCHS = 2
@@ -72,16 +72,19 @@ def position(count: Column) -> Column:
     return piece["u"] + 2 * rest / (piece["w"] + F.sqrt(piece["w"] * piece["w"] + 2 * piece["slope"] * rest))
 
 
-def word_sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(word_array(F.col("text"))).cast("long").alias("size"))
+def word_sizes(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(word_array(F.col("text"))).cast("long").alias("size"))
 
 
-def mix(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS, schedules=SCHEDULES) -> DataFrame:
-    """Adds source_size, target, taken (words, all epochs), takes (array of words by epoch) and position (of the first copy, null if none) to doc_id, source, size."""
+def mix(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS, schedules=SCHEDULES, tie: str | None = None) -> DataFrame:
+    """Adds source_size, target, taken (words, all epochs), takes (array of words by epoch) and position (of the first copy, null if none) to doc_id, source, size.
+
+    ``tie``, a column of distinct texts, orders rows of the same id and size and spreads those without an id.
+    """
     sources = targets(sizes, share, epochs, schedules)
     rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    mixed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("_order", F.struct(mixed.alias("hash"), F.col("size"))).withColumn("_chunk", F.substring(mixed, 1, 3))
+    mixed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col(tie) if tie else F.lit("")))
+    rows = rows.withColumn("_order", F.struct(mixed.alias("hash"), F.col("size"), *([F.col(tie)] if tie else []))).withColumn("_chunk", F.substring(mixed, 1, 3))
     placed = chunked_prefix(rows, ["source_no"], "_order", "_chunk", ["size"])
     demand = F.floor(F.col("target") + 0.5)
     takes = [
@@ -109,11 +112,19 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, a row for each copy of which it takes at least half; all columns of ``docs``. Repeated rows of an id share its decision."""
-    sizes = materialise(word_sizes(docs), "word-sizes").dropDuplicates(["doc_id"])
-    chosen = mix(sizes, **options).select(F.col("doc_id").alias("_id"), F.size(F.filter("takes", lambda x: 2 * x >= F.greatest(F.col("size"), F.lit(1)))).alias("_copies"))
+    """The documents of the mix, a row for each copy of which it takes at least half; all columns of ``docs``.
+
+    Every row counts and is decided by itself. Rows are ordered by id, hash of the text and number among equals, so the result does
+    not depend on how they are dealt out.
+    """
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    sizes = word_sizes(rows, F.col("_row"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_content"))
+    equal = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_content", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    ranked = chunked_rank(sizes.withColumn("_equal", F.md5(equal)), ["_equal"], F.shiftright("_row", 33), [F.col("_row")])
+    sizes = materialise(ranked.select("_row", "doc_id", "source", "size", F.concat_ws(" ", "_equal", "rank_in_key").alias("_tie")), "word-sizes")
+    chosen = mix(sizes, tie="_tie", **options).select("_row", F.size(F.filter("takes", lambda x: 2 * x >= F.greatest(F.col("size"), F.lit(1)))).alias("_copies"))
     kept = chosen.where("_copies > 0")
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
+    return rows.join(kept, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 ORACLE = """

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duewise.llm.common import materialise
+from duewise.llm.common import materialise, word_array
 from duewise.llm.components import components
 from duewise.llm.shingles import shingle_hashes, shingle_set
 
@@ -292,7 +292,17 @@ def _of_class(sets: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group, all columns. Of rows that share the kept id one stays; rows without an id cannot be told apart and all stay."""
-    kept = near_duplicates(docs, words, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"))
-    one = docs.join(kept, docs["doc_id"].cast("long") == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionAll(docs.where("doc_id IS NULL"))
+    """One row of each group, all columns: that with the smallest id, rows without an id after all others.
+
+    Rows are told apart by a hash of id and text. Texts without words are in no group: all stay, but for repeats of an id.
+    """
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    near = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).where("n_shingles > 0")
+    groups = near.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("_id")).distinct()
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))
+    kept = groups.join(ids, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    one = rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    bare = rows.where(F.size(word_array(F.col("text").cast("string"))) == 0)
+    bare = bare.where("doc_id IS NOT NULL").dropDuplicates(["_row"]).unionAll(bare.where("doc_id IS NULL"))
+    return one.select(*docs.columns).unionAll(bare.select(*docs.columns))

@@ -1,7 +1,8 @@
 """Substring dedup: repeated runs of words, found as compacted paths of a De Bruijn graph.
 
 A window of ``WINDOW`` words is an edge between its first and last ``WINDOW - 1`` words. Words covered by a window that also starts
-earlier (smaller id, or the same document and an earlier start) are removed.
+earlier (smaller id, or the same document and an earlier start) are removed. Rows are told apart by a hash of id and text: of different
+texts under one id, or without an id, the one with the smaller hash is earlier.
 
 1. Whole copies. A document with the words of an earlier one loses all words that a window covers; only the first of each
    such group goes on.
@@ -17,8 +18,8 @@ earlier (smaller id, or the same document and an earlier start) are removed.
 
 Texts are shuffled once, with the documents that may hold repeats written down for the last step.
 
-Cases. Null and empty texts have no words. Texts shorter than a window stay whole. A row without an id comes after all others.
-Repeated rows (same id and text) get the same result. Other columns are ignored. An empty table gives an empty result.
+Cases. Null and empty texts have no words. Texts shorter than a window stay whole. A row without an id comes after all others;
+of equal ones one is first and the others are whole copies. Repeated rows (same id and text) get the same result. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,24 +53,24 @@ def seeds(hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.nd
 
 
 def _outlines(rows: DataFrame) -> DataFrame:
-    """Per row: id, key of its word sequence, number of words, sha256 of the words joined by blanks."""
+    """Per row: id, hash of id and text, key of its word sequence, number of words, sha256 of the words joined by blanks."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 words = (text.as_py() or b"").split()
                 joined = b" ".join(words)
                 out.append((hashlib.blake2b(joined, digest_size=16).digest(), len(words), hashlib.sha256(joined).hexdigest()))
             columns = list(zip(*out, strict=True)) or [()] * 3
             kinds = (pa.binary(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["id", "key", "n_words", "sha"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["id", "row", "key", "n_words", "sha"])
 
-    return rows.mapInArrow(run, "id long, key binary, n_words long, sha string")
+    return rows.select("id", "row", "text").mapInArrow(run, "id long, row long, key binary, n_words long, sha string")
 
 
 def _seeds_of(rows: DataFrame, window: int, seed: int) -> DataFrame:
-    """seed, id: each document's distinct seeds, twice if at several places."""
+    """seed, row: each document's distinct seeds, twice if at several places."""
 
     def run(batches):
         for batch in batches:
@@ -84,21 +85,21 @@ def _seeds_of(rows: DataFrame, window: int, seed: int) -> DataFrame:
                 ids.append(np.full(len(found[-1]), doc, np.int64))
                 held += len(found[-1])
                 if held > ROWS_AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], ["seed", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], ["seed", "row"])
                     ids, found, held = [], [], 0
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], ["seed", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], ["seed", "row"])
 
-    return rows.mapInArrow(run, "seed long, id long")
+    return rows.select("row", "text").mapInArrow(run, "seed long, row long")
 
 
 def _seeded(texts: DataFrame, window: int, seed: int) -> DataFrame:
-    """id, key, text, n (windows), ranges (from, to, from, to ... of starts of windows whose seed is repeated)."""
+    """id, row, text, ranges (from, to, from, to ... of starts of windows whose seed is repeated)."""
 
     def run(batches):
         for batch in batches:
-            keep, ranges, keys = [], [], []
-            for text, found in zip(batch.column(1), batch.column(2), strict=True):
+            keep, ranges = [], []
+            for text, found in zip(batch.column(2), batch.column(3), strict=True):
                 words = text.as_py().split()
                 repeated = np.zeros(0, bool)
                 if len(words) >= window:
@@ -107,12 +108,11 @@ def _seeded(texts: DataFrame, window: int, seed: int) -> DataFrame:
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], repeated.view(np.int8), [0]])))
                 keep.append(len(edges) > 0)
                 ranges.append(edges)
-                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-            out = [batch.column(0), pa.array(keys, pa.binary()), batch.column(1), pa.array(ranges, pa.list_(pa.int64()))]
+            out = [batch.column(0), batch.column(1), batch.column(2), pa.array(ranges, pa.list_(pa.int64()))]
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in out], ["id", "key", "text", "ranges"])
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in out], ["id", "row", "text", "ranges"])
 
-    return texts.mapInArrow(run, "id long, key binary, text binary, ranges array<long>")
+    return texts.mapInArrow(run, "id long, row long, text binary, ranges array<long>")
 
 
 def _starts(ranges: np.ndarray) -> np.ndarray:
@@ -120,16 +120,16 @@ def _starts(ranges: np.ndarray) -> np.ndarray:
 
 
 def _edges(seeded: DataFrame, window: int) -> DataFrame:
-    """edge, id, start of every seeded window."""
+    """edge, id, row, start of every seeded window."""
 
     def run(batches):
-        names = ["edge", "id", "start"]
+        names = ["edge", "id", "row", "start"]
         for batch in batches:
             parts, held = [], 0
-            for doc, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, row, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 starts = _starts(ranges.values.to_numpy())
                 edges = shingle_hashes(word_hashes(text.as_py().split()), window)[starts].view(np.int64)
-                parts.append((edges, np.full(len(starts), doc, np.int64), starts.astype(np.int32)))
+                parts.append((edges, np.full(len(starts), doc, np.int64), np.full(len(starts), row, np.int64), starts.astype(np.int32)))
                 held += len(starts)
                 if held > ROWS_AT_ONCE:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
@@ -137,27 +137,27 @@ def _edges(seeded: DataFrame, window: int) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
 
-    return seeded.select("id", "text", "ranges").mapInArrow(run, "edge long, id long, start int")
+    return seeded.select("id", "row", "text", "ranges").mapInArrow(run, "edge long, id long, row long, start int")
 
 
 def paths(edges: DataFrame) -> DataFrame:
-    """id, first, last (starts of windows), n: maximal runs of edges with sources in a row and the same multiplicity."""
-    counted = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start")).alias("source"))
-    placed = counted.select("source.id", "source.start", "n")
-    along = Window.partitionBy("id").orderBy("start")  # one document's edges
+    """id, row, first, last (starts of windows), n: maximal runs of edges with sources in a row and the same multiplicity."""
+    counted = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "start")).alias("source"))
+    placed = counted.select("source.id", "source.row", "source.start", "n")
+    along = Window.partitionBy("id", "row").orderBy("start")  # one document's edges
     before = F.lag(F.struct("start", "n")).over(along)
     broken = F.coalesce(F.when((before["start"] == F.col("start") - 1) & (before["n"] == F.col("n")), 0), F.lit(1))
     run = F.sum("_broken").over(along)
-    return placed.withColumn("_broken", broken).withColumn("_path", run).groupBy("id", "_path").agg(F.min("start").alias("first"), F.max("start").alias("last"), F.first("n").alias("n")).drop("_path")
+    return placed.withColumn("_broken", broken).withColumn("_path", run).groupBy("id", "row", "_path").agg(F.min("start").alias("first"), F.max("start").alias("last"), F.first("n").alias("n")).drop("_path")
 
 
 def _kept(seeded: DataFrame, window: int) -> DataFrame:
-    """id, key, n_removed, sha after removal, given each document's own paths."""
+    """row, n_removed, sha after removal, given each document's own paths."""
 
     def run(batches):
         for batch in batches:
             removed, shas = [], []
-            for text, ranges, own in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+            for text, ranges, own in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 words = text.as_py().split()
                 later = np.zeros(max(0, len(words) - window + 1), np.int8)
                 later[_starts(ranges.values.to_numpy())] = 1
@@ -170,31 +170,33 @@ def _kept(seeded: DataFrame, window: int) -> DataFrame:
                 gone = np.cumsum(cover[:-1]) > 0
                 removed.append(int(gone.sum()))
                 shas.append(_sha([w for w, g in zip(words, gone, strict=True) if not g]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["id", "key", "removed", "left"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["row", "removed", "left"])
 
-    return seeded.select("id", "key", "text", "ranges", "own").mapInArrow(run, "id long, key binary, removed long, left string")
+    return seeded.select("row", "text", "ranges", "own").mapInArrow(run, "row long, removed long, left string")
 
 
 def _prepared(docs: DataFrame, window: int, seed: int):
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
-    outlines = materialise(_outlines(rows), "outlines")
-    firsts = outlines.groupBy("key").agg(F.min("id").alias("first_id"))
-    marked = materialise(outlines.join(firsts, "key").withColumn("copy", F.col("id") > F.col("first_id")).drop("first_id"), "outlines")
+    rows = rows.withColumn("row", F.xxhash64("id", "text"))
+    outlines = materialise(_outlines(rows).withColumn("at", F.monotonically_increasing_id()), "outlines")
+    firsts = outlines.groupBy("key").agg(F.min(F.struct("id", "row", "at")).alias("first"))
+    copy = (F.col("id") > F.col("first.id")) | (F.col("row") != F.col("first.row")) | ((F.col("id") == LAST) & (F.col("at") != F.col("first.at")))
+    marked = materialise(outlines.join(firsts, "key").withColumn("copy", copy).drop("first", "at"), "outlines")
     found = _seeds_of(rows, window, seed)
     repeated = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    touched = found.join(repeated, "seed", "left_semi").groupBy("id").agg(F.collect_set("seed").alias("found"))
-    own = marked.where(~F.col("copy") & (F.col("n_words") >= window)).select("id").distinct()
-    wanted = materialise(touched.join(own, "id", "left_semi"), "touched")
-    texts = rows.where("text IS NOT NULL").join(wanted, "id").select("id", "text", "found")
+    touched = found.join(repeated, "seed", "left_semi").groupBy("row").agg(F.collect_set("seed").alias("found"))
+    own = marked.where(~F.col("copy") & (F.col("n_words") >= window)).select("row").distinct()
+    wanted = materialise(touched.join(own, "row", "left_semi"), "touched")
+    texts = rows.where("text IS NOT NULL").join(wanted, "row").select("id", "row", "text", "found")
     return marked, materialise(_seeded(texts, window, seed), "seeded")
 
 
 def deduplicated_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row."""
     marked, seeded = _prepared(docs, window, seed)
-    own = paths(_edges(seeded, window)).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("own"))
-    result = _kept(seeded.join(own, "id", "left"), window).dropDuplicates(["id", "key"])
-    out = marked.join(result, ["id", "key"], "left")
+    own = paths(_edges(seeded, window)).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("own"))
+    result = _kept(seeded.join(own, "row", "left"), window).dropDuplicates(["row"])
+    out = marked.join(result, "row", "left")
     whole = F.col("copy") & (F.col("n_words") >= window)
     return out.select(
         F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from duewise.llm import quality
+from duewise.llm import mixing, neardup, quality, substrings
 
 
 def test_quality_counts_every_trusted_document(spark):
@@ -36,3 +36,34 @@ def test_quality_thresholds_are_exact_quantiles(spark):
     want = {r["lang"]: r["p"] for r in held.groupBy("lang").agg(F.percentile("perplexity", 0.97).alias("p")).collect()}
     got = {r["lang"]: r["limit"] for r in quality.thresholds(held, 0.97).collect()}
     assert got == pytest.approx({k: want[k] for k in ("en", "de", None)})
+
+
+def test_rows_without_id_and_repeated_ids_are_mixed_one_by_one(spark):
+    rows = [(None, f"w{k} " * (5 + k % 7), "abc"[k % 3]) for k in range(60)] + [(None, "same text here", "a")] * 8 + [(7, f"x{k} " * 9, "b") for k in range(10)] + [(100 + k, "y " * 20, "c") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {n: sorted(map(str, mixing.mixed_documents(docs.repartition(n)).collect())) for n in (1, 5)}
+    assert got[1] == got[5]
+    # an id for each row gives the same words of every source, to less than a document of each
+    numbered = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], docs.schema)
+    words = lambda df: {r["source"]: r["n"] for r in df.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    mine, want = words(mixing.mixed_documents(docs)), words(mixing.mixed_documents(numbered))
+    assert set(mine) == set(want) and all(abs(mine[s] - want[s]) < 40 for s in want)
+
+
+def test_near_duplicates_go_by_text_not_by_id(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    rows = [(None, text(1))] * 3 + [(None, text(2)), (5, text(3)), (5, text(4)), (5, text(4)), (6, text(4)), (None, text(3)), (8, ""), (8, ""), (9, None), (None, ""), (None, "")]
+    got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, got), key=key) == sorted([(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (8, ""), (9, None), (None, ""), (None, "")], key=key)
+
+
+def test_substrings_of_rows_without_id_and_of_repeated_ids(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    own = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    for doc_id in (None, 4):  # the same passage at the same offset
+        rows = [(doc_id, f"{own(k)} {passage}") for k in range(3)]
+        got = substrings.deduplicated_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(r["n_removed"] for r in got) == [0, 30, 30] and {r["doc_id"] for r in got} == {doc_id}
+    got = substrings.deduplicated_words(spark.createDataFrame([(None, own(1))] * 3 + [(None, own(2))], "doc_id long, text string")).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 0, 30, 30]
