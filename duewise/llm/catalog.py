@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duewise.llm import fingerprint, langid, mixing, neardup, packing, quality, records, secrets, substrings, topk
+from duewise.llm import divergence, fingerprint, langid, merkle, mixing, neardup, packing, quality, records, secrets, substrings, topk, vectordup
 from duewise.llm.common import read_table
 
 
@@ -53,7 +53,26 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op13_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op3_kneser_ney_quality, op4_secret_scan, op5_hyperminhash_dedup, op6_exact_top_k, op7_language_id, op8_token_records, op9_de_bruijn_dedup, op10_best_two_fit)
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_fingerprints, op3_kneser_ney_quality, op4_secret_scan, op5_hyperminhash_dedup, op6_exact_top_k, op7_language_id,
+        op8_token_records, op9_de_bruijn_dedup, op10_best_two_fit, op11_merkle_manifest, op12_source_divergence, op13_projection_dedup,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE, "op6_exact_top_k": topk.ORACLE, "op11_merkle_manifest": merkle.ORACLE,
+    "op12_source_divergence": divergence.ORACLE, "op13_projection_dedup": vectordup.ORACLE,
 }
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op6_exact_top_k": topk.ORACLE}
