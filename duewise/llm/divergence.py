@@ -59,28 +59,31 @@ def _partial(counts: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    held = 0
-    for batch in batches:
-        for text, lang, source in zip(*(batch.column(i) for i in range(3)), strict=True):
-            words, docs = counts.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
-            found, before = terms(text.as_py()), len(words)
-            words.update(found)
-            docs.update(set(found))
-            held += len(words) - before
-            if held > HELD:
-                yield _partial(counts)
-                counts, held = {}, 0
-    if counts:
-        yield _partial(counts)
+def _count(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held = 0
+        for batch in batches:
+            for text, lang, source in zip(*(batch.column(i) for i in range(3)), strict=True):
+                words, docs = counts.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                found, before = terms(text.as_py()), len(words)
+                words.update(found)
+                docs.update(set(found))
+                held += len(words) - before
+                if held > most:
+                    yield _partial(counts)
+                    counts, held = {}, 0
+        if counts:
+            yield _partial(counts)
+
+    return run
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences in the group), docs (documents of the language with the term); a null term for each group."""
     empty = F.lit("")
     own = docs.select(*[F.coalesce(F.col(c).cast("string"), empty).alias(c) for c in ("text", "lang", "source")])
-    partial = own.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    partial = own.mapInArrow(_count(HELD), "lang string, source string, term string, n long, docs long")
     sums = partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     return sums.withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "term")))
 
@@ -92,33 +95,37 @@ def _share(count: str, total: str, kept: str):
     ).cast("long")
 
 
-def _tile_sums(key, rows):
+def _tile_sums(width: int):
     """Sum of differences over a slab for each pair of a source of the one tile and a later one of the other."""
-    lang, slab, one, other = key
-    held = {}
-    for g, own in rows.sort_values(["g", "block"], kind="stable").groupby("g", sort=True):
-        blank = own["block"].to_numpy() < 0
-        bits = own["bits"].to_numpy(np.int64).view(np.uint64)[~blank]
-        held[g] = (own["block"].to_numpy()[~blank], bits, own["p"].to_numpy(np.int64)[~blank], np.bitwise_count(bits).astype(np.int64), int(own["p"].to_numpy()[blank][0]))
-    size, out = int(rows["terms"].iloc[0]), []
-    for g, (g_blocks, g_bits, g_p, g_sizes, g_zero) in held.items():
-        if g // TILE != one:
-            continue
-        for h, (h_blocks, h_bits, h_p, h_sizes, h_zero) in held.items():
-            if h <= g or h // TILE != other:
+
+    def run(key, rows):
+        lang, slab, one, other = key
+        held = {}
+        for g, own in rows.sort_values(["g", "block"], kind="stable").groupby("g", sort=True):
+            blank = own["block"].to_numpy() < 0
+            bits = own["bits"].to_numpy(np.int64).view(np.uint64)[~blank]
+            held[g] = (own["block"].to_numpy()[~blank], bits, own["p"].to_numpy(np.int64)[~blank], np.bitwise_count(bits).astype(np.int64), int(own["p"].to_numpy()[blank][0]))
+        size, out = int(rows["terms"].iloc[0]), []
+        for g, (g_blocks, g_bits, g_p, g_sizes, g_zero) in held.items():
+            if g // width != one:
                 continue
-            lo, hi = np.searchsorted(h_blocks, g_blocks, "left"), np.searchsorted(h_blocks, g_blocks, "right")
-            i = np.repeat(np.arange(len(g_blocks)), hi - lo)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-            joint = np.bitwise_count(g_bits[i] & h_bits[j]).astype(np.int64)
-            g_left, h_left = g_sizes.copy(), h_sizes.copy()
-            np.subtract.at(g_left, i, joint)
-            np.subtract.at(h_left, j, joint)
-            neither = size - int(g_sizes.sum()) - int(h_left.sum())
-            value = int((joint * np.abs(g_p[i] - h_p[j])).sum()) + int((g_left * np.abs(g_p - h_zero)).sum())
-            value += int((h_left * np.abs(h_p - g_zero)).sum()) + neither * abs(g_zero - h_zero)
-            out.append((lang, int(g), int(h), value))
-    return pd.DataFrame(out, columns=["lang", "g", "h", "value"]).astype({"g": "int64", "h": "int64", "value": "int64"})
+            for h, (h_blocks, h_bits, h_p, h_sizes, h_zero) in held.items():
+                if h <= g or h // width != other:
+                    continue
+                lo, hi = np.searchsorted(h_blocks, g_blocks, "left"), np.searchsorted(h_blocks, g_blocks, "right")
+                i = np.repeat(np.arange(len(g_blocks)), hi - lo)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+                joint = np.bitwise_count(g_bits[i] & h_bits[j]).astype(np.int64)
+                g_left, h_left = g_sizes.copy(), h_sizes.copy()
+                np.subtract.at(g_left, i, joint)
+                np.subtract.at(h_left, j, joint)
+                neither = size - int(g_sizes.sum()) - int(h_left.sum())
+                value = int((joint * np.abs(g_p[i] - h_p[j])).sum()) + int((g_left * np.abs(g_p - h_zero)).sum())
+                value += int((h_left * np.abs(h_p - g_zero)).sum()) + neither * abs(g_zero - h_zero)
+                out.append((lang, int(g), int(h), value))
+        return pd.DataFrame(out, columns=["lang", "g", "h", "value"]).astype({"g": "int64", "h": "int64", "value": "int64"})
+
+    return run
 
 
 def pair_values(groups: DataFrame, held: DataFrame) -> DataFrame:
@@ -138,7 +145,7 @@ def pair_values(groups: DataFrame, held: DataFrame) -> DataFrame:
     rows = rows.join(langs, "lang").withColumn("terms", F.expr(f"least({BLOCK * SLAB}L, kept - slab * {BLOCK * SLAB})"))
     rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles"))))
     rows = rows.select("lang", "slab", F.least(tile, "_with").alias("one"), F.greatest(tile, "_with").alias("other"), "g", "block", "p", "bits", "terms")
-    found = rows.groupBy("lang", "slab", "one", "other").applyInPandas(_tile_sums, "lang string, g long, h long, value long")
+    found = rows.groupBy("lang", "slab", "one", "other").applyInPandas(_tile_sums(TILE), "lang string, g long, h long, value long")
     return found.groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
 
 

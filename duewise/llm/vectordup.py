@@ -119,14 +119,14 @@ def _cells(reach: float):
 
 def window_counts(asked: np.ndarray, pool: np.ndarray, half: float) -> np.ndarray:
     """Collisions of each asked vector (rows) with each of the pool: projections on which it lies in the window around the former."""
-    n, m = len(asked), len(pool)
-    counts = np.zeros((n, m), np.int16)
+    kind = np.uint16 if len(pool) < 1 << 16 else np.uint64  # places below lo wrap around and are not under hi - lo
+    counts = np.zeros((len(asked), len(pool)), np.uint8)
     for a, b in zip(asked.T, pool.T, strict=True):
         order = np.argsort(b, kind="stable")
-        lo, hi = np.searchsorted(b[order], a - half, "left"), np.searchsorted(b[order], a + half, "right")
-        place = np.empty(m, np.int64)
-        place[order] = np.arange(m)
-        counts += (place >= lo[:, None]) & (place < hi[:, None])
+        lo, hi = (np.searchsorted(b[order], a + way, side) for way, side in ((-half, "left"), (half, "right")))
+        place = np.empty(len(pool), kind)
+        place[order] = np.arange(len(pool), dtype=kind)
+        counts += (place - lo.astype(kind)[:, None]) < (hi - lo).astype(kind)[:, None]
     return counts
 
 
