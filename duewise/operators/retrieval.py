@@ -1,19 +1,23 @@
 """Hybrid retrieval: cosine, BM25 and amount closeness over a relaxed candidate pool, fused by reciprocal rank.
 
-Ranks need the whole pool, so every query meets every candidate of its pool once; that work is inherent. It is done in
-tiles: a pool's queries and candidates are hashed into blocks of bounded size, a tile is one query block against one
-candidate block, and only a bounded list leaves a tile. No pair of query and candidate is ever a row, and no task holds
-a pool.
-
 A candidate among the k best fused over L lists has some rank of at most N = L * (K + k) - K: the k best of any single
-list already score 1 / (K + k), and a candidate whose ranks all exceed N scores less. So the best N per list of each
-block hold every winner. A pool of one block is finished in its tile; for larger pools a second pass over the tiles
-counts, per block, the candidates that beat each remaining one, which gives exact global ranks.
+list already score 1 / (K + k), and a candidate whose ranks all exceed N scores less. So the N first of each list hold
+every winner, and a task lets no more than these leave.
+
+A task meets a block of queries with a shard of their pool, up to ``CASE_BLOCK`` cases. Cosines are a matrix product in
+batches; BM25 reads an inverted index whose blocks carry the largest part of each term, and only those blocks that can still
+reach the query's first N. Ranks inside a pool of one shard are exact at once; otherwise the candidates that can still win
+have the better cases counted over the shards, again only in blocks that can hold one. Closeness alone needs no tasks over
+the pool: amounts are sorted and a query reads the buckets around its own.
+
+Terms are compared by 64-bit hashes. Scores tie when equal to nine digits, or above 70,000; ties go to the
+smaller id.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,10 +26,17 @@ from pyspark.sql import functions as F
 
 from duewise import params as P
 from duewise.functions.text import tokens
+from duewise.operators.prefix import before, chunked_prefix
 from duewise.session import materialise
 
 LISTS = ("vector", "bm25", "amount")
-QUERY_BLOCK, CASE_BLOCK = 512, 4096
+#: Queries of a block, and cases and tokens of a shard at most.
+QUERY_BLOCK, CASE_BLOCK, TOKENS_A_SHARD = 512, 65_536, 8_000_000
+CASES_A_BLOCK = 256
+SCORES_AT_ONCE = 2_000_000
+#: Scores tie at nine digits; a key holds a rounded score above the place of the case.
+ROUNDED, PLACE_BITS = 1e9, 16
+_UNKNOWN, _OUT = (1 << 46) - 1, 1 << 62
 LEVELS = 6
 
 
@@ -107,7 +118,7 @@ def bm25_query_weights(asked: DataFrame, cases: DataFrame, exclude_self: bool) -
     ).select("query_id", F.col("w.term").alias("terms"), F.col("w.weight").alias("weights"), "avgdl")
 
 
-# Inside a tile
+# Inside a task: a block of queries meets a shard of a pool
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -116,134 +127,355 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.nan_to_num(m / np.where(length > 0, length, 1.0), nan=0.0, posinf=0.0, neginf=0.0)  # a vector without direction scores 0
 
 
-def _bm25(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
-    """Scores of every query row against every candidate row, over the vocabulary of the query rows."""
-    words = q["terms"].map(lambda t: t if t is not None else []).tolist()
-    vocab = pd.Index(pd.unique(np.concatenate([np.asarray(w, dtype=object) for w in words] or [np.array([], dtype=object)])))
-    lengths = c["tokens"].map(len).to_numpy()
-    flat = vocab.get_indexer(np.concatenate(c["tokens"].to_numpy())) if len(vocab) else np.array([], dtype=int)
-    owner = np.repeat(np.arange(len(c)), lengths)[: len(flat)]
-    hit = flat >= 0
-    tf = np.bincount(owner[hit] * max(len(vocab), 1) + flat[hit], minlength=len(c) * max(len(vocab), 1))
-    tf = tf.reshape(len(c), max(len(vocab), 1)).astype(np.float64)
-    weights = np.zeros((len(q), tf.shape[1]))
-    for i, (terms, values) in enumerate(zip(words, q["weights"])):
-        if len(terms):
-            weights[i, vocab.get_indexer(terms)] = values
-    out = np.zeros((len(q), len(c)))
-    means = q["avgdl"].fillna(1.0).to_numpy()
-    for mean in np.unique(means):
-        rows = np.flatnonzero(means == mean)
-        used = np.flatnonzero(weights[rows].any(axis=0))
-        part = tf[:, used]
-        norm = P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * lengths / mean)
-        out[rows] = weights[np.ix_(rows, used)] @ (part * (P.BM25_K1 + 1) / (part + norm[:, None])).T
-    return out
-
-
-def _scores(q: pd.DataFrame, c: pd.DataFrame, lists: tuple[str, ...]) -> np.ndarray:
-    """One layer per list, larger is better, rounded so that equal scores tie; an excluded candidate scores minus infinity."""
-    layers = []
-    if "vector" in lists:
-        layers.append(np.round(_unit(q["q_vec"]) @ _unit(c["vec"]).T, 9))
-    if "bm25" in lists:
-        layers.append(np.round(_bm25(q, c), 9))
-    if "amount" in lists:
-        layers.append(-np.round(np.abs(c["log_amount"].to_numpy()[None, :] - q["q_log_amount"].to_numpy()[:, None]), 9))
-    stack = np.nan_to_num(np.stack(layers), nan=-1e300)  # an unknown amount is the farthest
-    if q["exclude_id"].notna().all():
-        stack[:, q["exclude_id"].to_numpy()[:, None] == c["doc_id"].to_numpy()[None, :]] = -np.inf
-    return stack
-
-
-def _best_of_tile(lists: tuple[str, ...], k: int):
+def _keys(scores: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Ascending integers in the order of falling score, rounded so that equal scores tie, then of rising place."""
+    codes = np.rint(scores * -ROUNDED)
+    codes[np.isnan(codes)] = _UNKNOWN  # an unknown amount is the farthest
+    return (np.clip(codes, -_UNKNOWN, _UNKNOWN).astype(np.int64) << PLACE_BITS) | places
+
+
+class Search(NamedTuple):
+    """What a query has read of an index: scores by slot, complete in the blocks that are done, with the keys of their cases."""
+
+    found: np.ndarray
+    scores: np.ndarray
+    common: np.ndarray
+    done: np.ndarray
+    keys: np.ndarray
+    unread: float
+
+
+class PostingBlocks:
+    """Inverted index of a shard over the terms of a query block, in blocks of cases with the largest part of each term.
+
+    Terms that an eighth of the cases hold are columns of a matrix, the others posting lists. Cases that share their rarest term
+    lie together, so that rare terms touch few blocks. A block whose upper bound for a query stays below what the query needs is
+    not scored.
+    """
+
+    def __init__(self, terms: pd.Series, vocabulary: np.ndarray):
+        self.lengths = terms.map(len).to_numpy()
+        n, size = len(terms), max(len(vocabulary), 1)
+        flat = np.concatenate([np.asarray(t, np.int64) for t in terms]) if n else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(n), self.lengths)
+        at = np.searchsorted(vocabulary, flat)
+        hit = np.zeros(len(flat), bool) if not len(vocabulary) else vocabulary[np.minimum(at, size - 1)] == flat
+        pair, tf = np.unique(owner[hit] * size + at[hit], return_counts=True)
+        case, term = pair // size, pair % size
+        df = np.bincount(term, minlength=size)
+        rarest = np.full(n, np.iinfo(np.int64).max)
+        shared = df[term] > 1
+        np.minimum.at(rarest, case[shared], df[term[shared]] * size + term[shared])
+        self.order = np.argsort(rarest, kind="stable")  # place of the case at each slot
+        self.slot = np.empty(n, np.int64)
+        self.slot[self.order] = np.arange(n)
+        by_term = np.lexsort((self.slot[case], term))
+        self.case, self.term, self.tf = self.slot[case][by_term], term[by_term], tf[by_term].astype(np.float64)
+        self.starts = np.searchsorted(self.term, np.arange(size + 1))
+        self.is_common = df * 8 >= max(n, 1)
+        self.common = np.flatnonzero(self.is_common)
+        self.n, self.size, self.blocks = n, size, -(-n // CASES_A_BLOCK)
+        self.mean = None
+
+    def weigh(self, mean: float) -> None:
+        """Parts of every posting for cases of this mean length."""
+        if self.mean == mean:
+            return
+        self.mean = mean
+        norm = P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * self.lengths[self.order] / mean)
+        self.part = self.tf * (P.BM25_K1 + 1) / (self.tf + norm[self.case])
+        self.most = np.zeros((self.size, self.blocks))
+        np.maximum.at(self.most, (self.term, self.case // CASES_A_BLOCK), self.part)
+        self.columns = np.zeros((len(self.common), self.n))
+        for row, t in enumerate(self.common):
+            own = slice(self.starts[t], self.starts[t + 1])
+            self.columns[row, self.case[own]] = self.part[own]
+
+    def query(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the rare terms at every slot, weights of the common ones, and the upper bound of each block."""
+        common = np.zeros(self.size)
+        common[terms] = weights
+        scores, rare = np.zeros(self.n), ~self.is_common[terms]
+        for t, w in zip(terms[rare], weights[rare], strict=True):
+            own = slice(self.starts[t], self.starts[t + 1])
+            scores[self.case[own]] += w * self.part[own]
+        return scores, common[self.common], np.maximum(weights, 0) @ self.most[terms] * (1 + 1e-9) + 1e-8
+
+    def add(self, scores: np.ndarray, common: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Completes the scores of some blocks; gives their slots."""
+        slots = (blocks[:, None] * CASES_A_BLOCK + np.arange(CASES_A_BLOCK)).ravel()
+        slots = slots[slots < self.n]
+        scores[slots] += common @ (self.columns if len(slots) == self.n and (np.diff(blocks) == 1).all() else self.columns[:, slots])
+        return slots
+
+    def at_least(self, terms: np.ndarray, weights: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Slots of the blocks that can reach ``level``, all scores (right at these slots), common weights, and the blocks' bounds."""
+        scores, common, bounds = self.query(terms, weights)
+        return self.add(scores, common, np.flatnonzero(bounds >= level)), scores, common, bounds
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, count: int, out: int) -> Search:
+        """The best ``count`` cases, reading blocks in the order of their bounds until none can hold a better one."""
+        scores, common, bounds = self.query(terms, weights)
+        ahead = np.argsort(-bounds, kind="stable")
+        done = np.zeros(self.blocks, bool)
+        step, keys, every = max(1, -(-2 * count // CASES_A_BLOCK)), np.zeros(0, np.int64), []
+        while True:
+            level = -np.inf if len(keys) < count or keys[count - 1] >= _OUT else -(keys[count - 1] >> PLACE_BITS) / ROUNDED - 1e-9
+            wanted = ahead[~done[ahead] & (bounds[ahead] >= level)]
+            if not len(wanted):
+                break
+            blocks = np.sort(wanted[:step])
+            slots = self.add(scores, common, blocks)
+            done[blocks], step = True, step * 4
+            places = self.order[slots]
+            new = _keys(scores[slots], places)
+            new[places == out] = _OUT
+            every.append(new)
+            keys = np.concatenate([keys, new])
+            keys = np.sort(keys[np.argpartition(keys, count)[: count + 1]] if len(keys) > count + 1 else keys)
+        found = keys[keys < _OUT][:count] & ((1 << PLACE_BITS) - 1)
+        return Search(found, scores, common, done, np.concatenate(every or [keys]), bounds[~done].max(initial=-np.inf))
+
+    def ranked(self, search: Search, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ranks of some cases; a rank is nan where a case of a block that was not read may be better."""
+        slots = self.slot[places]
+        scores = search.scores[slots]
+        unread = ~search.done[slots // CASES_A_BLOCK]
+        if unread.any():
+            scores[unread] += search.common @ self.columns[:, slots[unread]]
+        ranks = np.searchsorted(np.sort(search.keys), _keys(scores, places)) + 1.0
+        return scores, np.where(scores <= search.unread, np.nan, ranks)
+
+
+def _index(q: pd.DataFrame, c: pd.DataFrame) -> tuple[PostingBlocks, list[np.ndarray]]:
+    """The shard's index and each query's term numbers."""
+    words = [np.asarray(t if t is not None else [], np.int64) for t in q["terms"]]
+    vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.int64)
+    return PostingBlocks(c["tokens"], vocabulary), [np.searchsorted(vocabulary, w) for w in words]
+
+
+def _own_place(q: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
+    """Place of the case that a query may not find, -1 if there is none."""
+    if q["exclude_id"].isna().any() or not len(ids):
+        return np.full(len(q), -1)
+    at = np.minimum(np.searchsorted(ids, q["exclude_id"].to_numpy()), len(ids) - 1)
+    return np.where(ids[at] == q["exclude_id"].to_numpy(), at, -1)
+
+
+def _bm25_order(q: pd.DataFrame) -> np.ndarray:
+    """Queries of one mean length in a row: parts of postings depend on it."""
+    return np.argsort(q["avgdl"].fillna(1.0).to_numpy(), kind="stable")
+
+
+def _bounds(ranks: list[np.ndarray], bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most that candidates can score; an unknown rank is beyond ``bound``."""
+    low = sum(np.nan_to_num(1.0 / (P.RRF_K + r), nan=0.0) for r in ranks)
+    return low, sum(np.nan_to_num(1.0 / (P.RRF_K + r), nan=1.0 / (P.RRF_K + bound + 1)) for r in ranks)
+
+
+def _best_of_shard(lists: tuple[str, ...], k: int):
     bound = len(lists) * (P.RRF_K + k) - P.RRF_K
+    names = ["query_id", "doc_id", *[f"s_{name}" for name in lists], *[f"r_{name}" for name in lists]]
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "doc_id", *[f"s_{name}" for name in lists], *[f"r_{name}" for name in lists]]
         if q.empty or c.empty:
             return pd.DataFrame(columns=names)
         c = c.sort_values("doc_id", ignore_index=True)
-        stack = _scores(q, c, lists)
-        ids = c["doc_id"].to_numpy()
-        order = np.argsort(-stack, axis=2, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(1, len(ids) + 1)[None, None, :], axis=2)
-        near = [np.unique(order[:, i, :bound]) for i in range(len(q))]
-        rows, keep = np.repeat(np.arange(len(q)), [len(n) for n in near]), np.concatenate(near)
-        usable = np.isfinite(stack[0, rows, keep])  # all but the own case
-        rows, keep = rows[usable], keep[usable]
-        columns = [q["query_id"].to_numpy()[rows], ids[keep], *stack[:, rows, keep], *rank[:, rows, keep]]
-        return pd.DataFrame(dict(zip(names, columns)))
+        ids, places = c["doc_id"].to_numpy(), np.arange(len(c))
+        own, whole_pool = _own_place(q, ids), q["n_blocks"].iat[0] == 1
+        if "vector" in lists:
+            asked, cases = _unit(q["q_vec"]), _unit(c["vec"])
+        if "bm25" in lists:
+            index, words = _index(q, c)
+            weights, means = [np.asarray(w if w is not None else [], np.float64) for w in q["weights"]], q["avgdl"].fillna(1.0).to_numpy()
+        amounts, q_amounts = c["log_amount"].to_numpy(np.float64), q["q_log_amount"].to_numpy(np.float64)
+        columns, sizes = [[] for _ in names[1:]], np.zeros(len(q), np.int64)
+        batch = max(1, SCORES_AT_ONCE // len(c))
+        order = _bm25_order(q)
+        for start in range(0, len(q), batch):
+            rows = order[start : start + batch]
+            scores, keys = {}, {}
+            if "vector" in lists:
+                scores["vector"] = asked[rows] @ cases.T
+            if "amount" in lists:
+                scores["amount"] = -np.abs(amounts[None, :] - q_amounts[rows][:, None])
+            for name, values in scores.items():
+                keys[name] = _keys(values, places)
+                keys[name][np.flatnonzero(own[rows] >= 0), own[rows][own[rows] >= 0]] = _OUT
+            sorted_ = {name: np.sort(x, axis=1) for name, x in keys.items()}
+            for at, i in enumerate(rows):
+                near = [x[at, :bound][x[at, :bound] < _OUT] & ((1 << PLACE_BITS) - 1) for x in sorted_.values()]
+                if "bm25" in lists:
+                    index.weigh(means[i])
+                    search = index.best(words[i], weights[i], bound, own[i])
+                    near.append(search.found)
+                near = np.unique(np.concatenate(near))
+                values, ranks = [], []
+                for name in lists:
+                    if name == "bm25":
+                        score, rank = index.ranked(search, near)
+                    else:
+                        score, rank = scores[name][at, near], np.searchsorted(sorted_[name][at], keys[name][at, near]) + 1.0
+                    values.append(score)
+                    ranks.append(rank)
+                if whole_pool and len(near) > k:  # ranks are final, so most candidates are beaten already
+                    low, high = _bounds(ranks, bound)
+                    alive = high >= np.partition(low, len(low) - k)[len(low) - k] - 1e-12
+                    near, values, ranks = near[alive], [x[alive] for x in values], [x[alive] for x in ranks]
+                sizes[i] = len(near)
+                for column, x in zip(columns, [ids[near], *values, *ranks], strict=True):
+                    column.append(x)
+        out = [np.repeat(q["query_id"].to_numpy()[order], sizes[order]), *[np.concatenate(x) for x in columns]]
+        out = pd.DataFrame(dict(zip(names, out, strict=True)))
+        for name in lists:
+            out[f"s_{name}"] = np.nan_to_num(np.round(out[f"s_{name}"], 9), nan=-1e300)
+        return out
 
     return run
 
 
-def _beaten_in_tile(lists: tuple[str, ...]):
+def _better_in_shard(lists: tuple[str, ...]):
+    """How many cases of a shard come before each candidate whose rank is not known yet; null where it is known."""
+    names = ["query_id", "doc_id", *[f"b_{name}" for name in lists]]
+
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "doc_id", *[f"b_{name}" for name in lists]]
         if q.empty or c.empty:
             return pd.DataFrame(columns=names)
         c = c.sort_values("doc_id", ignore_index=True)
-        stack, ids = _scores(q, c, lists), c["doc_id"].to_numpy()
-        found = []
-        for i in range(len(q)):
-            cands = q["candidates"].iat[i]
-            doc = np.array([row["doc_id"] for row in cands])
-            counts = []
-            for layer, name in enumerate(lists):
-                mine = np.array([row[f"s_{name}"] for row in cands])
-                scores = stack[layer, i]
-                ordered = np.sort(scores)
-                better = len(ordered) - np.searchsorted(ordered, mine, side="right")
-                tied = len(ordered) - np.searchsorted(ordered, mine, side="left") - better
-                for j in np.flatnonzero(tied):
-                    better[j] += np.count_nonzero((scores == mine[j]) & (ids < doc[j]))
-                counts.append(better)
-            found.append(pd.DataFrame(dict(zip(names, [np.repeat(q["query_id"].iat[i], len(doc)), doc, *counts]))))
-        return pd.concat(found, ignore_index=True)
+        ids, places = c["doc_id"].to_numpy(), np.arange(len(c))
+        own, open_ = _own_place(q, ids), {}
+        candidates = [list(x) for x in q["candidates"]]
+        docs = [np.array([x["doc_id"] for x in own_]) for own_ in candidates]
+        for name in lists:
+            open_[name] = [np.array([x[f"r_{name}"] is None or x[f"r_{name}"] != x[f"r_{name}"] for x in own_]) for own_ in candidates]
+        if "vector" in lists and any(o.any() for o in open_["vector"]):
+            asked, cases = _unit(q["q_vec"]), _unit(c["vec"])
+        if "bm25" in lists and any(o.any() for o in open_["bm25"]):
+            index, words = _index(q, c)
+        amounts, q_amounts = c["log_amount"].to_numpy(np.float64), q["q_log_amount"].to_numpy(np.float64)
+        means, found = q["avgdl"].fillna(1.0).to_numpy(), []
+        for i in _bm25_order(q):
+            out = {"query_id": np.repeat(q["query_id"].iat[i], len(docs[i])), "doc_id": docs[i]}
+            at = np.searchsorted(ids, docs[i])
+            for name in lists:
+                out[f"b_{name}"] = np.full(len(docs[i]), np.nan)
+                wanted = open_[name][i]
+                if not wanted.any():
+                    continue
+                level = np.array([x[f"s_{name}"] for x in candidates[i]])[wanted]
+                spots = places
+                if name == "vector":
+                    scores = cases @ asked[i]
+                elif name == "amount":
+                    scores, level = -np.abs(amounts - q_amounts[i]), np.where(level <= -1e299, np.nan, level)
+                else:
+                    index.weigh(means[i])
+                    w = q["weights"].iat[i]
+                    slots, scores, _, _ = index.at_least(words[i], np.asarray(w if w is not None else [], np.float64), level.min() - 1e-8)
+                    scores, spots = scores[slots], index.order[slots]
+                keys = np.sort(_keys(scores[spots != own[i]], spots[spots != own[i]]))
+                out[f"b_{name}"][wanted] = np.searchsorted(keys, _keys(level, at[wanted]))
+            found.append(pd.DataFrame(out))
+        return pd.concat(found, ignore_index=True)[names]
 
     return run
 
 
+def _amount_values(cases: DataFrame, held: int) -> DataFrame:
+    """pool, log_amount, docs: every different amount with its first ``held`` cases."""
+    place = F.row_number().over(Window.partitionBy("pool", "log_amount").orderBy("doc_id"))
+    listed = cases.select("pool", "log_amount", "doc_id").withColumn("_place", place).where(F.col("_place") <= held)
+    return materialise(listed.groupBy("pool", "log_amount").agg(F.collect_list("doc_id").alias("docs")), "amounts")
+
+
+def amounts_around(asked: DataFrame, values: DataFrame, held: int) -> DataFrame:
+    """query_id, exclude_id, docs, s_amount: the amounts in a query's own bucket and the ones beside it, whatever the size of its pool."""
+    amount, query = F.col("log_amount"), ["query_id", "pool", "q_log_amount", "exclude_id"]
+    points = values.where(amount.isNotNull()).select("pool", "log_amount", F.lit(1).alias("is_value"))
+    points = points.unionByName(asked.where("q_log_amount IS NOT NULL").select("pool", F.col("q_log_amount").alias("log_amount"), F.lit(0).alias("is_value")))
+    points = points.groupBy("pool", "log_amount").agg(F.max("is_value").alias("is_value")).withColumn("_chunk", F.floor(amount * 64))
+    placed = chunked_prefix(points, ["pool"], "log_amount", "_chunk", ["is_value"]).select("pool", "log_amount", F.col(before("is_value")).alias("at"))
+    width = 2 * held
+    bucket = F.floor(F.col("at") / width)
+    known = values.join(placed, ["pool", "log_amount"]).select("pool", "log_amount", "docs", bucket.alias("bucket"))
+    near = asked.select(*query).join(placed.withColumnRenamed("log_amount", "q_log_amount"), ["pool", "q_log_amount"]).select(
+        *query, F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")
+    )
+    away = -F.round(F.abs(F.col("log_amount") - F.col("q_log_amount")), 9)
+    return near.join(known, ["pool", "bucket"]).select(*query, "docs", away.alias("s_amount"))
+
+def nearest_amounts(asked: DataFrame, cases: DataFrame, count: int) -> DataFrame:
+    """query_id, doc_id, s_amount, r_amount: the ``count`` cases of the pool with the closest log amount.
+
+    ``asked``: query_id, pool, q_log_amount, exclude_id; ``cases``: pool, doc_id, log_amount. A pool's different amounts are numbered
+    in order and cut into buckets; a query reads its own bucket and the ones beside it, and of every amount the first ``count``
+    cases, so what it reads does not depend on the pool. A case of unknown amount is farther than any other; to a query of
+    unknown amount all are equally far. Exact unless more than ``count`` different amounts lie within a billionth of each other.
+    """
+    held = count + 1  # one of them may be the own case
+    values = _amount_values(cases, held)
+    query = ["query_id", "pool", "q_log_amount", "exclude_id"]
+    read = amounts_around(asked, values, held)
+    close = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("s_amount")))
+    read = read.withColumn("_close", close).where(F.col("_close") <= held).drop("_close")
+    farthest = F.lit(-1e300)
+    unknown = asked.where("q_log_amount IS NOT NULL").select(*query).join(values.where("log_amount IS NULL").select("pool", "docs"), "pool")
+    first = F.row_number().over(Window.partitionBy("pool").orderBy("doc_id"))
+    firsts = cases.select("pool", "doc_id").withColumn("_place", first).where(F.col("_place") <= held).groupBy("pool").agg(F.collect_list("doc_id").alias("docs"))
+    lost = asked.where("q_log_amount IS NULL").select(*query).join(firsts, "pool")
+    rows = read.unionByName(unknown.withColumn("s_amount", farthest)).unionByName(lost.withColumn("s_amount", farthest))
+    rows = rows.select("query_id", "exclude_id", "s_amount", F.explode("docs").alias("doc_id")).where(~F.col("doc_id").eqNullSafe(F.col("exclude_id")))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s_amount"), "doc_id"))
+    return rows.withColumn("r_amount", best).where(F.col("r_amount") <= count).select("query_id", "doc_id", "s_amount", F.col("r_amount").cast("double").alias("r_amount"))
+
+
 def hybrid_retrieve(
     queries: DataFrame, corpus: DataFrame, top_k: int = P.TOP_K, *, lists: tuple[str, ...] = LISTS,
-    exclude_self: bool = False, query_block: int = QUERY_BLOCK, case_block: int = CASE_BLOCK,
+    exclude_self: bool = False, query_block: int = QUERY_BLOCK, case_block: int = CASE_BLOCK, tokens_a_shard: int = TOKENS_A_SHARD,
 ) -> DataFrame:
     """Top cases per query with their ranks.
 
     ``queries``: query_id, text, amount, segment, industry, is_disputed, embedding; ``corpus``: invoice_id, case_text,
     amount, segment, industry, is_disputed, embedding. With ``exclude_self`` a query's own case (same id) is no candidate.
     """
+    if case_block > 1 << PLACE_BITS:
+        raise ValueError(f"a shard holds at most {1 << PLACE_BITS} cases")
     own = corpus.select(F.col("invoice_id").alias("query_id"), F.col("is_disputed").alias("own_disputed"))
     asked = queries.join(own, "query_id", "left") if exclude_self else queries.withColumn("own_disputed", F.lit(None).cast("boolean"))
-    asked = choose_pools(asked, pool_sizes(corpus)).withColumn("q_tokens", tokens(F.col("text")))
-    load = asked.groupBy("pool").agg(F.count(F.lit(1)).alias("n_queries"))
-    blocks = load.join(pool_sizes(corpus), "pool").select(
-        "pool", F.ceil(F.col("n_queries") / query_block).cast("int").alias("q_blocks"),
-        F.ceil(F.col("n") / case_block).cast("int").alias("n_blocks"),
-    )
-    # One short row per pool in use: bounded by segments times industries, read back instead of computed again.
-    blocks = materialise(blocks, "pools")
-    cases = (
-        corpus.select(
-            F.col("invoice_id").alias("doc_id"), F.explode(level_keys(F.col("is_disputed"))).alias("pool"),
-            tokens(F.col("case_text")).alias("tokens"), F.ln("amount").alias("log_amount"), F.col("embedding").alias("vec"),
-        )
-        .join(blocks, "pool")
+    words = "bm25" in lists
+    hashed = lambda text: F.transform(tokens(text), lambda t: F.xxhash64(t)) if words else F.array().cast("array<bigint>")
+    stored = materialise(corpus.select(
+        F.col("invoice_id").alias("doc_id"), level_keys(F.col("is_disputed")).alias("pools"), hashed(F.col("case_text")).alias("tokens"),
+        F.ln("amount").alias("log_amount"), F.col("embedding").alias("vec"),
+    ), "cases")
+    sizes = stored.select(F.explode("pools").alias("pool"), F.size("tokens").alias("length")).groupBy("pool").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("length").alias("length")
     )
-    asked = asked.join(blocks, "pool").select(
-        "query_id", "pool", "q_tokens", F.ln("amount").alias("q_log_amount"), F.col("embedding").alias("q_vec"), "q_blocks", "n_blocks",
+    sizes = materialise(sizes, "pools")
+    asked = choose_pools(asked, sizes.select("pool", "n")).select(
+        "query_id", "pool", hashed(F.col("text")).alias("q_tokens"), F.ln("amount").alias("q_log_amount"), F.col("embedding").alias("q_vec"),
         F.when(F.lit(exclude_self), F.col("query_id")).alias("exclude_id"),
     )
-    if "bm25" in lists:
+    asked = materialise(asked, "asked")
+    shards = F.greatest(F.ceil(F.col("n") / case_block), F.ceil(F.col("length") / tokens_a_shard)).cast("int")
+    blocks = asked.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("q_blocks")).join(
+        sizes.select("pool", shards.alias("n_blocks")), "pool"
+    )
+    # One short row per pool in use: bounded by segments times industries, read back instead of computed again.
+    blocks = materialise(blocks, "blocks")
+    cases = stored.withColumn("pool", F.explode("pools")).drop("pools").join(blocks, "pool")
+    if lists == ("amount",):
+        return _finish(nearest_amounts(asked, cases, top_k), lists, top_k)
+    asked = asked.join(blocks, "pool")
+    if words:
         weights = bm25_query_weights(asked, cases, exclude_self)
         asked = asked.join(weights, "query_id", "left").drop("q_tokens")
     else:
-        blank = {"terms": "array<string>", "weights": "array<double>", "avgdl": "double"}
+        blank = {"terms": "array<bigint>", "weights": "array<double>", "avgdl": "double"}
         asked = asked.withColumns({c: F.lit(None).cast(t) for c, t in blank.items()}).drop("q_tokens")
+    asked = materialise(asked, "weighed")
 
-    def tiled(run, schema: str, q: DataFrame, c: DataFrame) -> DataFrame:
+    def met(run, schema: str, q: DataFrame, c: DataFrame) -> DataFrame:
         spread = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = q.withColumn("qb", spread("query_id", "q_blocks")).withColumn("cb", every("n_blocks")).drop("q_blocks")
@@ -251,41 +483,45 @@ def hybrid_retrieve(
         keys = ["pool", "qb", "cb"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
-    scores = ", ".join(f"s_{name} double" for name in lists)
-    ranks = ", ".join(f"r_{name} bigint" for name in lists)
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     pair = f"query_id {kind(queries, 'query_id')}, doc_id {kind(corpus, 'invoice_id')}"
-    best = tiled(_best_of_tile(lists, top_k), f"{pair}, {scores}, {ranks}", asked, cases)
-    fused = lambda kind: sum((1.0 / (P.RRF_K + F.col(f"{kind}_{name}")) for name in lists), F.lit(0.0))
-    top = Window.partitionBy("query_id").orderBy(F.col("rrf_score").desc(), "doc_id")
-
-    def finish(rows: DataFrame) -> DataFrame:
-        ranked = rows.withColumn("rrf_score", fused("r")).withColumn("rank", F.row_number().over(top))
-        names = [f"s_{name}" for name in lists] + [f"r_{name}" for name in lists]
-        return ranked.filter(F.col("rank") <= top_k).select("query_id", "doc_id", *names, "rrf_score", "rank")
+    scores = ", ".join(f"s_{name} double" for name in lists)
+    ranks = ", ".join(f"r_{name} double" for name in lists)
+    seen = materialise(met(_best_of_shard(lists, top_k), f"{pair}, {scores}, {ranks}", asked, cases), "listed")
 
+    # A rank is known in a pool of one shard, and for the best of all shards together.
     bound = len(lists) * (P.RRF_K + top_k) - P.RRF_K
-    seen = materialise(best, "tiles")
+    seen = seen.join(asked.select("query_id", "n_blocks"), "query_id")
     for name in lists:
-        place = Window.partitionBy("query_id").orderBy(F.col(f"s_{name}").desc(), "doc_id")
-        seen = seen.withColumn(f"r_{name}", F.row_number().over(place))
-    # A seen rank within the bound is the true one; beyond it the true rank is at least as large.
-    low = sum((F.when(F.col(f"r_{name}") <= bound, 1.0 / (P.RRF_K + F.col(f"r_{name}"))).otherwise(0.0) for name in lists), F.lit(0.0))
-    seen = seen.withColumn("low", low).withColumn("high", fused("r"))
-    by_low = Window.partitionBy("query_id").orderBy(F.col("low").desc())
-    nth = F.max(F.when(F.col("place") == top_k, F.col("low"))).over(Window.partitionBy("query_id"))
-    alive = seen.withColumn("place", F.row_number().over(by_low)).withColumn("nth", nth).filter(
-        F.col("nth").isNull() | (F.col("high") >= F.col("nth") - 1e-12)
-    ).select("query_id", "doc_id", *[f"s_{name}" for name in lists])
-    packed = alive.groupBy("query_id").agg(
-        F.collect_list(F.struct("doc_id", *[f"s_{name}" for name in lists])).alias("candidates")
-    )
-    beaten = tiled(
-        _beaten_in_tile(lists), f"{pair}, " + ", ".join(f"b_{name} bigint" for name in lists),
-        asked.join(packed, "query_id"), cases,
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(f"s_{name}").desc(), "doc_id"))
+        seen = seen.withColumn("_place", place)
+        known = F.when(F.col("n_blocks") == 1, F.nanvl(f"r_{name}", F.lit(None))).when(F.col("_place") <= bound, F.col("_place").cast("double"))
+        seen = seen.withColumn(f"r_{name}", known)
+    share = lambda name: 1.0 / (P.RRF_K + F.col(f"r_{name}"))
+    low = sum((F.coalesce(share(name), F.lit(0.0)) for name in lists), F.lit(0.0))
+    high = sum((F.coalesce(share(name), F.lit(1.0 / (P.RRF_K + bound + 1))) for name in lists), F.lit(0.0))
+    of_query = Window.partitionBy("query_id")
+    seen = seen.withColumns({"low": low, "high": high}).withColumn("_place", F.row_number().over(of_query.orderBy(F.col("low").desc())))
+    nth = F.max(F.when(F.col("_place") == top_k, F.col("low"))).over(of_query)
+    alive = seen.withColumn("nth", nth).where(F.col("nth").isNull() | (F.col("high") >= F.col("nth") - 1e-12))
+    alive = materialise(alive.select("query_id", "doc_id", *[f"{p}_{name}" for p in "sr" for name in lists]), "alive")
+    unknown = reduce(lambda a, b: a | b, [F.col(f"r_{name}").isNull() for name in lists])
+    packed = alive.where(unknown).groupBy("query_id").agg(
+        F.collect_list(F.struct("doc_id", *[f"{p}_{name}" for p in "sr" for name in lists])).alias("candidates")
     )
-    exact = beaten.groupBy("query_id", "doc_id").agg(*[(F.sum(f"b_{name}") + 1).alias(f"r_{name}") for name in lists])
-    return finish(alive.join(exact, ["query_id", "doc_id"]))
+    better = met(_better_in_shard(lists), f"{pair}, " + ", ".join(f"b_{name} double" for name in lists), asked.join(packed, "query_id"), cases)
+    better = better.groupBy("query_id", "doc_id").agg(*[F.sum(f"b_{name}").alias(f"b_{name}") for name in lists])
+    exact = alive.join(better, ["query_id", "doc_id"], "left").withColumns({f"r_{name}": F.coalesce(f"r_{name}", F.col(f"b_{name}") + 1) for name in lists})
+    return _finish(exact, lists, top_k)
+
+
+def _finish(rows: DataFrame, lists: tuple[str, ...], top_k: int) -> DataFrame:
+    """The best by reciprocal ranks, which are exact here."""
+    fused = sum((1.0 / (P.RRF_K + F.col(f"r_{name}")) for name in lists), F.lit(0.0))
+    top = Window.partitionBy("query_id").orderBy(F.col("rrf_score").desc(), "doc_id")
+    ranked = rows.withColumn("rrf_score", fused).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= top_k)
+    names = [F.col(f"s_{name}") for name in lists] + [F.col(f"r_{name}").cast("bigint").alias(f"r_{name}") for name in lists]
+    return ranked.select("query_id", "doc_id", *names, "rrf_score", "rank")
 
 
 def archetype_cohesion(results: DataFrame, queries: DataFrame, archetypes: DataFrame) -> DataFrame:

@@ -218,14 +218,15 @@ def log_json(x):
 
 
 @query("O135_label_and_reason", sql("""SELECT id, coalesce(CASE WHEN l % 3 = 0 THEN decision END, CASE WHEN l % 3 = 1 THEN state END, 'rejected') AS decision,
-  coalesce(error, CASE WHEN l % 3 = 0 THEN policy_result END, CASE WHEN l % 3 = 1 THEN 'promise recorded -- account moved to ' || state END, 'no assessment this round') AS reason
+  coalesce(error, CASE WHEN l % 3 = 0 THEN policy_result END, CASE WHEN l % 3 = 1 AND starts_with(trigger_type, 'promise.') THEN 'promise recorded -- account moved to ' || state END,
+    'no assessment this round') AS reason
   FROM (SELECT *, hour(timestamp) AS l FROM decision_logs)"""))
 def label_reason(x):
     shape = F.hour("timestamp") % 3
     logs = audit.parsed_logs(x.d.decision_logs)
     rows = logs.select(
         "id", "error", F.when(shape == 0, F.col("decision")).alias("selected_action"), F.when(shape == 1, F.col("state_transition_path")[0]).alias("next_state"),
-        F.when(shape == 0, F.col("policy_result")).alias("policy_reason"),
+        F.when(shape == 0, F.col("policy_result")).alias("policy_reason"), F.col("trigger_event_type").alias("event_type"),
     )
     return rows.select("id", audit.decision_label().alias("decision"), audit.decision_reason().alias("reason"))
 

@@ -75,7 +75,7 @@ def check(spark, queries, corpus, k, exclude=False, **blocks):
         assert got[q[0]] == brute(q, corpus, k, exclude), q
 
 
-@pytest.mark.parametrize("blocks", [{}, {"query_block": 7, "case_block": 40}])
+@pytest.mark.parametrize("blocks", [{}, {"query_block": 7, "case_block": 40}, {"tokens_a_shard": 700}])
 def test_equals_brute_force_with_a_hot_segment(spark, blocks):
     rng = random.Random(11)
     corpus = [make(rng, i) for i in range(400)]
@@ -145,3 +145,64 @@ def test_cases_and_queries_without_direction_or_amount_take_part(spark):
         got.setdefault(r.query_id, set()).add(r.doc_id)
     assert set(got) == {100, 101} and all(len(ids) >= P.MIN_CANDIDATES for ids in got.values())
     assert any({4, 7} <= ids for ids in got.values())
+
+
+def test_an_index_reads_only_blocks_that_can_hold_a_better_case():
+    import numpy as np
+    import pandas as pd
+
+    draw = np.random.default_rng(3)
+    cases = pd.Series([np.concatenate([draw.integers(0, 6, draw.integers(2, 9)), draw.integers(100, 400, 2)]) for _ in range(20_000)])
+    terms, weights = np.array([0, 1, 2, 150, 151, 390]), np.array([0.02, 0.03, 0.01, 7.0, 5.0, 6.0])
+    index = R.PostingBlocks(cases, terms)
+    index.weigh(7.0)
+    search = index.best(np.arange(6), weights, 40, out=17)
+    norm = P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * cases.map(len).to_numpy() / 7.0)
+    tf = np.stack([cases.map(lambda c, t=t: int((c == t).sum())).to_numpy() for t in terms])
+    scores = (weights[:, None] * tf * (P.BM25_K1 + 1) / (tf + norm)).sum(axis=0)
+    want = [i for i in np.lexsort((np.arange(20_000), -np.round(scores, 9))) if i != 17][:40]
+    assert search.found.tolist() == want
+    assert search.done.sum() * 4 < index.blocks
+    got, ranks = index.ranked(search, np.array(want[:5] + [17]))
+    assert np.allclose(got, scores[want[:5] + [17]]) and ranks[:5].tolist() == [1, 2, 3, 4, 5]
+
+
+def test_what_leaves_a_task_is_bounded(spark, monkeypatch):
+    rng = random.Random(21)
+    corpus = [make(rng, i, hot=1.0) for i in range(3000)]
+    asked = [make(rng, 10_000 + i, hot=1.0) for i in range(4)]
+    left = {}
+    write = R.materialise
+    monkeypatch.setattr(R, "materialise", lambda df, name: left.setdefault(name, write(df, name)))
+    check(spark, asked, corpus, 2, case_block=800)
+    bound = 3 * (P.RRF_K + 2) - P.RRF_K
+    shards = left["blocks"].collect()[0]["n_blocks"]
+    assert shards > 1 and left["listed"].groupBy("query_id").count().where(f"count > {3 * bound * shards}").count() == 0
+    left.clear()
+    check(spark, asked, corpus, 2)
+    assert left["listed"].groupBy("query_id").count().where(f"count > {bound}").count() == 0  # beaten candidates stay in their task
+
+
+@pytest.mark.parametrize("values", ["spread", "few"])
+def test_closest_amounts(spark, values):
+    rng = random.Random(31)
+    amount = lambda: rng.choice([None, 0.0, 100.0, 100.5, 250.0]) if values == "few" else rng.choice([None, 0.0, round(rng.lognormvariate(6, 2), 2)])
+    cases = [(i, rng.choice("pq"), amount()) for i in range(1500)]
+    asked = [(i, rng.choice("pq"), amount()) for i in range(40)]
+    frame = lambda rows, key, value: spark.createDataFrame(rows, f"{key} long, pool string, amount double").selectExpr(key, "pool", f"ln(amount) AS {value}")
+    found = {}
+    near = R.nearest_amounts(frame(asked, "query_id", "q_log_amount").selectExpr("*", "query_id * 3 AS exclude_id"), frame(cases, "doc_id", "log_amount"), 7)
+    for r in near.collect():
+        found.setdefault(r.query_id, []).append((r.r_amount, r.doc_id))
+    away = lambda a, b: math.inf if not a or not b else round(abs(math.log(a) - math.log(b)), 9)
+    for key, pool_, value in asked:
+        order = sorted((away(value, a), i) for i, p, a in cases if p == pool_ and i != key * 3)
+        assert [d for _, d in sorted(found[key])] == [i for _, i in order[:7]]
+
+
+def test_closest_amounts_read_no_more_in_a_larger_pool(spark):
+    for n in (2_000, 20_000):
+        cases = spark.range(n).selectExpr("id AS doc_id", "concat('p', id % 2) AS pool", "ln(100 + id / 7) AS log_amount")
+        asked = spark.range(20).selectExpr("id AS query_id", "concat('p', id % 2) AS pool", "ln(150 + id) AS q_log_amount", "cast(null AS long) AS exclude_id")
+        read = R.amounts_around(asked, R._amount_values(cases, 6), 6).groupBy("query_id").count()
+        assert read.count() == 20 and read.where("count > 36").count() == 0
