@@ -69,7 +69,8 @@ def position(count: Column) -> Column:
     wanted = count / F.col("target") * F.col("weight")
     piece = F.element_at(F.filter("schedule", lambda s: s["area"] <= wanted), -1)
     rest = wanted - piece["area"]
-    return piece["u"] + 2 * rest / (piece["w"] + F.sqrt(piece["w"] * piece["w"] + 2 * piece["slope"] * rest))
+    # Where a schedule begins at weight 0, nothing is left over and nothing is divided by.
+    return piece["u"] + F.coalesce(F.try_divide(2 * rest, piece["w"] + F.sqrt(piece["w"] * piece["w"] + 2 * piece["slope"] * rest)), F.lit(0.0))
 
 
 def word_sizes(docs: DataFrame, *more: Column) -> DataFrame:
