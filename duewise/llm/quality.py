@@ -25,13 +25,14 @@ kept; null is a language of its own. Repeated rows and null ids are scored like
 from __future__ import annotations
 
 import bz2
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duewise.llm.common import materialise
+from duewise.llm.common import materialise, utf8
 from duewise.operators.prefix import before, chunked_prefix
 
 ORDER = 4
@@ -43,6 +44,8 @@ SPREAD = 3.0
 _SIZE = 1 << BITS
 _START = 1
 _PIECE = 1 << 21
+#: Rows of a block that are packed and unpacked together.
+ROWS_AT_ONCE = 500
 
 
 def _symbols() -> np.ndarray:
@@ -96,7 +99,11 @@ def trained_texts(blocks: DataFrame, good: DataFrame) -> DataFrame:
     def unpack(batches):
         for batch in batches:
             for packed, at in zip(*batch.columns, strict=True):
-                yield pa.RecordBatch.from_arrays([_unpacked(packed).column(2).take(at.values)], ["text"])
+                start, wanted = 0, np.sort(at.values.to_numpy())
+                for rows in _unpacked(packed):
+                    own = wanted[np.searchsorted(wanted, start) : np.searchsorted(wanted, start + rows.num_rows)] - start
+                    yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(own))], ["text"])
+                    start += rows.num_rows
 
     return blocks.join(rows, "block").select("packed", "rows").mapInArrow(unpack, "text string")
 
@@ -169,23 +176,47 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         for k, batch in enumerate(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch)
-            packed = bz2.compress(sink.getvalue().to_pybytes())
+            held = _Packed()
+            with pa.ipc.new_stream(pa.PythonFile(held, "w"), batch.schema) as out:
+                for at in range(0, max(batch.num_rows, 1), ROWS_AT_ONCE):
+                    out.write_batch(batch.slice(at, ROWS_AT_ONCE))
             ids = pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 31) + k], pa.int64()), ids, pa.array([packed], pa.binary())], ["block", "ids", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 31) + k], pa.int64()), ids, pa.array([held.end()], pa.binary())], ["block", "ids", "packed"])
 
     return docs.select("doc_id", "lang", "text").mapInArrow(pack, "block long, ids array<long>, packed binary")
 
 
-def _unpacked(packed) -> pa.RecordBatch:
-    return pa.ipc.open_stream(bz2.decompress(packed.as_py())).read_next_batch()
+class _Packed:
+    """A file that compresses what is written at once, so that a block is never held as plain bytes."""
+
+    closed = False
+
+    def __init__(self):
+        self.packer, self.parts = bz2.BZ2Compressor(), []
+
+    def write(self, data) -> int:
+        self.parts.append(self.packer.compress(bytes(data)))
+        return len(data)
+
+    def flush(self) -> None:
+        pass
+
+    def close(self) -> None:
+        self.closed = True
+
+    def end(self) -> bytes:
+        return b"".join([*self.parts, self.packer.flush()])
+
+
+def _unpacked(packed):
+    """The batches of a block, some rows at a time."""
+    with bz2.BZ2File(pa.BufferReader(packed.as_buffer())) as data:
+        yield from pa.ipc.open_stream(pa.PythonFile(data, "r"))
 
 
 def perplexities(docs: DataFrame, counts: Counts) -> DataFrame:
     """doc_id, lang, n_signs, perplexity (null without signs) of all rows of (doc_id, lang, text)."""
-    return block_perplexities(materialise(_blocks(docs), "blocks"), counts)
+    return block_perplexities(materialise(_blocks(docs), "blocks"), counts).drop("digest")
 
 
 def block_perplexities(blocks: DataFrame, counts: Counts) -> DataFrame:
@@ -195,7 +226,7 @@ def block_perplexities(blocks: DataFrame, counts: Counts) -> DataFrame:
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = np.empty(0, np.int64)
-                for piece in _pieces((t.as_py() for t in _unpacked(packed).column(2)), order):
+                for piece in _pieces((t.as_py() for rows in _unpacked(packed) for t in rows.column(2)), order):
                     found = np.union1d(found, piece)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), block))], ["run", "block"])
 
@@ -206,20 +237,23 @@ def block_perplexities(blocks: DataFrame, counts: Counts) -> DataFrame:
     def score(batches):
         for batch in batches:
             for packed, run, p in zip(*batch.columns, strict=True):
-                got = _unpacked(packed)
                 run, p = run.values.to_numpy(), p.values.to_numpy()
                 by = np.argsort(run)
                 run, log = run[by], np.log(p[by])
-                n, out = [], []
-                for text in got.column(2):
-                    each = runs(text.as_py(), order) if text.as_py() else np.empty(0, np.int64)
-                    n.append(len(each))
-                    out.append(float(np.exp(-log[np.searchsorted(run, each)].mean())) if len(each) else None)
-                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(n, pa.int64()), pa.array(out, pa.float64())], ["doc_id", "lang", "n_signs", "perplexity"])
+                for got in _unpacked(packed):
+                    n, out, digests = [], [], []
+                    for text in got.column(2):
+                        text = text.as_py()
+                        each = runs(text, order) if text else np.empty(0, np.int64)
+                        n.append(len(each))
+                        out.append(float(np.exp(-log[np.searchsorted(run, each)].mean())) if len(each) else None)
+                        digests.append(None if text is None else hashlib.md5(utf8(text)).hexdigest())
+                    columns = [got.column(0), got.column(1), pa.array(digests, pa.string()), pa.array(n, pa.int64()), pa.array(out, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "digest", "n_signs", "perplexity"])
 
     empty = F.array().cast("array<bigint>"), F.array().cast("array<double>")
     joined = blocks.select("block", "packed").join(tables, "block", "left").select("packed", F.coalesce("runs", empty[0]).alias("runs"), F.coalesce("ps", empty[1]).alias("ps"))
-    return joined.mapInArrow(score, "doc_id long, lang string, n_signs long, perplexity double")
+    return joined.mapInArrow(score, "doc_id long, lang string, digest string, n_signs long, perplexity double")
 
 
 def thresholds(held: DataFrame, quantile: float, least: int = LEAST) -> DataFrame:
@@ -238,6 +272,11 @@ def thresholds(held: DataFrame, quantile: float, least: int = LEAST) -> DataFram
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
     """doc_id, lang, n_signs, perplexity, threshold (null if the language has none), kept of every row."""
+    return _classified(docs, labels, order, quantile, spread, least).drop("digest")
+
+
+def _classified(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
+    """``classify`` with digest, the md5 of the text: language and text decide, whatever the id."""
     good = trusted(labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     blocks = materialise(_blocks(rows), "blocks")
@@ -252,7 +291,14 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows whose document is kept, all columns. Of repeated ids all must be kept; rows without an id are kept if each of them is."""
-    result = classify(docs, labels, **options)
-    gone = result.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left_anti")
+    """The rows that are kept, all columns; rows that repeat an id or have none are judged one by one, by their language and text."""
+    gone = _classified(docs, labels, **options).where("NOT kept").select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("_lang"),
+        F.coalesce("digest", F.lit("")).alias("_digest"),
+    ).distinct()
+    same = [
+        F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("")) == gone["_id"],
+        F.coalesce(F.concat(F.lit("="), docs["lang"].cast("string")), F.lit("")) == gone["_lang"],
+        F.coalesce(F.md5(docs["text"].cast("string").cast("binary")), F.lit("")) == gone["_digest"],
+    ]
+    return docs.join(gone, same, "left_anti")

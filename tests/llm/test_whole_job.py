@@ -67,3 +67,14 @@ def test_substrings_of_rows_without_id_and_of_repeated_ids(spark):
         assert sorted(r["n_removed"] for r in got) == [0, 30, 30] and {r["doc_id"] for r in got} == {doc_id}
     got = substrings.deduplicated_words(spark.createDataFrame([(None, own(1))] * 3 + [(None, own(2))], "doc_id long, text string")).collect()
     assert sorted(r["n_removed"] for r in got) == [0, 0, 30, 30]
+
+
+def test_quality_judges_rows_without_id_and_of_repeated_ids_one_by_one(spark):
+    prose = "the people of the city were glad that the work on the river had been done before the winter came. "
+    good = [(i, prose[i % 7 :] * 8, "en") for i in range(60)]
+    odd = [(None, prose * 9, "en"), (None, "zq#x9 " * 80, "en"), (None, None, "en"), (100, "kk%%jj vv" * 50, "en"), (100, prose[2:] * 7, "en")]
+    docs = spark.createDataFrame([*good, *odd], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = [(r["doc_id"], r["text"]) for r in quality.good_documents(docs, labels).collect()]
+    assert (None, odd[0][1]) in kept and (100, odd[4][1]) in kept and (3, good[3][1]) in kept
+    assert all((r[0], r[1]) not in kept for r in (odd[1], odd[2], odd[3]))
