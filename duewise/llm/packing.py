@@ -51,6 +51,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
             columns = list(zip(*rows, strict=True)) or [()] * (5 + with_ids)
             kinds = types + [pa.list_(pa.int64())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names + ["ids"] * with_ids)
+        encoder(file).forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECE + ", ids array<long>" * with_ids)

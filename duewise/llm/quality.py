@@ -8,7 +8,7 @@ short texts.
 
 Counts live in tables that Spark shards by run; nothing of the model is broadcast.
 
-1. Documents are packed into blocks, one for each batch that a task reads, and each block lists its distinct runs. Labels meet
+1. Documents are packed into blocks of some thousand rows, and each block lists its distinct runs. Labels meet
    the ids of blocks, and each block is told which of its rows to count; runs are added up in the task before they are shuffled.
 2. The distinct runs of all blocks, order by order from one sign up, are joined with the counts of the run, the totals of its
    context and the probability of the run without its first sign, which gives the run's probability.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duewise.llm.common import materialise, utf8
+from duewise.llm.common import give_back, materialise, utf8
 from duewise.operators.prefix import before, chunked_prefix
 
 ORDER = 4
@@ -43,9 +43,10 @@ QUANTILE = 0.99
 SPREAD = 3.0
 _SIZE = 1 << BITS
 _START = 1
-_PIECE = 1 << 21
-#: Rows of a block that are packed and unpacked together.
-ROWS_AT_ONCE = 500
+_PIECE = 1 << 20
+#: Rows of a block, and rows that go to Python, are packed and are unpacked together.
+BLOCK_ROWS, ROWS_AT_ONCE = 10_000, 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _symbols() -> np.ndarray:
@@ -91,21 +92,32 @@ def trusted(labels: DataFrame) -> DataFrame:
     return good.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0)
 
 
-def trained_texts(blocks: DataFrame, good: DataFrame) -> DataFrame:
-    """text of all rows whose document the model is trained on; only ids meet the labels."""
+def _counted(texts, order: int):
+    """Batches of run, c for many texts, added up some signs at a time."""
+    for piece in _pieces(texts, order):
+        run, n = np.unique(piece, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(n.astype(np.int64))], ["run", "c"])
+
+
+def trained_runs(blocks: DataFrame, good: DataFrame, order: int) -> DataFrame:
+    """run, c over all rows whose document the model is trained on; only ids meet the labels."""
     each = blocks.select("block", F.posexplode("ids").alias("at", "doc_id"))
     rows = each.join(good.where("NOT calibrates").select("doc_id"), "doc_id").groupBy("block").agg(F.collect_list("at").alias("rows"))
 
-    def unpack(batches):
+    def wanted(batches):
         for batch in batches:
             for packed, at in zip(*batch.columns, strict=True):
-                start, wanted = 0, np.sort(at.values.to_numpy())
+                start, at = 0, np.sort(at.values.to_numpy())
                 for rows in _unpacked(packed):
-                    own = wanted[np.searchsorted(wanted, start) : np.searchsorted(wanted, start + rows.num_rows)] - start
-                    yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(own))], ["text"])
+                    own = at[np.searchsorted(at, start) : np.searchsorted(at, start + rows.num_rows)] - start
+                    yield from (t.as_py() for t in rows.column(2).take(pa.array(own)))
                     start += rows.num_rows
 
-    return blocks.join(rows, "block").select("packed", "rows").mapInArrow(unpack, "text string")
+    def count(batches):
+        yield from _counted(wanted(batches), order)
+        give_back()
+
+    return blocks.join(rows, "block").select("packed", "rows").mapInArrow(count, "run long, c long").groupBy("run").agg(F.sum("c").alias("c"))
 
 
 def count_runs(texts: DataFrame, order: int) -> DataFrame:
@@ -113,9 +125,7 @@ def count_runs(texts: DataFrame, order: int) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            for piece in _pieces(batch.column(0).to_pylist(), order):
-                run, n = np.unique(piece, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(n.astype(np.int64))], ["run", "c"])
+            yield from _counted(batch.column(0).to_pylist(), order)
 
     return texts.mapInArrow(count, "run long, c long").groupBy("run").agg(F.sum("c").alias("c"))
 
@@ -123,9 +133,9 @@ def count_runs(texts: DataFrame, order: int) -> DataFrame:
 class Counts:
     """For each order, counts of runs (plain at the highest order, numbers of different signs before it below) and totals of contexts, with discounts."""
 
-    def __init__(self, texts: DataFrame, order: int):
+    def __init__(self, table: DataFrame, order: int):
+        """``table``: run, c of the highest order."""
         self.order, self.runs, self.contexts, self.discounts = order, {}, {}, {}
-        table = count_runs(texts, order)
         for k in range(order, 0, -1):
             self.runs[k] = table = materialise(table, f"runs-{k}")
             of = table.select(*[F.count_if(F.col("c") == j) for j in (1, 2, 3, 4)]).first()
@@ -169,30 +179,49 @@ def probabilities(wanted: DataFrame, counts: Counts) -> DataFrame:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """block, ids, packed documents (Arrow under bz2, which makes least of text), for each batch that a task reads."""
+    """block, ids, packed documents (Arrow under bz2, which makes least of text), some thousand rows each, written."""
 
     def pack(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        for k, batch in enumerate(batches):
-            held = _Packed()
-            with pa.ipc.new_stream(pa.PythonFile(held, "w"), batch.schema) as out:
-                for at in range(0, max(batch.num_rows, 1), ROWS_AT_ONCE):
-                    out.write_batch(batch.slice(at, ROWS_AT_ONCE))
-            ids = pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 31) + k], pa.int64()), ids, pa.array([held.end()], pa.binary())], ["block", "ids", "packed"])
-
-    return docs.select("doc_id", "lang", "text").mapInArrow(pack, "block long, ids array<long>, packed binary")
+        number, held, ids = TaskContext.get().partitionId() << 31, None, []
+        for batch in batches:
+            if held is None:
+                held = _Packed(batch.schema)
+            held.add(batch)
+            ids += batch.column(0).to_pylist()
+            if len(ids) >= BLOCK_ROWS:
+                yield _block(number, ids, held)
+                number, held, ids = number + 1, None, []
+        if held is not None:
+            yield _block(number, ids, held)
+        give_back()
+
+    conf = docs.sparkSession.conf
+    before_rows = conf.get(_ARROW_ROWS)
+    conf.set(_ARROW_ROWS, str(ROWS_AT_ONCE))
+    try:
+        return materialise(docs.select("doc_id", "lang", "text").mapInArrow(pack, "block long, ids array<long>, packed binary"), "blocks")
+    finally:
+        conf.set(_ARROW_ROWS, before_rows)
+
+
+def _block(number: int, ids: list, held: _Packed) -> pa.RecordBatch:
+    columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held.end()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["block", "ids", "packed"])
 
 
 class _Packed:
-    """A file that compresses what is written at once, so that a block is never held as plain bytes."""
+    """Batches that are compressed as they come, so that a block is never held as plain bytes."""
 
     closed = False
 
-    def __init__(self):
+    def __init__(self, schema: pa.Schema):
         self.packer, self.parts = bz2.BZ2Compressor(), []
+        self.out = pa.ipc.new_stream(pa.PythonFile(self, "w"), schema)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.out.write_batch(batch)
 
     def write(self, data) -> int:
         self.parts.append(self.packer.compress(bytes(data)))
@@ -205,6 +234,7 @@ class _Packed:
         self.closed = True
 
     def end(self) -> bytes:
+        self.out.close()
         return b"".join([*self.parts, self.packer.flush()])
 
 
@@ -216,7 +246,7 @@ def _unpacked(packed):
 
 def perplexities(docs: DataFrame, counts: Counts) -> DataFrame:
     """doc_id, lang, n_signs, perplexity (null without signs) of all rows of (doc_id, lang, text)."""
-    return block_perplexities(materialise(_blocks(docs), "blocks"), counts).drop("digest")
+    return block_perplexities(_blocks(docs), counts).drop("digest")
 
 
 def block_perplexities(blocks: DataFrame, counts: Counts) -> DataFrame:
@@ -279,8 +309,8 @@ def _classified(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile
     """``classify`` with digest, the md5 of the text: language and text decide, whatever the id."""
     good = trusted(labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    blocks = materialise(_blocks(rows), "blocks")
-    counts = Counts(trained_texts(blocks, good), order)
+    blocks = _blocks(rows)
+    counts = Counts(trained_runs(blocks, good, order), order)
     scored = materialise(block_perplexities(blocks, counts), "perplexities")
     held = scored.join(good.where("calibrates").select("doc_id"), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     limits = materialise(thresholds(held, quantile, least), "thresholds").withColumnRenamed("lang", "_lang")

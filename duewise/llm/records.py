@@ -91,6 +91,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
                     yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
                     made, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
+        enc.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from duewise.llm.common import give_back
+
 #: Parts of one generation that a Python worker keeps; it holds two, some 60 MB. This bounds memory, not results.
 KEPT = 200_000
 #: New parts that are encoded in one call, with a blank between them.
@@ -192,6 +194,13 @@ class Encoder:
         yield from self.encode(group)
 
 
+    def forget(self) -> None:
+        """Give back what a task has held; the worker may serve other stages next."""
+        self.parts, self.older = {}, {}
+        _tables.cache_clear()
+        give_back()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and file."""

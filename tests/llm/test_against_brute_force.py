@@ -107,7 +107,7 @@ def test_sketches_merge_and_estimate(spark):
 
 def test_kneser_ney_probabilities(spark):
     train = ["abracadabra", "a cab and a bar", "dad had a card", "bad cab"]
-    counts = quality.Counts(spark.createDataFrame([(t,) for t in train], "text string"), 3)
+    counts = quality.Counts(quality.count_runs(spark.createDataFrame([(t,) for t in train], "text string"), 3), 3)
     order, bits = 3, quality.BITS
     plain = Counter(int(x) for t in train for x in quality.runs(t, order))
     tables = {order: plain}
