@@ -404,6 +404,7 @@ def amounts_around(asked: DataFrame, values: DataFrame, held: int) -> DataFrame:
     away = -F.round(F.abs(F.col("log_amount") - F.col("q_log_amount")), 9)
     return near.join(known, ["pool", "bucket"]).select(*query, "docs", away.alias("s_amount"))
 
+
 def nearest_amounts(asked: DataFrame, cases: DataFrame, count: int) -> DataFrame:
     """query_id, doc_id, s_amount, r_amount: the ``count`` cases of the pool with the closest log amount.
 
