@@ -19,7 +19,7 @@ from duewise.queries.registry import query
 from duewise.queries.retrieval import corpus
 from duewise.queries.sqlviews import AS_OF, day, r, rr, sql, ts, view
 from duewise.session import new_path
-from duewise.sources import sinks
+from duewise.sources import keyed, sinks
 
 # Data quality
 
@@ -324,9 +324,9 @@ def append_logs(x):
   {ts('s.updated_at')} AS updated_at FROM account_state s FULL JOIN next_states n ON n.invoice_id = s.invoice_id"""), digits=2)
 def upsert_state(x):
     path = new_path(x.spark, "account-state")
-    sinks.overwrite(x.d.account_state, path)
-    sinks.upsert(PD.account_updates(decisions(x)), path, ["invoice_id"])
-    return x.spark.read.parquet(path).select("invoice_id", "current_state", "recoverability_score", "next_action", "updated_at")
+    keyed.create(x.d.account_state, path, ["invoice_id"])
+    keyed.upsert(PD.account_updates(decisions(x)), path, ["invoice_id"])
+    return keyed.read(x.spark, path).select("invoice_id", "current_state", "recoverability_score", "next_action", "updated_at")
 
 
 @query("O007_rebuild_corpus", sql("SELECT status, segment, count(*) AS n FROM case_rows GROUP BY 1, 2"))
@@ -385,5 +385,7 @@ def upsert_promise(x):
         F.date_add(F.to_date(x.as_of), 14).alias("promised_date"), F.lit("voice").alias("source"), F.lit(0.5).alias("confidence_score"),
         x.as_of.alias("created_at"),
     )
-    out = sinks.merged_open_promises(stored, created)
-    return out.select(F.col("id").cast("double").alias("id"), "invoice_id", "promised_date", "status")
+    path = new_path(x.spark, "promises")
+    keyed.create(stored, path, ["invoice_id"])
+    keyed.upsert(created, path, ["invoice_id"], sinks.merged_open_promises)
+    return keyed.read(x.spark, path).select(F.col("id").cast("double").alias("id"), "invoice_id", "promised_date", "status")

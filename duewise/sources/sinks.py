@@ -1,4 +1,4 @@
-"""Writers. Parquet has no MERGE, so keyed updates are a full outer join and a rewrite through a staged copy."""
+"""Writers, and the merges that keyed tables use."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duewise import params as P
-from duewise.session import materialise
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
@@ -35,12 +34,6 @@ def merged(old: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, match, "full_outer").select(*pick)
 
 
-def upsert(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Rewrite a table with ``df`` merged in. The merge is staged first, so the table is not read while replaced."""
-    old = df.sparkSession.read.parquet(path)
-    overwrite(materialise(merged(old, df, keys), "merge"), path)
-
-
 def newest_per_key(updates: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """One update per key, the last one, before a merge."""
     rest = [c for c in updates.columns if c not in keys]

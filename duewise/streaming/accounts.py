@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 
 from duewise import params as P
 from duewise.operators import audit
-from duewise.operators.events import next_state, replay, rests_in_promise, transition_path
-from duewise.sources import sinks
+from duewise.operators.events import next_state, replay, rests_in_promise, route, transition_path
+from duewise.sources import keyed, sinks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 REVIEW_MICROS = P.COOLDOWN_DAYS * 86_400_000_000
@@ -90,21 +90,32 @@ def _outcome(name: str, was_promise: bool):
     return [state.alias(f"state_{name}"), path.alias(f"path_{name}")]
 
 
+STATE = "invoice_id BIGINT, current_state STRING, updated_at TIMESTAMP_NTZ"
+
+
 def audit_sink(root: str, rounds_of=None):
-    """A ``foreachBatch`` function: append the batch's logs and rewrite the account state.
+    """A ``foreachBatch`` function: log the batch's rounds and update the accounts they move.
 
-    Both are keyed by batch id, so a batch that runs again replaces its own output and reads the state before it.
-    ``rounds_of`` may add the assessment columns of a round; without it only transitions are logged.
+    Logs are keyed by batch id, and batch n turns version n of the keyed state table into version n + 1. So a batch that runs again
+    replaces its own output and starts from the state before it, and only buckets with moved accounts are written. An event that
+    names another account than ``expected_invoice_id`` (where events have it) is rejected: it is logged with its error and changes
+    nothing. ``rounds_of`` may add the assessment columns of a round; without it only transitions are logged.
     """
+    state = f"{root}/state"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state_path = lambda n: f"{root}/state/batch={n}"
-        stored = None
-        if batch_id > 0:
-            stored = spark.read.parquet(state_path(batch_id - 1))
-        done = replay(batch, stored)
-        rounds = rounds_of(done) if rounds_of else with_empty_round(done)
+        if batch_id == 0:
+            keyed.ensure(spark.createDataFrame([], STATE), state, ["invoice_id"])
+        rejected = None
+        if "expected_invoice_id" in batch.columns:
+            routed = route(batch)
+            rejected = routed.where("route = 'rejected'").withColumn("error", F.col("route_error")).drop("route", "route_error", "selected_action")
+            batch = routed.where("route <> 'rejected'").drop("route", "route_error")
+        done = replay(batch, keyed.read(spark, state, batch_id))
+        rounds = with_empty_round(rounds_of(done) if rounds_of else done)
+        if rejected is not None:
+            rounds = rounds.unionByName(with_empty_round(rejected), allowMissingColumns=True)
         logs = audit.event_decision_logs(rounds)
         logs.write.mode("overwrite").parquet(f"{root}/logs/batch={batch_id}")
         decided = done.filter("next_state IS NOT NULL")  # an event that leads nowhere leaves the state and its time as they are
@@ -112,8 +123,7 @@ def audit_sink(root: str, rounds_of=None):
             decided.select("invoice_id", F.col("next_state").alias("current_state"), F.col("occurred_at").alias("updated_at"), "event_id"),
             ["invoice_id"], F.struct("updated_at", "event_id"),
         ).drop("event_id")
-        fresh = updates if stored is None else sinks.merged(stored, updates, ["invoice_id"])
-        fresh.write.mode("overwrite").parquet(state_path(batch_id))
+        keyed.upsert(updates, state, ["invoice_id"], base=batch_id)
 
     return run
 

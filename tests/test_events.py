@@ -10,6 +10,7 @@ from duewise import params as P
 from duewise.functions.expr import ntz
 from duewise.operators import events as EV
 from duewise.session import new_path
+from duewise.sources import keyed
 from duewise.streaming import accounts as ST
 
 SCHEMA = (
@@ -121,7 +122,7 @@ def test_audit_sink_over_batches_and_a_repeated_batch(spark):
     ST.run_to_end(batches(spark, rows, 3).writeStream.foreachBatch(sink), new_path(spark, "check"))
     logs = spark.read.parquet(f"{root}/logs")
     assert logs.count() == len(rows)
-    last = {r.invoice_id: r.current_state for r in spark.read.parquet(f"{root}/state/batch=2").collect()}
+    last = {r.invoice_id: r.current_state for r in keyed.read(spark, f"{root}/state", 3).collect()}
     ordered = sorted(rows, key=lambda e: (e[3], e[0]))
     assert last == {e[2]: s for e, (s, _) in zip(ordered, fold(rows))}
     sink(spark.createDataFrame(ordered[60:], SCHEMA), 2)
@@ -132,15 +133,27 @@ def test_an_event_without_a_next_state_leaves_the_account_as_it_is(spark):
     root = new_path(spark, "audit")
     sink = ST.audit_sink(root)
     sink(spark.createDataFrame([event(1, "promise.created", 1), event(2, "invoice.overdue", 1, action=None), event(3, "invoice.overdue", 2, action=None), event(4, "invoice.overdue", 3)], SCHEMA), 0)
-    state = {r.invoice_id: (r.current_state, r.updated_at) for r in spark.read.parquet(f"{root}/state/batch=0").collect()}
+    state = {r.invoice_id: (r.current_state, r.updated_at) for r in keyed.read(spark, f"{root}/state", 1).collect()}
     assert state == {1: ("promise", START + dt.timedelta(hours=1)), 3: (P.ACTION_STATE["email"], START + dt.timedelta(hours=4))}
     reasons = {r.event_id: r.reason for r in spark.read.parquet(f"{root}/logs").collect()}
     assert reasons[1] == "promise recorded -- account moved to promise" and {reasons[k] for k in (2, 3, 4)} == {"no assessment this round"}
     sink(spark.createDataFrame([event(9, "invoice.overdue", 1, action=None)], SCHEMA), 1)
-    later = {r.invoice_id: r.updated_at for r in spark.read.parquet(f"{root}/state/batch=1").collect()}
+    later = {r.invoice_id: r.updated_at for r in keyed.read(spark, f"{root}/state", 2).collect()}
     assert later[1] == START + dt.timedelta(hours=1)
 
 
+def test_a_rejected_event_is_logged_and_changes_nothing(spark):
+    root = new_path(spark, "audit")
+    sink = ST.audit_sink(root)
+    rows = spark.createDataFrame([event(1, "invoice.overdue", 1), event(2, "promise.created", 1), event(3, "payment.received", 1), event(4, "promise.created", 2)], SCHEMA)
+    sink(rows.withColumn("expected_invoice_id", F.col("invoice_id") + F.col("event_id").isin(2, 4).cast("int")), 0)
+    state = {r.invoice_id: (r.current_state, r.updated_at) for r in keyed.read(spark, f"{root}/state", 1).collect()}
+    assert state == {1: (P.ACTION_STATE["email"], START + dt.timedelta(hours=3))}  # not kept: the promise before it was rejected
+    logs = {r.event_id: r for r in spark.read.parquet(f"{root}/logs").collect()}
+    assert logs[2].decision == "rejected" and logs[2].reason == "invalid event: event.invoice_id (1) != state invoice_id (2)"
+    assert '"state_transition_path":[]' in logs[4].policy_checks and "selected_action" not in logs[4].policy_checks and len(logs) == 4
+
+
 def test_dedup_inside_the_watermark(spark):
     rows = [event(1, "invoice.overdue"), event(1, "invoice.overdue"), event(2, "invoice.overdue")]
     out = new_path(spark, "out")

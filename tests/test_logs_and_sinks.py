@@ -11,7 +11,7 @@ from duewise import params as P
 from duewise.functions.expr import ntz
 from duewise.operators import audit, quality, reads
 from duewise.session import new_path
-from duewise.sources import sinks
+from duewise.sources import keyed, sinks
 from duewise.sources.schema import TABLES
 from duewise.sources.tables import Domain, read_domain
 from duewise.streaming.accounts import with_empty_round
@@ -79,12 +79,78 @@ def test_closing_log_is_always_last_and_written_once(spark):
     assert audit.missing_closing_logs(payments, both).isEmpty()
 
 
-def test_upsert_keeps_what_was_not_recomputed(spark):
+STATE = "invoice_id BIGINT, current_state STRING, score DOUBLE"
+
+
+def table(spark, rows, buckets=16):
     path = new_path(spark, "state")
-    sinks.overwrite(spark.createDataFrame([(1, "wait", 0.1), (2, "remind", 0.2)], "invoice_id BIGINT, current_state STRING, score DOUBLE"), path)
-    sinks.upsert(spark.createDataFrame([(2, "promise", None), (3, "wait", 0.9)], "invoice_id BIGINT, current_state STRING, score DOUBLE"), path, ["invoice_id"])
-    got = sorted(tuple(r) for r in spark.read.parquet(path).collect())
-    assert got == [(1, "wait", 0.1), (2, "promise", 0.2), (3, "wait", 0.9)]
+    keyed.create(spark.createDataFrame(rows, STATE), path, ["invoice_id"], buckets)
+    return path
+
+
+def stored(spark, path, version=None):
+    return sorted((tuple(r) for r in keyed.read(spark, path, version).collect()), key=str)
+
+
+def test_upsert_keeps_what_was_not_recomputed(spark):
+    path = table(spark, [(1, "wait", 0.1), (2, "remind", 0.2), (None, "wait", 0.4)])
+    keyed.upsert(spark.createDataFrame([(2, "promise", None), (3, "wait", 0.9), (None, "kept", None)], STATE), path, ["invoice_id"])
+    assert stored(spark, path) == [(1, "wait", 0.1), (2, "promise", 0.2), (3, "wait", 0.9), (None, "kept", 0.4)]
+    assert stored(spark, path, 0) == [(1, "wait", 0.1), (2, "remind", 0.2), (None, "wait", 0.4)]
+
+
+def test_an_update_of_one_key_writes_one_bucket(spark):
+    path = table(spark, [(i, "wait", 0.5) for i in range(300)])
+    before = keyed.manifest(spark, path)
+    touched = keyed.upsert(spark.createDataFrame([(7, "kept", None)], STATE), path, ["invoice_id"])
+    after = keyed.manifest(spark, path)
+    assert len(touched) == 1 and [b for b in after if after[b] != before[b]] == touched
+    assert len(keyed._names(spark, f"{path}/data/version=000000000001")) == 2  # that bucket and the marker of the job
+    assert stored(spark, path) == sorted([(i, "kept" if i == 7 else "wait", 0.5) for i in range(300)], key=str)
+    assert keyed.upsert(spark.createDataFrame([], STATE), path, ["invoice_id"]) == [] and len(stored(spark, path)) == 300
+
+
+def test_a_crash_before_the_switch_leaves_the_old_table(spark, monkeypatch):
+    path = table(spark, [(1, "wait", 0.1), (2, "wait", 0.2)])
+    update = spark.createDataFrame([(1, "kept", 0.9)], STATE)
+    with monkeypatch.context() as broken:
+        broken.setattr(keyed, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            keyed.upsert(update, path, ["invoice_id"])
+    assert stored(spark, path) == [(1, "wait", 0.1), (2, "wait", 0.2)] and keyed.versions(spark, path) == [0]
+    keyed.upsert(update, path, ["invoice_id"])
+    assert stored(spark, path) == [(1, "kept", 0.9), (2, "wait", 0.2)]
+
+
+def test_a_batch_that_runs_again_and_a_second_writer(spark):
+    path = table(spark, [(1, "wait", 0.1)])
+    update = spark.createDataFrame([(1, "kept", 0.9), (5, "wait", 0.5)], STATE)
+    for _ in range(2):
+        keyed.upsert(update, path, ["invoice_id"], base=0)
+    assert stored(spark, path) == [(1, "kept", 0.9), (5, "wait", 0.5)] and keyed.versions(spark, path) == [0, 1]
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        keyed.commit(spark, path, 1, keyed.manifest(spark, path, 0))
+
+
+def test_vacuum_removes_only_what_no_kept_version_names(spark):
+    path = table(spark, [(i, "wait", 0.5) for i in range(40)], buckets=4)
+    for n in range(3):
+        keyed.upsert(spark.createDataFrame([(n, "kept", None)], STATE), path, ["invoice_id"])
+    want = stored(spark, path), stored(spark, path, 2)
+    gone = keyed.vacuum(spark, path)
+    assert gone and keyed.versions(spark, path) == [2, 3]
+    assert (stored(spark, path), stored(spark, path, 2)) == want and keyed.vacuum(spark, path) == []
+
+
+def test_promises_keep_their_id_in_a_keyed_table(spark):
+    schema = "id BIGINT, invoice_id BIGINT, promised_amount DOUBLE, promised_date DATE, status STRING, source STRING, confidence_score DOUBLE, created_at TIMESTAMP_NTZ"
+    day, at = dt.date(2024, 1, 1), dt.datetime(2024, 1, 1)
+    path = new_path(spark, "promises")
+    keyed.create(spark.createDataFrame([(1, 10, 5.0, day, "open", "sms", 0.1, at), (2, 10, 4.0, day, "kept", "sms", 0.2, at), (3, 11, 1.0, day, "broken", "sms", 0.2, at)], schema), path, ["invoice_id"], 8)
+    new = spark.createDataFrame([(90, 10, 7.0, day + dt.timedelta(9), "voice", 0.9, at), (91, 11, 8.0, day, "voice", 0.8, at)], schema.replace("status STRING, ", ""))
+    keyed.upsert(new, path, ["invoice_id"], sinks.merged_open_promises)
+    got = sorted((r.id, r.invoice_id, r.promised_amount, r.status) for r in keyed.read(spark, path).collect())
+    assert got == [(1, 10, 7.0, "open"), (2, 10, 4.0, "kept"), (3, 11, 1.0, "broken"), (91, 11, 8.0, "open")]
 
 
 def test_partition_overwrite_leaves_other_experiments(spark):
