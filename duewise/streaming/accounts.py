@@ -32,36 +32,62 @@ def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 TRANSITION = "event_id BIGINT, invoice_id BIGINT, next_state STRING, state_transition_path STRING"
 
 
+WAITING = "event_id BIGINT, micros BIGINT, rests BOOLEAN, state_after_promise STRING, path_after_promise STRING, state_otherwise STRING, path_otherwise STRING"
+
+
 def promise_memory() -> StatefulProcessor:
     """The processor, as a local class: it travels by value, so the streaming runner needs no package of ours."""
 
     class PromiseMemory(StatefulProcessor):
-        """Remembers per account whether it rests in a promise, and wakes quiet accounts for review.
+        """Releases an account's events in (time, id) order, remembers whether it rests in a promise, and wakes it for review.
 
-        Both possible outcomes of an event arrive as columns; the processor only knows which one holds.
+        Events wait in a list until the watermark is past them, when no earlier one can come; one timer an account says when that
+        is, or when a quiet account is due. Both possible outcomes of an event arrive as columns; only which one holds is decided.
         """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.rests = handle.getValueState("rests", "rests boolean")
+            self.waiting = handle.getListState("waiting", WAITING)
+            self.memory = handle.getValueState("memory", "rests BOOLEAN, review BIGINT")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            batch = pd.concat(list(rows), ignore_index=True).sort_values(["occurred_at", "event_id"], ignore_index=True)
-            stored = self.rests.get() if self.rests.exists() else (False,)
-            was = batch["rests"].shift(1, fill_value=bool(stored[0])).astype(bool)
-            batch["next_state"] = batch["state_otherwise"].mask(was, batch["state_after_promise"])
-            batch["state_transition_path"] = batch["path_otherwise"].mask(was, batch["path_after_promise"])
-            last = batch.iloc[-1]
-            self.rests.update((bool(last["rests"]),))
+            names = ["event_id", "event_micros", *[x.split()[0] for x in WAITING.split(", ")[2:]]]
+            for frame in rows:
+                held = [(None if e is None else int(e), int(at), bool(rests), *texts) for e, at, rests, *texts in frame[names].itertuples(index=False)]
+                self.waiting.appendList(held)
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if last["next_state"] in REVIEW_STATES:
-                self.handle.registerTimer(int(last["event_micros"] + REVIEW_MICROS) // 1000)
-            yield batch[["event_id", "invoice_id", "next_state", "state_transition_path"]]
+            self.wake(min(r[1] for r in self.waiting.get()), self.remembered()[1])
+            yield from ()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            due = {"event_id": [None], "invoice_id": [key[0]], "next_state": [None], "state_transition_path": ["review.timeout"]}
-            yield pd.DataFrame(due)
+            now = timerValues.getCurrentWatermarkInMs() * 1000
+            held = list(self.waiting.get()) if self.waiting.exists() else []
+            rests, review = self.remembered()
+            out = []
+            for r in sorted((r for r in held if r[1] < now), key=lambda r: (r[1], r[0] is None, r[0])):
+                if review is not None and review < r[1]:
+                    out.append((None, key[0], None, "review.timeout"))
+                state, path = (r[3], r[4]) if rests else (r[5], r[6])
+                out.append((r[0], key[0], state, path))
+                rests, review = bool(r[2]), r[1] + REVIEW_MICROS if state in REVIEW_STATES else None
+            if review is not None and review < now:
+                out.append((None, key[0], None, "review.timeout"))
+                review = None
+            later = [r for r in held if r[1] >= now]
+            self.waiting.put(later) if later else self.waiting.clear()
+            self.memory.update((rests, review))
+            self.wake(min((r[1] for r in later), default=None), review)
+            if out:
+                yield pd.DataFrame(out, columns=["event_id", "invoice_id", "next_state", "state_transition_path"]).astype({"event_id": "Int64"})
+
+        def remembered(self):
+            return tuple(self.memory.get()) if self.memory.exists() else (False, None)
+
+        def wake(self, first, review) -> None:
+            due = [x for x in (first, review) if x is not None]
+            if due:
+                self.handle.registerTimer(int(min(due)) // 1000 + 1)
 
         def close(self) -> None:
             pass
@@ -70,14 +96,16 @@ def promise_memory() -> StatefulProcessor:
 
 
 def stream_transitions(events: DataFrame) -> DataFrame:
-    """State after every event; a row without event id says that an account is due for review.
+    """State after every event, in event-time order; a row without event id says that an account is due for review.
 
-    ``events`` needs ``event_time`` (TIMESTAMP) with a watermark. Set the RocksDB state store on the session first. An
-    account's events of one micro-batch meet in one task; ``maxFilesPerTrigger`` bounds them.
+    ``events`` needs ``event_time`` (TIMESTAMP) with a watermark, and its rows leave when the watermark is past them; later ones
+    are dropped as late. Set the RocksDB state store on the session first. What an account holds is what the watermark's delay
+    spans.
     """
     rows = events.select(
-        "event_id", "invoice_id", "occurred_at", F.unix_micros("event_time").alias("event_micros"), "event_time",
-        rests_in_promise().alias("rests"), *_outcome("after_promise", True), *_outcome("otherwise", False),
+        F.col("event_id").cast("string").alias("event_id"),  # pandas would make floats of longs beside a null
+        "invoice_id", F.unix_micros("event_time").alias("event_micros"), "event_time",
+        F.coalesce(rests_in_promise(), F.lit(False)).alias("rests"), *_outcome("after_promise", True), *_outcome("otherwise", False),
     )
     return rows.groupBy("invoice_id").transformWithStateInPandas(
         statefulProcessor=promise_memory(), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime",

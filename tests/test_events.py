@@ -83,36 +83,58 @@ def test_replay_equals_one_event_at_a_time(spark, seed):
     assert [(r.next_state, r.state_transition_path) for r in got] == fold(rows)
 
 
-def batches(spark, rows, n):
-    """Events in time order, one file per micro-batch."""
+def batches(spark, rows, n, shuffled=None, last=()):
+    """Events in time order (or shuffled), one file per micro-batch; ``last`` come in one more."""
     path = new_path(spark, "events")
     rows = sorted(rows, key=lambda e: (e[3], e[0]))
+    if shuffled is not None:
+        random.Random(shuffled).shuffle(rows)
     size = -(-len(rows) // n)
     for i in range(n):
         spark.createDataFrame(rows[i * size:(i + 1) * size], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    if last:
+        spark.createDataFrame(last, SCHEMA).coalesce(1).write.mode("append").parquet(path)
     stream = ST.read_stream(spark, path, spark.createDataFrame([], SCHEMA).schema, files_per_batch=1)
     return stream.withColumn("event_time", F.col("occurred_at").cast("timestamp"))
 
 
-def test_stream_over_several_batches_equals_replay(spark):
+def streamed(spark, events, delay):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
-    rows = random_events(4, 200)
     out = new_path(spark, "out")
-    done = ST.stream_transitions(batches(spark, rows, 3).withWatermark("event_time", "100 days"))
+    done = ST.stream_transitions(events.withWatermark("event_time", delay))
     ST.run_to_end(done.writeStream.format("parquet").option("path", out), new_path(spark, "check"))
-    got = {r.event_id: (r.next_state, r.state_transition_path) for r in spark.read.parquet(out).filter("event_id IS NOT NULL").collect()}
+    return spark.read.schema(ST.TRANSITION).parquet(out).collect()
+
+
+def last_event(hours=24 * 400):
+    return event(None, "invoice.overdue", -1, hours=hours)
+
+
+@pytest.mark.parametrize("seed", [None, 8])
+def test_stream_over_shuffled_batches_equals_replay(spark, seed):
+    rows = random_events(4, 150)
+    done = streamed(spark, batches(spark, rows, 3, seed, [last_event()]), "100 days")
+    got = {r.event_id: (r.next_state, r.state_transition_path) for r in done if r.event_id is not None}
     want = {e[0]: (s, ",".join(p)) for e, (s, p) in zip(sorted(rows, key=lambda e: (e[3], e[0])), fold(rows))}
     assert got == want
 
 
+def test_events_wait_for_earlier_ones(spark):
+    """A payment that comes before the promise it keeps, in another batch."""
+    rows = [event(5, "payment.received", 1, hours=5), event(4, "promise.created", 1, hours=4), event(9, "invoice.overdue", 2, hours=9)]
+    path = new_path(spark, "events")
+    for r in rows:
+        spark.createDataFrame([r], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    stream = ST.read_stream(spark, path, spark.createDataFrame([], SCHEMA).schema, files_per_batch=1).withColumn("event_time", F.col("occurred_at").cast("timestamp"))
+    got = {r.event_id: r.next_state for r in streamed(spark, stream, "3 hours")}
+    assert got == {4: "promise", 5: "kept"}  # the last event still waits
+
+
 def test_quiet_account_is_woken_for_review(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
     rows = [event(1, "invoice.overdue", 1), event(2, "promise.created", 2), event(3, "invoice.overdue", 3, hours=24 * 9), event(4, "invoice.overdue", 3, hours=24 * 10)]
-    out = new_path(spark, "out")
-    done = ST.stream_transitions(batches(spark, rows, 4).withWatermark("event_time", "1 hour"))
-    ST.run_to_end(done.writeStream.format("parquet").option("path", out), new_path(spark, "check"))
-    woken = [r.invoice_id for r in spark.read.parquet(out).filter("event_id IS NULL").collect()]
-    assert woken == [1], "only the account resting in a watched state is due"
+    got = streamed(spark, batches(spark, [*rows, last_event(24 * 10 + 2)], 5), "1 hour")
+    assert [r.invoice_id for r in got if r.event_id is None] == [1], "only the account resting in a watched state is due"
+    assert sorted(r.event_id for r in got if r.event_id is not None) == [1, 2, 3, 4]
 
 
 def test_audit_sink_over_batches_and_a_repeated_batch(spark):
