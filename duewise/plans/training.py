@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
@@ -18,8 +18,10 @@ from duewise.functions.text import tokens
 from duewise.operators import metrics as M
 from duewise.operators.sampling import customer_split, time_split
 from duewise.session import materialise, shared_dir
+from duewise.sources import sinks
 
-ROUNDS, DEPTH, STEP = 300, 4, 0.05
+ROUNDS, DEPTH, STEP, PATIENCE = 300, 4, 0.05, 20
+FIRST_ROUNDS = 60
 SCORE_DIGITS = 6
 
 # The three models: label column, date column of the time split, row key, calibration, extra categorical columns.
@@ -36,6 +38,7 @@ class Trained:
     prepare: PipelineModel
     trees: GBTClassificationModel
     calibrator: IsotonicRegressionModel | LogisticRegressionModel
+    losses: list[float] = field(default_factory=list)  # of the validation rows, by round
 
 
 def numeric_inputs(df: DataFrame) -> DataFrame:
@@ -64,15 +67,41 @@ def raw_score(trees: GBTClassificationModel, matrix: DataFrame) -> DataFrame:
     return scored.drop("probability", "rawPrediction", "prediction")
 
 
-def fit_trees(matrix: DataFrame, label: str, rounds: int = ROUNDS, bins: int = 64) -> GBTClassificationModel:
-    """Boosted trees on fit and validation rows; the validation rows only decide when to stop."""
+def best_round(losses: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """Rounds to keep, and whether ``patience`` rounds without a lower loss have gone by since the best one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_trees(
+    matrix: DataFrame, label: str, rounds: int = ROUNDS, bins: int = 64, patience: int = PATIENCE,
+) -> tuple[GBTClassificationModel, list[float]]:
+    """Boosted trees on the fit rows, up to the round with the lowest loss on the validation rows, and that loss by round.
+
+    The ensemble is judged round by round and grows, in doublings up to ``rounds``, until ``patience`` rounds bring nothing better;
+    then one of the best length is fitted, whose trees are the first ones of the longer. Without validation rows all rounds stay.
+    """
     matrix.sparkSession.sparkContext.setCheckpointDir(shared_dir(matrix.sparkSession))
-    rows = matrix.filter(F.col("split").isin("fit", "validation")).withColumn("is_validation", F.col("split") == "validation")
-    gbt = GBTClassifier(
-        labelCol=label, maxDepth=DEPTH, maxIter=rounds, stepSize=STEP, seed=P.SEED, validationIndicatorCol="is_validation",
-        validationTol=0.0, maxBins=bins, checkpointInterval=10,
-    )
-    return gbt.fit(rows.select("features", F.col(label).cast("double").alias(label), "is_validation"))
+    rows = matrix.select("features", F.col(label).cast("double").alias(label), "split")
+    fit, validation = rows.filter("split = 'fit'").drop("split"), rows.filter("split = 'validation'").drop("split")
+    grown = lambda n: GBTClassifier(
+        labelCol=label, maxDepth=DEPTH, maxIter=n, stepSize=STEP, seed=P.SEED, maxBins=bins, checkpointInterval=10,
+    ).fit(fit)
+    if validation.isEmpty():
+        return grown(rounds), []
+    n = min(rounds, FIRST_ROUNDS)
+    while True:
+        trees = grown(n)
+        losses = trees.evaluateEachIteration(validation)
+        best, settled = best_round(losses, patience)
+        if settled or n == rounds:
+            return (trees if best == n else grown(best)), losses
+        n = min(rounds, 2 * n)
 
 
 def fit_calibrator(scored: DataFrame, label: str, method: str):
@@ -103,7 +132,7 @@ def calibrated(trained: Trained, scored: DataFrame) -> DataFrame:
     )
 
 
-def train(name: str, table: DataFrame, rounds: int = ROUNDS, by: str = "time") -> tuple[Trained, DataFrame]:
+def train(name: str, table: DataFrame, rounds: int = ROUNDS, by: str = "time", patience: int = PATIENCE) -> tuple[Trained, DataFrame]:
     """One model from its labelled table. Also gives the stored, split and raw-scored table."""
     label, date, key, method, extra = MODELS[name]
     split = time_split(table, date, label, key) if by == "time" else customer_split(table)
@@ -112,10 +141,10 @@ def train(name: str, table: DataFrame, rounds: int = ROUNDS, by: str = "time") -
     prepare = prepare_stages([*P.CATEGORICAL_FEATURES, *extra]).fit(numeric_inputs(fit_rows))
     matrix = feature_matrix(prepare, stored)
     widest = max((len(v) for s in prepare.stages if isinstance(s, StringIndexerModel) for v in s.labelsArray), default=0)
-    trees = fit_trees(matrix, label, rounds, bins=max(64, widest + 1))
+    trees, losses = fit_trees(matrix, label, rounds, bins=max(64, widest + 1), patience=patience)
     scored = raw_score(trees, matrix)
     calibration = scored if by == "time" else scored.withColumn("split", F.when(F.col("split") == "validation", "calibration").otherwise(F.col("split")))
-    return Trained(name, prepare, trees, fit_calibrator(calibration, label, method)), scored
+    return Trained(name, prepare, trees, fit_calibrator(calibration, label, method), losses), scored
 
 
 def score(trained: Trained, features: DataFrame) -> DataFrame:
@@ -168,13 +197,63 @@ def save_metrics(table: DataFrame, path: str) -> None:
     table.coalesce(1).write.mode("overwrite").json(path)
 
 
+# The training job
+
+
+def training_job(
+    tables: dict[str, DataFrame], texts: DataFrame, text: str, root: str, customer_models: tuple[str, ...] = ("recovery",), rounds: int = ROUNDS,
+) -> None:
+    """Trains, calibrates, evaluates and saves the models of ``tables`` (by name) and one text model fitted on ``texts``.
+
+    Under ``root``: ``<split>/<model>`` with the model's parts and its scored rows, ``metrics``, ``importances``, ``rounds`` (loss by
+    round), ``snapshots`` of all feature rows, ``text``. Every model is split by time, ``customer_models`` by customer as well.
+    ``rounds`` is written last, so a job whose ``rounds`` are complete is complete, and one that died runs again over its remains.
+    """
+    spark = texts.sparkSession
+    fit_text_model(texts, text).write().overwrite().save(f"{root}/text")
+    reports, importances, kept_rounds, shots = [], [], [], []
+    for name, table in tables.items():
+        table = materialise(table, f"{name}-table")
+        stamp = "T" if MODELS[name][1] == "T" else "due_date"
+        shots.append(sinks.feature_snapshots(table, f"{name}-v1", stamp))
+        for by in ("time", "customer") if name in customer_models else ("time",):
+            model, scored = train(name, table, rounds, by)
+            save(model, f"{root}/{by}")
+            scored.write.mode("overwrite").parquet(f"{root}/{by}/{name}/scored")
+            kept = spark.read.parquet(f"{root}/{by}/{name}/scored")
+            reports.append(materialise(experiment_report(model, kept).withColumn("by", F.lit(by)), "report"))
+            importances.append(top_importances(model, kept).select(F.lit(name).alias("model"), F.lit(by).alias("by"), "feature", "importance"))
+            kept_rounds.append((name, by, model.trees.getNumTrees, [float(v) for v in model.losses]))
+    every = lambda parts: _union(parts).coalesce(1)
+    save_metrics(every(reports), f"{root}/metrics")
+    every(importances).write.mode("overwrite").parquet(f"{root}/importances")
+    _union(shots).write.mode("overwrite").parquet(f"{root}/snapshots")
+    spark.createDataFrame(kept_rounds, "model STRING, by STRING, rounds INT, losses ARRAY<DOUBLE>").coalesce(1).write.mode("overwrite").parquet(f"{root}/rounds")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # Text vectors when no embedding model is at hand
 
 
-def text_vectors(df: DataFrame, text: str, dims: int = 384) -> DataFrame:
-    """``embedding`` from hashed, weighted and normalised words."""
-    words = df.withColumn("_words", tokens(F.col(text)))
-    hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(words)
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(hashed).transform(hashed)
-    unit = Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0).transform(weighted)
+def _words(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("_words", tokens(F.coalesce(F.col(text), F.lit(""))))
+
+
+def fit_text_model(corpus: DataFrame, text: str, dims: int = 384) -> PipelineModel:
+    """Hashed words, weighted by their rarity in ``corpus``, normalised. Fitted once; a text then has one vector in any frame."""
+    return Pipeline(stages=[
+        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims), IDF(inputCol="_tf", outputCol="_tfidf"),
+        Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0),
+    ]).fit(_words(corpus, text).select("_words"))
+
+
+def text_vectors(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
+    """``embedding`` of each text; a text without words has the zero vector."""
+    unit = model.transform(_words(df, text))
     return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_tfidf", "_unit")

@@ -1,24 +1,38 @@
-"""Queries on trained models. Their scores depend on the learner, so they are checked by rows only."""
+"""Queries on trained models. What depends on the learner is checked by rows only; beside it stand checks of what does not."""
 
 from __future__ import annotations
 
+import zlib
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from duewise import params as P
+from duewise.operators import corpus as C
 from duewise.operators import features as FE
 from duewise.operators import metrics as M
+from duewise.operators.retrieval import hybrid_retrieve
 from duewise.plans import decisions as PD
 from duewise.plans import training as TR
 from duewise.queries.decisions import decisions
 from duewise.queries.features import live_promises
+from duewise.queries.modelling import split_views
 from duewise.queries.registry import query
-from duewise.queries.retrieval import corpus, corpus_vectors, live_queries
-from duewise.queries.sqlviews import sql
-from duewise.operators.retrieval import hybrid_retrieve
-from duewise.session import new_path
-from duewise.sources import sinks
-
-_TRAINED: dict[tuple[str, str], tuple] = {}
+from duewise.queries.retrieval import _disputed, corpus, corpus_vectors, live_queries
+from duewise.queries.sqlviews import day, r, sql, view
+from duewise.session import materialise, new_path, shared_dir
+from duewise.sources import keyed, sinks
+
+view("cause_rows", """SELECT id AS invoice_id, customer_id, issue_date, (true_root_cause = 'cash_flow_stress')::BIGINT AS root_cause_label
+  FROM past WHERE true_root_cause <> 'dispute'""")
+split_views("root_cause", "cause_rows", "issue_date", "root_cause_label", "invoice_id")
+view("report_rows", """SELECT 'recovery' AS model, 'time' AS "by", split, recovery_label AS y FROM split_recovery
+  UNION ALL SELECT 'promise', 'time', split, kept FROM split_promise
+  UNION ALL SELECT 'root_cause', 'time', split, root_cause_label FROM split_root_cause
+  UNION ALL SELECT 'recovery', 'customer', split, recovery_label FROM split_customer""")
+view("reported", f"""SELECT model, "by", kind, split, count(*) AS n, {r('avg(y)')} AS positive_rate FROM report_rows, (VALUES ('raw'), ('calibrated')) k(kind)
+  WHERE split IN ('fit', 'test') GROUP BY ALL""")
 
 
 def labelled_table(x, name):
@@ -27,24 +41,38 @@ def labelled_table(x, name):
     return FE.promise_features(x.d) if name == "promise" else FE.root_cause_table(x.d)
 
 
-def trained(x, name):
-    """Each model is trained once per dataset and session."""
-    key = (x.spark.sparkContext.applicationId, x.sf_dir, name)
-    if key not in _TRAINED:
-        _TRAINED[key] = TR.train(name, labelled_table(x, name))
-    return _TRAINED[key]
+def job(x) -> str:
+    """The folder of the training job, which runs once for each dataset and application; all else reads what it saved."""
+    root = f"{shared_dir(x.spark)}/training-{zlib.crc32(x.sf_dir.encode()):08x}-{x.spark.sparkContext.applicationId}"
+    if not sinks.is_written(x.spark, f"{root}/rounds"):
+        TR.training_job({name: labelled_table(x, name) for name in TR.MODELS}, corpus(x), "case_text", root)
+    return root
+
+
+def trained(x, name, by="time"):
+    """A saved model and its scored rows."""
+    root = f"{job(x)}/{by}"
+    return TR.load(name, root), x.spark.read.parquet(f"{root}/{name}/scored")
 
 
-@query("O130_text_vectors")
+def text_model(x):
+    return PipelineModel.load(f"{job(x)}/text")
+
+
+def saved_report(x):
+    return x.spark.read.json(f"{job(x)}/metrics")
+
+
+@query("O130_text_vectors", sql("SELECT id AS invoice_id, 384::BIGINT AS dims, 1.0::DOUBLE AS squared_norm FROM past"), digits=5)
 def vectors(x):
-    rows = TR.text_vectors(corpus(x).select("invoice_id", "case_text"), "case_text")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
+    rows = TR.text_vectors(text_model(x), corpus(x).select("invoice_id", "case_text"), "case_text")
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
     return rows.select("invoice_id", F.size("embedding").alias("dims"), norm.alias("squared_norm"))
 
 
-@query("O140_feature_matrix")
+@query("O140_feature_matrix", sql(f"SELECT invoice_id, {len(P.CATEGORICAL_FEATURES) + 2 * len(P.NUMERIC_FEATURES)}::BIGINT AS n_features, split FROM split_recovery"))
 def matrix(x):
-    model, scored = trained(x, "recovery")
+    _, scored = trained(x, "recovery")
     return scored.select("invoice_id", F.size(vector_to_array("features")).alias("n_features"), "split")
 
 
@@ -54,6 +82,19 @@ def trees(x):
     return TR.top_importances(model, scored).withColumn("rounds", F.lit(model.trees.getNumTrees))
 
 
+@query("O141_chosen_rounds", sql(f"""SELECT DISTINCT model, "by", true AS is_lowest, true AS waited, 10::BIGINT AS importances FROM report_rows"""))
+def chosen_rounds(x):
+    """The kept round has the lowest loss of all that were judged, and the rounds went on for the patience after it or to the limit."""
+    root = job(x)
+    losses, rounds = F.col("losses"), F.col("rounds")
+    before = F.slice(losses, 1, rounds + TR.PATIENCE)
+    fair = x.spark.read.parquet(f"{root}/importances").where("importance BETWEEN 0 AND 1").groupBy("model", "by").agg(F.count(F.lit(1)).alias("importances"))
+    return x.spark.read.parquet(f"{root}/rounds").join(fair, ["model", "by"]).select(
+        "model", "by", (losses[rounds - 1] == F.array_min(before)).alias("is_lowest"),
+        (F.size(losses) >= F.least(rounds + TR.PATIENCE, F.lit(TR.ROUNDS))).alias("waited"), "importances",
+    )
+
+
 @query("O142_isotonic_calibration")
 def isotonic(x):
     model, scored = trained(x, "recovery")
@@ -61,6 +102,13 @@ def isotonic(x):
     return M.reliability_table(TR.as_scored(test, "recovery_label", "p"))
 
 
+@query("O142_calibrated_slice", sql(f"""SELECT 10::BIGINT AS bins, count(*) AS n, {r('avg(recovery_label)')} AS observed_rate FROM split_recovery WHERE split = 'test'"""))
+def calibrated_slice(x):
+    table = isotonic(x)
+    rate = F.sum(F.coalesce(F.col("observed_rate"), F.lit(0.0)) * F.col("n")) / F.sum("n")
+    return table.agg(F.count(F.lit(1)).alias("bins"), F.sum("n").alias("n"), rate.alias("observed_rate"))
+
+
 @query("O143_platt_calibration")
 def platt(x):
     model, scored = trained(x, "promise")
@@ -68,36 +116,73 @@ def platt(x):
     return M.broken_class_metrics(TR.as_scored(test, "kept", "p"))
 
 
-@query("O144_batch_scoring")
-def scoring(x):
+@query("O143_calibrated_promises", sql("SELECT promise_id, true AS in_bounds, true AS on_side FROM split_promise WHERE split = 'test'"))
+def calibrated_promises(x):
+    """Calibrated probabilities are in their bounds and on the side of one half that the fitted line gives."""
+    model, scored = trained(x, "promise")
+    test = TR.calibrated(model, scored.filter("split = 'test'"))
+    at = model.calibrator.coefficients[0] * F.col("raw") + model.calibrator.intercept
+    side = (F.col("p") >= 0.5) == (at >= 0)
+    return test.select("promise_id", F.col("p").between(P.PROBABILITY_FLOOR, P.PROBABILITY_CEILING).alias("in_bounds"), side.alias("on_side"))
+
+
+def live_scores(x):
+    """Both models on one pass over the live features."""
     recovery, _ = trained(x, "recovery")
     cause, _ = trained(x, "root_cause")
-    live = FE.live_features(x.d)
-    a = TR.score(recovery, live).select("invoice_id", F.col("p").alias("recovery_probability"))
-    b = TR.score(cause, live).select("invoice_id", F.col("p").alias("cash_flow_probability"))
-    return a.join(b, "invoice_id")
+    live = materialise(FE.live_features(x.d), "live")
+    once = TR.score(recovery, live).withColumnRenamed("p", "recovery_probability")
+    return TR.score(cause, once).select("invoice_id", "recovery_probability", F.col("p").alias("cash_flow_probability"))
+
+
+@query("O144_batch_scoring")
+def scoring(x):
+    return live_scores(x)
+
+
+@query("O144_scores_in_bounds", sql("SELECT id AS invoice_id, true AS recovery, true AS cash_flow FROM live"))
+def scores_in_bounds(x):
+    fair = lambda c: F.col(c).between(P.PROBABILITY_FLOOR, P.PROBABILITY_CEILING)
+    return live_scores(x).select("invoice_id", fair("recovery_probability").alias("recovery"), fair("cash_flow_probability").alias("cash_flow"))
 
 
 @query("O145_experiment_report")
 def report(x):
-    return TR.experiment_report(*trained(x, "recovery"))
+    """Metrics of the recovery model on both splits, with its largest importances as one list."""
+    top = x.spark.read.parquet(f"{job(x)}/importances").groupBy("model", "by").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False), lambda v: v["feature"]).alias("top_features")
+    )
+    return saved_report(x).where("model = 'recovery'").join(top, ["model", "by"])
+
+
+@query("O145_report_rows", sql("""SELECT "by", kind, split, n, positive_rate FROM reported WHERE model = 'recovery'"""))
+def report_rows(x):
+    return report(x).select("by", "kind", "split", "n", "positive_rate")
 
 
 @query("O146_train_all_models")
 def train_all(x):
-    out = None
-    for name in TR.MODELS:
-        part = TR.experiment_report(*trained(x, name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return saved_report(x)
 
 
-@query("O012_model_artifacts")
+@query("O146_report_rows", sql("""SELECT model, "by", kind, split, n, positive_rate FROM reported"""))
+def all_report_rows(x):
+    return saved_report(x).select("model", "by", "kind", "split", "n", "positive_rate")
+
+
+@query("O146_saved_snapshots", sql("""SELECT 'recovery-v1' AS model_version, count(*) AS n, count(DISTINCT invoice_id) AS invoices FROM split_recovery
+  UNION ALL SELECT 'promise-v1', count(*), count(DISTINCT invoice_id) FROM feat_promise
+  UNION ALL SELECT 'root_cause-v1', count(*), count(DISTINCT invoice_id) FROM cause_rows"""))
+def saved_snapshots(x):
+    rows = x.spark.read.parquet(f"{job(x)}/snapshots")
+    return rows.groupBy("model_version").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("invoice_id").alias("invoices"))
+
+
+@query("O012_model_artifacts", sql("SELECT count(*) AS n, 0::BIGINT AS changed FROM split_recovery"))
 def artifacts(x):
     model, scored = trained(x, "recovery")
     root = new_path(x.spark, "models")
     TR.save(model, root)
-    TR.save_metrics(TR.experiment_report(model, scored), f"{root}/metrics")
     again = TR.load("recovery", root)
     before = TR.calibrated(model, scored).select("invoice_id", "p")
     after = TR.calibrated(again, TR.raw_score(again.trees, scored.drop("raw"))).select("invoice_id", F.col("p").alias("p_loaded"))
@@ -106,9 +191,20 @@ def artifacts(x):
     )
 
 
-@query("O167_promise_path")
+def stored_promises(x):
+    """The stored table keeps at most one open promise per invoice, the first."""
+    opened = x.d.promises.filter("status = 'open'")
+    rest = [c for c in opened.columns if c != "invoice_id"]
+    one = opened.groupBy("invoice_id").agg(F.min_by(F.struct(*rest), "id").alias("p")).select("invoice_id", "p.*")
+    return x.d.promises.filter("status <> 'open'").unionByName(one)
+
+
+@query("O167_promise_path", sql(f"""SELECT id, invoice_id, status, {day('promised_date')} AS promised_date, promised_amount::DOUBLE AS promised_amount, false AS scored
+  FROM promises WHERE status <> 'open' UNION ALL
+  SELECT min(id), invoice_id, 'open', {day('arg_max(promised_date, (created_at, id))')}, arg_max(promised_amount, (created_at, id))::DOUBLE, true
+  FROM promises WHERE status = 'open' GROUP BY invoice_id"""), digits=2)
 def promise_path(x):
-    """New promises are scored at their event time and stored as the one open promise of their invoice."""
+    """New promises are scored at their event time and merged into the one open promise of their invoice, which keeps its id."""
     model, _ = trained(x, "promise")
     new = live_promises(x)
     p = TR.score(model, FE.live_promise_features(x.d, new)).select("promise_id", F.col("p").alias("score"))
@@ -116,8 +212,11 @@ def promise_path(x):
         "id", "invoice_id", "promised_amount", "promised_date", "source", F.col("score").alias("confidence_score"), "created_at"
     )
     last = sinks.newest_per_key(made, ["invoice_id"], F.struct("created_at", "id"))
-    closed = x.d.promises.filter("status <> 'open'")
-    return sinks.merged_open_promises(closed, last).select("id", "invoice_id", "status", "confidence_score")
+    path = new_path(x.spark, "promises")
+    keyed.create(stored_promises(x), path, ["invoice_id"])
+    keyed.upsert(last, path, ["invoice_id"], sinks.merged_open_promises)
+    fair = F.coalesce(F.col("confidence_score").between(P.PROBABILITY_FLOOR, P.PROBABILITY_CEILING), F.lit(False)) & (F.col("status") == "open")
+    return keyed.read(x.spark, path).select("id", "invoice_id", "status", "promised_date", "promised_amount", fair.alias("scored"))
 
 
 @query("O170_live_decision_pass", sql("""SELECT d.invoice_id, d.proposed AS proposed_action, d.final_action, d.policy_result, d.cause AS root_cause_label,
@@ -131,14 +230,28 @@ def live_pass(x):
     )
 
 
+def scored_decisions(x):
+    scores = live_scores(x).withColumnRenamed("recovery_probability", "base_probability")
+    return PD.live_decisions(x.d, lambda rows: rows.join(scores, "invoice_id"), x.as_of, x.now_utc)
+
+
 @query("O170_scored_decision_pass")
 def scored_pass(x):
     """The same pass on model scores instead of the given columns."""
-    recovery, _ = trained(x, "recovery")
-    cause, _ = trained(x, "root_cause")
-    live = FE.live_features(x.d)
-    scores = TR.score(recovery, live).select("invoice_id", F.col("p").alias("base_probability")).join(
-        TR.score(cause, live).select("invoice_id", F.col("p").alias("cash_flow_probability")), "invoice_id"
+    return PD.distributions(scored_decisions(x))
+
+
+@query("O170_scored_cases", sql("""SELECT l.id AS invoice_id, 1::BIGINT AS decisions, true AS known_action, coalesce(c.n, 0) AS cases
+  FROM live l LEFT JOIN (SELECT query_id, count(*) AS n FROM top_live GROUP BY 1) c ON c.query_id = l.id"""))
+def scored_cases(x):
+    """The scored pass with cases found in the text model's space: how many decisions and cases each invoice has."""
+    model = text_model(x)
+    cases = TR.text_vectors(model, _disputed(x, corpus(x), "invoice_id"), "case_text")
+    asked = TR.text_vectors(model, _disputed(x, C.case_queries(FE.live_features(x.d), x.as_of), "query_id"), "text")
+    found = hybrid_retrieve(
+        materialise(asked, "queries"), materialise(cases.drop("action_types", "status", "delay_days", "customer_id", "merchant_id"), "corpus")
     )
-    made = PD.live_decisions(x.d, lambda rows: rows.join(scores, "invoice_id"), x.as_of, x.now_utc)
-    return PD.distributions(made)
+    held = found.groupBy(F.col("query_id").alias("invoice_id")).agg(F.count(F.lit(1)).alias("cases"))
+    known = F.bool_and(F.col("final_action").isin(*P.ACTION_STATE, "stop"))
+    made = scored_decisions(x).groupBy("invoice_id").agg(F.count(F.lit(1)).alias("decisions"), known.alias("known_action"))
+    return made.join(held, "invoice_id", "left").select("invoice_id", "decisions", "known_action", F.coalesce("cases", F.lit(0)).alias("cases"))

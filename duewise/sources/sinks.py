@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duewise import params as P
@@ -23,6 +23,13 @@ def overwrite_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is there and complete."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def merged(old: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows with the non-NULL fields of their update; new keys are added. ``updates`` may lack columns."""
     a, b = old.alias("a"), updates.alias("b")

@@ -4,12 +4,15 @@ import math
 import random
 
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from duewise import params as P
 from duewise.operators import metrics as M
 from duewise.plans import training as TR
 from duewise.session import new_path
+from duewise.sources import sinks
 
 
 def scored(spark, pairs):
@@ -100,3 +103,52 @@ def test_platt_calibration_is_monotone(spark):
     out = TR.calibrated(TR.Trained("promise", None, None, calibrator), rows).orderBy("raw")
     p = [r.p for r in out.collect()]
     assert p == sorted(p) and p[0] < 0.3 < 0.7 < p[-1]
+
+
+def test_best_round_waits_for_the_patience():
+    assert TR.best_round([3, 2, 1], 2) == (3, False)
+    assert TR.best_round([3, 1, 2, 2, 0], 2) == (2, True)  # the later low comes after the patience
+    assert TR.best_round([3, 1, 2, 0.5, 2, 2], 2) == (4, True)
+    assert TR.best_round([1, 1, 1], 5) == (1, False)
+
+
+def test_kept_rounds_have_the_lowest_validation_loss(spark):
+    model, rows = TR.train("recovery", table(spark), rounds=24, patience=3)
+    kept, _ = TR.best_round(model.losses, 3)
+    assert model.trees.getNumTrees == kept and model.losses[kept - 1] == min(model.losses[: kept + 3])
+    matrix = rows.filter("split = 'validation'").select("features", F.col("recovery_label").cast("double").alias("recovery_label"))
+    assert model.trees.evaluateEachIteration(matrix) == pytest.approx(model.losses[:kept])
+
+
+def test_without_validation_rows_all_rounds_stay(spark):
+    rows = spark.range(40).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), (F.col("id") > 20).cast("int").alias("y"), F.lit("fit").alias("split"))
+    trees, losses = TR.fit_trees(rows, "y", rounds=5)
+    assert trees.getNumTrees == 5 and losses == []
+
+
+def test_a_text_has_one_vector_in_any_frame(spark):
+    texts = spark.createDataFrame([(1, "late invoice paid"), (2, "invoice disputed"), (3, "late late"), (4, ""), (5, None)], "id INT, t STRING")
+    root = new_path(spark, "text")
+    TR.fit_text_model(texts, "t").save(root)
+    model = PipelineModel.load(root)
+    whole = {r.id: r.embedding for r in TR.text_vectors(model, texts, "t").collect()}
+    alone = {r.id: r.embedding for i in (1, 2, 3, 4, 5) for r in TR.text_vectors(model, texts.where(f"id = {i}"), "t").collect()}
+    assert whole == alone and all(len(v) == 384 for v in whole.values())
+    assert [round(sum(x * x for x in whole[i]), 5) for i in (1, 2, 3, 4, 5)] == [1, 1, 1, 0, 0]
+
+
+def test_job_leaves_everything_to_read_back(spark):
+    root = new_path(spark, "job")
+    rows = table(spark).withColumns({"merchant_id": F.lit(1), "due_date": F.col("issue_date")})
+    texts = spark.createDataFrame([("paid late",)], "t STRING")
+    assert not sinks.is_written(spark, f"{root}/rounds")
+    TR.training_job({"recovery": rows}, texts, "t", root, rounds=4)
+    assert sinks.is_written(spark, f"{root}/rounds")
+    assert {(r.by, r.kind, r.split) for r in spark.read.json(f"{root}/metrics").collect()} == {
+        (b, k, s) for b in ("time", "customer") for k in ("raw", "calibrated") for s in ("fit", "test")
+    }
+    assert spark.read.parquet(f"{root}/importances").count() == 20 and spark.read.parquet(f"{root}/snapshots").count() == 900
+    scored = spark.read.parquet(f"{root}/time/recovery/scored")
+    loaded = TR.load("recovery", f"{root}/time")
+    again = TR.raw_score(loaded.trees, scored.drop("raw"))
+    assert again.select("invoice_id", "raw").exceptAll(scored.select("invoice_id", "raw")).isEmpty()
