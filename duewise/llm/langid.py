@@ -132,6 +132,8 @@ def by_length(words: list[str]):
 def words_of(text: str) -> list[str]:
     """Lower-case words with the mark at their front, long ones in stretches."""
     found = LETTERS.findall(text.lower())
+    if not text.isascii() and found and not "".join(found).isalpha():  # signs like ½, ² and Ⅷ count as numbers
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
     if max(map(len, found), default=0) <= LONGEST:
         return found
     return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
