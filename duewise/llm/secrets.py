@@ -4,7 +4,9 @@ Base kinds, leftmost and non-overlapping each: ``assign`` (a credential's name,
 access key id of 20 or more), ``hex`` (a run of 24 or more hex digits). The kind ``guess`` is added by the method: a value
 that follows a wider set of credential names is a secret if the cheapest way to guess it costs ``MIN_BITS`` or more. The cost is
 a dynamic program over positions: the cheapest segmentation into dictionary words, dates, repeats, sequences, keyboard walks
-and brute-force spans. So ``pwd: summer2024`` is no secret and ``pwd: x9Qe7#kLm2Vb`` is one.
+and brute-force spans. So ``pwd: summer2024`` is no secret and ``pwd: x9Qe7#kLm2Vb`` is one, and ``the password is wonderful``
+is prose while random letters in its place are not. A name may be followed by a sign or ``is``, and ``Bearer`` by its value at
+once; words of letters beyond ASCII after these two are taken for prose.
 
 The dictionary is a public tokenizer's vocabulary in its order of merging, which stands for frequency. Costs are bounded by
 value length times a constant.
@@ -36,7 +38,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the same spans as runs of any length, less those that are too short
 _CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth)[_-]?key|bearer)["']?[\x20\t]*([:=]+>?|\bis\b)[\x20\t]*["'`]?([^\s"'`,;<>()\[\]{}]{6,})""",
+    r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth)[\x20_-]?key|bearer)["']?[\x20\t]*([:=]+>?|\bis\b)|\bbearer(?=[\x20\t]))[\x20\t]*["'`]?(?:bearer[\x20\t]+)?([^\s"'`,;<>()\[\]{}]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
 SCAN = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
@@ -139,7 +141,7 @@ def find(text: str | None, words_path: str, min_bits: float = MIN_BITS) -> list[
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     for m in _CONTEXT.finditer(text):
-        if m[1].lower() == "is" and m[2].isalpha():  # prose: "the password is wonderful"
+        if (m[1] or "is").lower() == "is" and m[2].isalpha() and not m[2].isascii():  # prose that the dictionary does not know
             continue
         if guess_bits(m[2], dictionary(words_path)) >= min_bits:
             spans.append((m.start(2), 3, m.end(2)))
