@@ -7,13 +7,13 @@
    threshold shares no band in fewer than 1 of 10^8 cases.
 4. Within a band a class is compared with one class, drawn anew for each band, so a class meets many others and rows stay
    in proportion to classes. Candidates whose estimate, less expected collisions of compressed registers, is over
-   ``MARGIN`` below the threshold go (3.5 standard errors at the threshold); the others are confirmed on their full sets.
+   ``ERRORS`` standard errors at the threshold below it go; the others are confirmed on their full sets.
    Confirmed links make components.
 5. Then every class outside its band's main component meets all others of the band whose size fits, in tiles of at most two times
    ``TILE`` classes. A tile compares ``FINE`` further registers, the last eight bits of a least hash each, and gives, in the first band that they share, only pairs
-   whose estimate is less than 3.5 standard errors below the threshold; these are confirmed too. A link inside a component needs
-   no check, so no link between components is lost but those that the estimate misses, about 1 in 4000 exactly at the
-   threshold and far fewer above it.
+   whose estimate is less than ``ERRORS`` standard errors below the threshold; these are confirmed too. A link inside a component
+   needs no check, so no link between components is lost but those that the estimate misses, fewer than 1 in 10^6 exactly at
+   the threshold and far fewer above it.
 
 Only classes in shared bands have their sets kept, and only components, never all pairs of a group, are written.
 
@@ -38,9 +38,8 @@ from duewise.llm.shingles import shingle_hashes, shingle_set
 REGISTERS = 252
 MANTISSA = 10
 MISSED = 1e-8
-MARGIN = 0.08
+ERRORS = 5
 FINE = 768
-FINE_MARGIN = 0.045
 TILE = 512
 _COLLISION = 0.169919487159739  # limit of the chance that two compressed least hashes agree, times 2^MANTISSA
 
@@ -56,6 +55,12 @@ def band_width(threshold: float, registers: int = REGISTERS) -> int:
     return max(fitting, default=1)
 
 
+def margin(threshold: float, registers: int, chance: float) -> float:
+    """``ERRORS`` standard errors of an estimate at the threshold from registers of which ``chance`` agree anyway."""
+    agree = threshold + (1 - threshold) * chance
+    return float(ERRORS * np.sqrt(agree * (1 - agree) / registers) / (1 - chance))
+
+
 def _least(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     least = np.full(len(a), np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(found), 512):
@@ -140,9 +145,10 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
             cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             matrix = {x: np.frombuffer(b"".join(_binary(cols[x])), "<u2").reshape(-1, REGISTERS) for x in ("r_a", "r_b")}
             size = {x: cols[x].to_numpy(zero_copy_only=False).astype(float) for x in ("n_a", "n_b")}
-            keep = pa.array(estimate(matrix["r_a"], matrix["r_b"], size["n_a"], size["n_b"]) >= threshold - MARGIN)
+            keep = pa.array(estimate(matrix["r_a"], matrix["r_b"], size["n_a"], size["n_b"]) >= least)
             yield pa.RecordBatch.from_arrays([cols["a"].filter(keep), cols["b"].filter(keep)], ["a", "b"])
 
+    least = threshold - margin(threshold, REGISTERS, _COLLISION / (1 << MANTISSA))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
     fits = F.least("n_a", "n_b") >= (threshold - 1e-9) * F.greatest("n_a", "n_b")
     return sized.where(fits).select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
@@ -227,6 +233,7 @@ def _tiles(open_: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     rows = rows.select("band", "bin", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "at", "block", "node", "label")
     rows = rows.join(classes, "node")
     keys = ["band", "bin", "i", "j"]
+    least = threshold - margin(threshold, FINE, 1 / 256)
     rows = rows.select(*keys, "at", "block", "node", "label", "n_shingles", "fine").repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(at, bin_, block, node, label, size, fine):
@@ -242,7 +249,7 @@ def _tiles(open_: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
             if not len(y):
                 continue
             agree = (fine[y] == fine[x]).mean(axis=1)
-            y = y[(agree - 1 / 256) / (1 - 1 / 256) >= threshold - FINE_MARGIN]
+            y = y[(agree - 1 / 256) / (1 - 1 / 256) >= least]
             y = y[~(digests[y] == digests[x]).any(axis=1)]
             found += [(min(node[x], node[k]), max(node[x], node[k])) for k in y]
         return found

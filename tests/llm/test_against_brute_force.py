@@ -393,3 +393,36 @@ def test_pipeline(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == mixed
     check_packed(rows, 2048)
+
+
+def test_contexts_with_blanks_and_letters_only():
+    path = default_tokenizer()
+    kinds = lambda t: [t[a:b] for a, k, b in secrets.find(t, path) if k == 3]
+    assert kinds("Authorization: Bearer x9Qe7kLm2VbT4w") == ["x9Qe7kLm2VbT4w"]
+    assert kinds("token: Bearer x9Qe7kLm2VbT4w") == ["x9Qe7kLm2VbT4w"]
+    assert kinds("the api key: x9Qe7kLm2VbT4w") == ["x9Qe7kLm2VbT4w"]
+    assert kinds("the password is qzxvkwjhplmtrd") == ["qzxvkwjhplmtrd"]
+    for prose in ("the password is wonderful", "the bearer certificate", "the secret is überraschungsmoment", "a token is required here"):
+        assert kinds(prose) == []
+
+
+def test_signs_that_are_no_letters_are_no_words():
+    assert langid.words_of("½ ² ① Ⅷ") == []
+    assert langid.words_of("Größe ½x² — 一二") == ["größe", "x", "一二"]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_no_pair_at_the_threshold_is_cut_by_its_estimate(percent):
+    """10,000 pairs exactly at the threshold, by both kinds of registers."""
+    rng, t = np.random.default_rng(percent), percent / 100
+    for registers, chance in ((neardup.REGISTERS, 0.17 / 1024), (neardup.FINE, 1 / 256)):
+        agree = rng.binomial(registers, t + (1 - t) * chance, 10_000) / registers
+        assert ((agree - chance) / (1 - chance) >= t - neardup.margin(t, registers, chance)).all()
+    union, both = 200, 2 * percent
+    cut = t - neardup.margin(t, neardup.REGISTERS, 0.17 / 1024)
+    for _ in range(150):
+        found = rng.integers(0, 1 << 64, union, dtype=np.uint64)
+        rest = (union - both) // 2
+        a, b = found[: both + rest], np.concatenate([found[:both], found[both + rest :]])
+        x, y = (np.frombuffer(neardup.registers(v), "<u2")[None] for v in (a, b))
+        assert neardup.estimate(x, y, np.array([len(a)]), np.array([len(b)]))[0] >= cut
