@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, IDF, Imputer, Normalizer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, Imputer, Normalizer, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
@@ -49,13 +49,27 @@ def numeric_inputs(df: DataFrame) -> DataFrame:
     )
 
 
-def prepare_stages(categorical: list[str]) -> Pipeline:
-    """Feature matrix: indexed categories, imputed numbers, missing indicators."""
+def without_values(numbered: DataFrame) -> list[str]:
+    """Numeric features that no row has a value of, found in one pass."""
+    held = lambda c: F.count_if(F.col(f"{c}_in").isNotNull() & ~F.isnan(f"{c}_in"))
+    counts = numbered.agg(*[held(c).alias(c) for c in P.NUMERIC_FEATURES]).first()
+    return [c for c in P.NUMERIC_FEATURES if not counts[c]]
+
+
+def prepare_stages(categorical: list[str], blank: list[str]) -> Pipeline:
+    """Feature matrix: indexed categories, imputed numbers, missing indicators.
+
+    A number in ``blank`` has no median to impute, so it is 0 in every row, later ones included: the trees never saw a value of it.
+    """
     names = P.NUMERIC_FEATURES
-    index = StringIndexer(inputCols=categorical, outputCols=[f"{c}_ix" for c in categorical], handleInvalid="keep")
-    impute = Imputer(inputCols=[f"{c}_in" for c in names], outputCols=[f"{c}_im" for c in names], strategy="median")
+    known = [c for c in names if c not in blank]
+    stages = [StringIndexer(inputCols=categorical, outputCols=[f"{c}_ix" for c in categorical], handleInvalid="keep")]
+    if known:
+        stages.append(Imputer(inputCols=[f"{c}_in" for c in known], outputCols=[f"{c}_im" for c in known], strategy="median"))
+    if blank:
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(f'0.0D AS {c}_im' for c in blank)} FROM __THIS__"))
     parts = [f"{c}_ix" for c in categorical] + [f"{c}_im" for c in names] + [f"{c}_missing" for c in names]
-    return Pipeline(stages=[index, impute, VectorAssembler(inputCols=parts, outputCol="features")])
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="features")])
 
 
 def feature_matrix(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -137,8 +151,8 @@ def train(name: str, table: DataFrame, rounds: int = ROUNDS, by: str = "time", p
     label, date, key, method, extra = MODELS[name]
     split = time_split(table, date, label, key) if by == "time" else customer_split(table)
     stored = materialise(split, f"{name}-split")
-    fit_rows = stored.filter("split = 'fit'")
-    prepare = prepare_stages([*P.CATEGORICAL_FEATURES, *extra]).fit(numeric_inputs(fit_rows))
+    fit_rows = numeric_inputs(stored.filter("split = 'fit'"))
+    prepare = prepare_stages([*P.CATEGORICAL_FEATURES, *extra], without_values(fit_rows)).fit(fit_rows)
     matrix = feature_matrix(prepare, stored)
     widest = max((len(v) for s in prepare.stages if isinstance(s, StringIndexerModel) for v in s.labelsArray), default=0)
     trees, losses = fit_trees(matrix, label, rounds, bins=max(64, widest + 1), patience=patience)

@@ -95,6 +95,21 @@ def test_customer_split_model(spark):
     assert {r.split for r in rows.select("split").distinct().collect()} == {"fit", "validation", "test"}
 
 
+def test_a_number_without_any_value_is_constant(spark):
+    names = ["recent_90d_payment_rate", "recent_90d_late_rate"]
+    bare = table(spark).withColumns({c: F.lit(None).cast("double") for c in names})
+    assert TR.without_values(TR.numeric_inputs(bare)) == [c for c in P.NUMERIC_FEATURES if c in names]
+    model, rows = TR.train("recovery", bare, rounds=4)
+    width = len(P.CATEGORICAL_FEATURES) + 2 * len(P.NUMERIC_FEATURES)
+    assert {len(r.features) for r in rows.select("features").take(5)} == {width}
+    root = new_path(spark, "models")
+    TR.save(model, root)
+    loaded = TR.load("recovery", root)
+    later = bare.withColumns({c: F.lit(0.5) for c in names})
+    seen = TR.feature_matrix(loaded.prepare, later).agg(*[F.count_if(F.col(f"{c}_im") != 0) for c in names]).first()
+    assert tuple(seen) == (0, 0) and TR.score(loaded, later).filter("p IS NULL").isEmpty()
+
+
 def test_platt_calibration_is_monotone(spark):
     rows = spark.range(400).select(
         (F.col("id") / 400.0).alias("raw"), (F.col("id") % 10 < F.col("id") / 40).cast("int").alias("kept"), F.lit("calibration").alias("split")
