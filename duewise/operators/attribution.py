@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duewise import params as P
 from duewise.functions.expr import cents, lookup, ratio, rnd
 from duewise.operators.prefix import before, chunked_prefix
+from duewise.session import materialise
 from duewise.sources.tables import Domain
 
 
@@ -133,10 +136,10 @@ def action_by_archetype(df: DataFrame) -> DataFrame:
     return cube.filter("treatment_n > 0")
 
 
-def simpson_check(df: DataFrame) -> DataFrame:
+def simpson_check(df: DataFrame, by_archetype: DataFrame | None = None) -> DataFrame:
     """Actions whose pooled increment and archetype-stratified sum disagree in sign, both material."""
     pooled = slice_cube(df, "segment", [["slice_action"]]).select("action", F.col("incremental_recovered_amount").alias("pooled"))
-    strata = action_by_archetype(df).groupBy("action").agg(F.sum("incremental_recovered_amount").alias("stratified"))
+    strata = (action_by_archetype(df) if by_archetype is None else by_archetype).groupBy("action").agg(F.sum("incremental_recovered_amount").alias("stratified"))
     big = lambda c: F.abs(F.col(c)) >= P.SIMPSON_FLOOR
     flip = (F.col("pooled") < 0) != (F.col("stratified") < 0)
     rows = pooled.join(strata, "action", "left").fillna(0.0, ["stratified"])
@@ -181,10 +184,16 @@ def _metrics(df: DataFrame) -> DataFrame:
 
 
 def cuped_theta(df: DataFrame) -> DataFrame:
-    """One global adjustment per metric, fitted over both arms together."""
-    return _metrics(df).groupBy("metric").agg(
-        (F.covar_samp("x", "y") / F.var_samp("x")).alias("theta"), F.corr("x", "y").alias("corr"), F.avg("x").alias("x_mean")
+    """One global adjustment per metric, fitted over both arms together.
+
+    A covariate that does not vary explains nothing: theta is 0 and the correlation NULL, so adjusted figures are the raw ones.
+    """
+    moments = _metrics(df).groupBy("metric").agg(
+        F.covar_samp("x", "y").alias("cov"), F.var_samp("x").alias("var_x"), F.var_samp("y").alias("var_y"), F.avg("x").alias("x_mean")
     )
+    theta = F.coalesce(ratio(F.col("cov"), F.col("var_x")), F.lit(0.0))
+    corr = ratio(F.col("cov"), F.sqrt("var_x") * F.sqrt("var_y"))
+    return moments.select("metric", theta.alias("theta"), corr.alias("corr"), "x_mean")
 
 
 def cuped_slices(df: DataFrame, sets: list[list[str]] | None = None) -> DataFrame:
@@ -225,6 +234,29 @@ def cuped_slices(df: DataFrame, sets: list[list[str]] | None = None) -> DataFram
     return out.withColumn("se_reduction_pct", (1 - F.col("cuped_se") / F.col("raw_se")) * 100)
 
 
+# Reads
+
+
+def attribution_read(slices: DataFrame, records: DataFrame, diagnostics: bool = False, adjusted: bool = False, action: str = "escalate") -> DataFrame:
+    """Stored ``slices`` as rows of ``part`` slice; further parts, with columns of their own, only where asked for.
+
+    ``diagnostics`` adds the effect of ``action`` inside each archetype (part archetype) and the sliced actions whose pooled and
+    stratified effects disagree in sign (part warning). ``adjusted`` adds both pooled CUPED metrics (part cuped) beside the raw
+    ones. Both are computed from ``records`` at the time of the read and never stored; no slice changes with them.
+    """
+    parts = [slices.withColumn("part", F.lit("slice"))]
+    if diagnostics:
+        # Archetypes times actions: a few dozen cells, which both diagnostics read.
+        cells = materialise(action_by_archetype(records), "archetype-cells")
+        parts.append(cells.filter(F.col("action") == action).withColumn("part", F.lit("archetype")))
+        sliced = slices.filter("segment IS NULL AND action IS NOT NULL").select("action")
+        flips = simpson_check(records, cells).filter("sign_flip").join(sliced, "action", "left_semi")
+        parts.append(flips.select(F.lit("warning").alias("part"), "action", "pooled", "stratified"))
+    if adjusted:
+        parts.append(cuped_slices(records, [[]]).withColumn("part", F.lit("cuped")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 # Dashboard roll-ups
 
 

@@ -14,11 +14,12 @@ from duewise.operators.sampling import assign_arms
 from duewise.plans import decisions as PD
 from duewise.plans.experiment import population
 from duewise.queries.decisions import decisions
+from duewise.queries.experiment import _cube_cols, _cuped
 from duewise.queries.experiment import rows as experiment_rows
 from duewise.queries.registry import query
 from duewise.queries.retrieval import corpus
 from duewise.queries.sqlviews import AS_OF, day, r, rr, sql, ts, view
-from duewise.session import new_path
+from duewise.session import materialise, new_path
 from duewise.sources import keyed, sinks
 
 # Data quality
@@ -307,6 +308,35 @@ def metrics_read(x):
     return snapshot.select("strategy", "net_expected_recovered", pooled.alias("p")).select("strategy", "net_expected_recovered", "p.*")
 
 
+_read_slices = f"SELECT 'slice' AS part, segment, {_cube_cols} FROM cube"
+_read_diagnostics = f"""SELECT 'archetype' AS part, archetype, {_cube_cols} FROM arch_cube WHERE slice_action = 'escalate' UNION ALL BY NAME
+  SELECT 'warning' AS part, c.slice_action AS action, {r('c.increment', 4)} AS pooled, {r('coalesce(s.total, 0)', 4)} AS stratified FROM cube c
+  LEFT JOIN (SELECT slice_action, sum(increment) AS total FROM arch_cube GROUP BY 1) s ON s.slice_action = c.slice_action
+  WHERE c.g1 = 1 AND c.g2 = 0 AND abs(c.increment) >= {P.SIMPSON_FLOOR} AND abs(coalesce(s.total, 0)) >= {P.SIMPSON_FLOOR} AND (c.increment < 0) <> (coalesce(s.total, 0) < 0)"""
+_read_adjusted = _cuped.replace("SELECT segment", "SELECT 'cuped' AS part, segment", 1) + " WHERE g1 = 1 AND g2 = 1"
+
+
+def read_attribution(x, **parts):
+    """The slices as a run stored them, and the parts a reader asks for."""
+    records = experiment_rows(x)
+    return A.attribution_read(materialise(A.slice_cube(records), "slices"), records, **parts)
+
+
+@query("O173_attribution_read", sql(_read_slices), digits=4)
+def attribution_read(x):
+    return read_attribution(x)
+
+
+@query("O173_attribution_diagnostics", sql(f"{_read_slices} UNION ALL BY NAME {_read_diagnostics}"), digits=4)
+def attribution_diagnostics(x):
+    return read_attribution(x, diagnostics=True)
+
+
+@query("O173_attribution_adjusted", sql(f"{_read_slices} UNION ALL BY NAME {_read_adjusted}"), digits=4)
+def attribution_adjusted(x):
+    return read_attribution(x, adjusted=True)
+
+
 # Sinks: write, then read back
 
 

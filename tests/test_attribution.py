@@ -64,6 +64,29 @@ def test_sign_flip_is_flagged_only_when_material(spark, scale, flagged):
     assert got.pooled < 0 < got.stratified and got.sign_flip is flagged
 
 
+def test_read_gives_further_parts_only_where_asked(spark):
+    flip = [row("acted", "escalate", i < 2, archetype="a") for i in range(10)] + [row("control", "escalate", i < 1, archetype="a") for i in range(10)]
+    flip += [row("acted", "escalate", True, archetype="b")] + [row("control", "escalate", i < 36, archetype="b") for i in range(40)]
+    calm = [row(g, "email", i < n, archetype=None) for g, n in (("acted", 6), ("control", 3)) for i in range(10)]
+    records = spark.createDataFrame(flip + calm, SCHEMA)
+    slices = A.slice_cube(records)
+    plain = A.attribution_read(slices, records)
+    assert plain.columns == [*slices.columns, "part"] and plain.drop("part").exceptAll(slices).isEmpty()
+    assert plain.filter("segment IS NULL AND action IS NULL").count() == 1
+    found = A.attribution_read(slices, records, diagnostics=True).collect()
+    assert {(r.part, r.archetype) for r in found if r.part == "archetype"} == {("archetype", "a"), ("archetype", "b")}
+    warned = [r for r in found if r.part == "warning"]
+    assert [r.action for r in warned] == ["escalate"] and warned[0].pooled < 0 < warned[0].stratified
+    assert "theta" not in found[0] and sum(r.part == "slice" for r in found) == slices.count()
+    # An action without a stored slice gives no warning.
+    assert A.attribution_read(slices.filter("action IS NULL"), records, diagnostics=True).filter("part = 'warning'").isEmpty()
+    adjusted = A.attribution_read(slices, records, adjusted=True)
+    assert "archetype" not in adjusted.columns and {r.metric for r in adjusted.filter("part = 'cuped'").collect()} == {"count", "amount"}
+    assert adjusted.filter("part = 'cuped' AND (raw_effect IS NULL OR cuped_effect IS NULL)").isEmpty()
+    nothing = A.attribution_read(slices.limit(0), records.limit(0), diagnostics=True, adjusted=True)
+    assert nothing.isEmpty()
+
+
 def cuped_rows(correlated, effect=0.1, n=4000):
     rng = random.Random(7)
     rows = []
@@ -82,6 +105,12 @@ def test_cuped_finds_the_effect_and_never_hurts(spark, correlated):
     assert got.cuped_se < got.raw_se if correlated else got.se_reduction_pct == pytest.approx(0, abs=1)
 
 
+def test_constant_covariate_adjusts_nothing(spark):
+    rows = [row(g, "email", i < n) for g, n in (("acted", 6), ("control", 3)) for i in range(10)]
+    for got in A.cuped_slices(spark.createDataFrame(rows, SCHEMA), [[]]).collect():
+        assert got.theta == 0 and got.corr is None and got.cuped_effect == pytest.approx(got.raw_effect) and got.cuped_se == pytest.approx(got.raw_se)
+
+
 def test_cuped_needs_both_arms(spark):
     df = spark.createDataFrame([row("acted", "email", True), row("acted", "email", False, x=0.1)], SCHEMA)
     assert A.cuped_slices(df).count() == 0
