@@ -95,17 +95,17 @@ def duplicates(x):
 
 @query("O153_missing_values", sql(_rows(_missing)))
 def missing(x):
-    return Q.missing(x.d)
+    return Q.missing(x.d, x.as_of)
 
 
 @query("O154_bounds", sql(_rows(_bounds)))
 def bounds(x):
-    return Q.bounds(x.d)
+    return Q.bounds(x.d, x.as_of)
 
 
 @query("O155_category_shares", sql(_shares))
 def shares(x):
-    return Q.archetype_shares(x.d)
+    return Q.archetype_shares(x.d, x.as_of)
 
 
 @query("O156_rule_report", sql(" UNION ALL ".join(f"SELECT rule, violations, '{g}' AS rule_group, violations = 0 AS passed FROM ({body})" for g, body in _groups.items())))

@@ -45,3 +45,12 @@ def test_scans_read_only_needed_columns_and_push_filters(spark):
 def test_decision_adds_no_shuffle_to_its_context(spark):
     context, decided = plan(spark, "O058_decision_context"), plan(spark, "O034_policy")
     assert decided.count("Exchange hashpartitioning") <= context.count("Exchange hashpartitioning")
+
+
+def test_rule_report_joins_a_parent_once_and_shares_scans(spark):
+    report = plan(spark, "O156_rule_report")
+    apart = sum(plan(spark, k).count("Scan parquet") for k in (
+        "O059_orphan_checks", "O150_temporal_rules", "O151_business_rules", "O152_duplicates", "O153_missing_values", "O154_bounds", "O155_category_shares",
+    ))
+    assert report.count("Scan parquet") <= 0.9 * apart
+    assert report.count("LeftAnti") == 1 and report.count("isnull(parent_k") == 3
