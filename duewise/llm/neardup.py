@@ -10,10 +10,11 @@
    ``ERRORS`` standard errors at the threshold below it go; the others are confirmed on their full sets.
    Confirmed links make components.
 5. Then every class outside its band's main component meets all others of the band whose size fits, in tiles of at most two times
-   ``TILE`` classes. A tile compares ``FINE`` further registers, the last eight bits of a least hash each, and gives, in the first band that they share, only pairs
-   whose estimate is less than ``ERRORS`` standard errors below the threshold; these are confirmed too. A link inside a component
-   needs no check, so no link between components is lost but those that the estimate misses, fewer than 1 in 10^6 exactly at
-   the threshold and far fewer above it.
+   ``TILE`` classes. A tile compares ``FINE`` further registers, the last eight bits of a least hash each, and lists for each class, in
+   the first band that they share, those whose estimate is less than ``ERRORS`` standard errors below the threshold. The full sets of
+   listed classes then come to the tile, which confirms pairs that nothing found so far connects and gives only these links, so rows
+   follow classes and tiles, not pairs. A link inside a component needs no check, so no link between components is lost but those that
+   the estimate misses, fewer than 1 in 10^6 exactly at the threshold and far fewer above it.
 
 Only classes in shared bands have their sets kept, and only components, never all pairs of a group, are written.
 
@@ -154,6 +155,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return sized.where(fits).select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return bool(100 * both >= percent * (len(a) + len(b) - both))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets are alike: 100 times the intersection is at least ``percent`` times the union."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("found").alias(f"s_{name}"))
@@ -162,9 +168,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = np.intersect1d(a, b, assume_unique=True).size
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+                keep.append(_alike(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
@@ -199,13 +203,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         main = main.where("labels > 1").select("band", "bin", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("apart"), F.col("top.n").alias("together"))
         open_ = labelled.join(main, ["band", "bin"])
         if last:
-            likely = materialise(_tiles(open_, known.select("node", "n_shingles").join(sets.select("node", "fine"), "node"), threshold), "likely")
+            listed = _tiles(open_, known.select("node", "n_shingles").join(sets.select("node", "fine"), "node"), threshold)
+            new = materialise(_links_of_tiles(materialise(listed, "likely"), sets, percent), "links")
         else:
             drawn = open_.groupBy("band", "bin").agg(F.min(F.struct(F.xxhash64("node", "band").alias("h"), F.col("node").alias("other"), F.col("label").alias("other_label"))).alias("d"))
             pairs = open_.join(drawn.select("band", "bin", "d.other", "d.other_label"), ["band", "bin"]).where("label <> other_label")
             pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-            likely = materialise(_likely(pairs, known, threshold), "likely")
-        new = materialise(_confirmed(likely, sets, percent), "links")
+            new = materialise(_confirmed(materialise(_likely(pairs, known, threshold), "likely"), sets, percent), "links")
         links = new if links is None else links.unionAll(new)
         labels = materialise(nodes.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     rows = made.select("doc_id", "n_shingles", "key")
@@ -222,8 +226,35 @@ def _by_size(members: DataFrame, threshold: float) -> DataFrame:
     return placed.join(shared, ["band", "bin"])
 
 
+_TILE = ["band", "bin", "i", "j"]
+
+
+def _by_tile(batches):
+    """Tiles of batches that are sorted by their first four columns: the key and the other columns, as lists."""
+    key, held = None, None
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        tiles = list(zip(*columns[:4], strict=True))
+        cuts = [k for k in range(1, len(tiles)) if tiles[k] != tiles[k - 1]]
+        for a, b in zip([0, *cuts], [*cuts, len(tiles)], strict=True):
+            if a == b:
+                continue
+            part = [c[a:b] for c in columns[4:]]
+            if tiles[a] == key:
+                held = [h + p for h, p in zip(held, part, strict=True)]
+            else:
+                if held:
+                    yield key, held
+                key, held = tiles[a], part
+    if held:
+        yield key, held
+
+
 def _tiles(open_: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (a, b) of members with different labels, less those both in the main component, compared tile by tile."""
+    """band, bin, i, j, node, label, others: members of a tile in likely pairs with different labels, less pairs inside the main component.
+
+    A pair is listed once, in ``others`` of one of its members.
+    """
     blocks = lambda n: F.ceil(F.col(n) / TILE)
     main = F.col("label") == F.col("main")
     hashed = F.xxhash64("node", F.lit(99))
@@ -232,14 +263,13 @@ def _tiles(open_: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     rows = open_.withColumn("block", block.cast("long")).withColumn("other", F.explode(met))
     rows = rows.select("band", "bin", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "at", "block", "node", "label")
     rows = rows.join(classes, "node")
-    keys = ["band", "bin", "i", "j"]
     least = threshold - margin(threshold, FINE, 1 / 256)
-    rows = rows.select(*keys, "at", "block", "node", "label", "n_shingles", "fine").repartition(*keys).sortWithinPartitions(*keys)
+    rows = rows.select(*_TILE, "at", "block", "node", "label", "n_shingles", "fine").repartition(*_TILE).sortWithinPartitions(*_TILE)
 
     def compare(at, bin_, block, node, label, size, fine):
-        """Pairs of a tile: all within one block, or those across two. A pair is left to the first band and the smaller bin that it shares."""
+        """Partners by row of a tile: all within one block, or those across two. A pair is left to the first band and the smaller bin that it shares."""
         digests, fine = np.ascontiguousarray(fine[:, FINE:]).view("<u4")[:, :at], fine[:, :FINE]
-        found, one = [], block.min() == block.max()
+        found, one = {}, block.min() == block.max()
         bins = np.floor(np.log(size) / -np.log(threshold) + 1e-9).astype(np.int64)
         left = np.arange(len(node)) if one else np.flatnonzero(block == block.min())
         right = left if one else np.flatnonzero(block == block.max())
@@ -251,40 +281,53 @@ def _tiles(open_: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
             agree = (fine[y] == fine[x]).mean(axis=1)
             y = y[(agree - 1 / 256) / (1 - 1 / 256) >= least]
             y = y[~(digests[y] == digests[x]).any(axis=1)]
-            found += [(min(node[x], node[k]), max(node[x], node[k])) for k in y]
+            if len(y):
+                found[int(x)] = y
         return found
 
     def run(batches):
-        held = None
-
-        def flush(key, rows):
-            if len(rows[0]) < 2:
-                return
-            at, block, node, label, size = (np.array(c, np.int64) for c in rows[:5])
-            pairs = compare(int(at[0]), key[1], block, node, label, size.astype(float), np.frombuffer(b"".join(rows[5]), np.uint8).reshape(len(node), -1))
-            if pairs:
-                a, b = zip(*pairs, strict=True)
+        for key, held in _by_tile(batches):
+            if len(held[0]) < 2:
+                continue
+            at, block, node, label, size = (np.array(c, np.int64) for c in held[:5])
+            found = compare(int(at[0]), key[1], block, node, label, size.astype(float), np.frombuffer(b"".join(held[5]), np.uint8).reshape(len(node), -1))
+            if found:
+                listed = np.unique(np.concatenate([np.array(list(found)), *found.values()]))
+                others = [node[found[x]] if x in found else [] for x in listed.tolist()]
+                keys = [pa.array([k] * len(listed), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(node[listed]), pa.array(label[listed]), pa.array(others, pa.list_(pa.int64()))], [*_TILE, "node", "label", "others"])
+
+    return rows.mapInArrow(run, "band long, bin int, i long, j long, node long, label long, others array<long>")
+
+
+def _links_of_tiles(listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed pairs (a, b) that connect what the labels and the tile's earlier pairs do not connect: fewer than a tile's members."""
+
+    def run(batches):
+        for _, (node, label, others, found) in _by_tile(batches):
+            full = {n: np.frombuffer(f, np.uint64) for n, f in zip(node, found, strict=True)}
+            of, up = dict(zip(node, label, strict=True)), {x: x for x in label}
+
+            def top(n, of=of, up=up):
+                x = of[n]
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            links = []
+            for a, partners in zip(node, others, strict=True):
+                for b in partners:
+                    x, y = top(a), top(b)
+                    if x != y and _alike(full[a], full[b], percent):
+                        up[max(x, y)] = min(x, y)
+                        links.append((min(a, b), max(a, b)))
+            if links:
+                a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        key = None
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            tiles = list(zip(*columns[:4], strict=True))
-            cuts = [k for k in range(1, len(tiles)) if tiles[k] != tiles[k - 1]]
-            for a, b in zip([0, *cuts], [*cuts, len(tiles)], strict=True):
-                if a == b:
-                    continue
-                part = [c[a:b] for c in columns[4:]]
-                if tiles[a] == key:
-                    held = [h + p for h, p in zip(held, part, strict=True)]
-                else:
-                    if held:
-                        yield from flush(key, held)
-                    key, held = tiles[a], part
-        if held:
-            yield from flush(key, held)
-
-    return rows.mapInArrow(run, "a long, b long")
+    rows = listed.join(sets.select("node", "found"), "node").select(*_TILE, "node", "label", "others", "found")
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(run, "a long, b long")
 
 
 def _of_class(sets: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -78,3 +78,39 @@ def test_quality_judges_rows_without_id_and_of_repeated_ids_one_by_one(spark):
     kept = [(r["doc_id"], r["text"]) for r in quality.good_documents(docs, labels).collect()]
     assert (None, odd[0][1]) in kept and (100, odd[4][1]) in kept and (3, good[3][1]) in kept
     assert all((r[0], r[1]) not in kept for r in (odd[1], odd[2], odd[3]))
+
+
+def test_rows_of_a_group_below_the_threshold_follow_its_size_not_its_pairs(spark, monkeypatch):
+    draw, n = random.Random(4), 300
+    base = [f"b{j}" for j in range(1000)]
+    texts = []
+    for k in range(n):
+        words = list(base)
+        for j in draw.sample(range(1000), 15):
+            words[j] = f"{k}x{j}"
+        texts.append(words)
+    sets = [{tuple(w[j : j + 3]) for j in range(998)} for w in texts]
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (2 * 998 - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    sizes, write = {}, neardup.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", counted)
+    got = neardup.near_duplicates(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string"), 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {k: root(k) for k in range(n)}
+    assert sizes["likely"][-1] < n * (n - 1) / 4 and sizes["links"][-1] < n
