@@ -167,3 +167,23 @@ def test_job_leaves_everything_to_read_back(spark):
     loaded = TR.load("recovery", f"{root}/time")
     again = TR.raw_score(loaded.trees, scored.drop("raw"))
     assert again.select("invoice_id", "raw").exceptAll(scored.select("invoice_id", "raw")).isEmpty()
+
+
+def test_a_part_of_the_job_runs_alone(spark, monkeypatch):
+    """Text vectors need no trees, and one model none of the others."""
+    from types import SimpleNamespace
+
+    from duewise.queries import models as Q
+
+    rows = table(spark).withColumns({"merchant_id": F.lit(1), "due_date": F.col("issue_date")})
+    x = SimpleNamespace(spark=spark, sf_dir=new_path(spark, "own"))
+    fitted, fit = [], TR.fit_trees
+    monkeypatch.setattr(TR, "ROUNDS", 4)
+    monkeypatch.setattr(TR, "fit_trees", lambda *a, **k: fitted.append(a[1]) or fit(*a, **k))
+    monkeypatch.setattr(Q, "corpus", lambda x: spark.createDataFrame([("paid late",), ("late",)], "case_text STRING"))
+    monkeypatch.setattr(Q, "labelled_table", lambda x, name: rows)
+    assert Q.text_model(x) is not None and fitted == []
+    _, scored = Q.trained(x, "recovery")
+    assert fitted == ["recovery_label"] and scored.count() == 900
+    assert {r.by for r in Q.saved(x, "metrics", [("recovery", "time")]).collect()} == {"time"} and len(fitted) == 1
+    assert Q.saved(x, "rounds", Q.MODELS[:2]).count() == 2 and len(fitted) == 2
