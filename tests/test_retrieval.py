@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from duewise import params as P
 from duewise.operators import retrieval as R
@@ -206,3 +207,10 @@ def test_closest_amounts_read_no_more_in_a_larger_pool(spark):
         asked = spark.range(20).selectExpr("id AS query_id", "concat('p', id % 2) AS pool", "ln(150 + id) AS q_log_amount", "cast(null AS long) AS exclude_id")
         read = R.amounts_around(asked, R._amount_values(cases, 6), 6).groupBy("query_id").count()
         assert read.count() == 20 and read.where("count > 36").count() == 0
+
+
+def test_cases_are_not_copied_for_every_few_queries(spark):
+    """A pool of one small shard meets few blocks of many queries, so that copies of its cases stay in proportion; several shards keep short blocks."""
+    pools = spark.createDataFrame([(25_000, 1), (65_536, 1), (200_000, 4), (0, 1), (1, 1)], "n LONG, n_blocks INT")
+    got = [r[0] for r in pools.select(R.block_queries(F.col("n"), F.col("n_blocks"), R.QUERY_BLOCK, R.CASE_BLOCK).cast("long")).collect()]
+    assert got == [10_737, 4_096, 512, 16_384, 16_384]
