@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duewise.session import materialise, new_path, prepare
+from duewise.session import give_back, materialise, new_path, prepare
 
 __all__ = ["WORD", "WORD_SQL", "give_back", "materialise", "new_path", "prepare", "read_table", "utf8", "word_array"]
 
@@ -31,10 +28,3 @@ def word_array(text: Column) -> Column:
 def utf8(text: str) -> bytes:
     """UTF-8 bytes; a lone surrogate, which no valid file holds, becomes a question mark."""
     return text.encode("utf-8", "replace")
-
-
-def give_back() -> None:
-    """Return a Python worker's freed memory to the machine; workers are reused by later stages."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-        ctypes.CDLL(None).malloc_trim(0)

@@ -3,7 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +217,23 @@ def test_cases_are_not_copied_for_every_few_queries(spark):
     pools = spark.createDataFrame([(25_000, 1), (65_536, 1), (200_000, 4), (0, 1), (1, 1)], "n LONG, n_blocks INT")
     got = [r[0] for r in pools.select(R.block_queries(F.col("n"), F.col("n_blocks"), R.QUERY_BLOCK, R.CASE_BLOCK).cast("long")).collect()]
     assert got == [10_737, 4_096, 512, 16_384, 16_384]
+
+
+def test_an_index_is_built_from_some_tokens_at_a_time(monkeypatch):
+    """Beside the tokens, memory follows the postings that are asked for; the index does not depend on the pieces."""
+    rng = np.random.default_rng(5)
+    cases = pd.Series([rng.integers(0, 100_000, n) for n in [0, 30_000, *rng.integers(0, 1000, 4000), 0]])
+    terms = np.arange(0, 100_000, 1000)
+    tracemalloc.start()
+    index = R.PostingBlocks(cases, terms)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(map(len, cases))  # less than one more copy of the tokens
+    monkeypatch.setattr(R, "TOKENS_AT_ONCE", 1 << 60)
+    whole = R.PostingBlocks(cases, terms)
+    for name in ("case", "term", "tf", "starts", "order", "common", "lengths"):
+        assert np.array_equal(getattr(index, name), getattr(whole, name)), name
+    owner = np.repeat(np.arange(len(cases)), cases.map(len))
+    flat = np.concatenate(cases.to_list())
+    asked = np.isin(flat, terms)
+    assert index.tf.sum() == asked.sum() and len(index.tf) == len(set(zip(owner[asked].tolist(), flat[asked].tolist())))
