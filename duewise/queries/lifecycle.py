@@ -105,22 +105,28 @@ def _context(source):
     return context_columns(account_events_from(source)).withColumn("event_time", F.col("occurred_at").cast("timestamp"))
 
 
-def _closed_stream(x):
-    """The events, and one of another account long after them, so that the watermark passes them all."""
+def _closable_stream(x):
+    """The events, and a function that adds one of another account long after them, so that the watermark passes them all.
+
+    It is called when all events are read: files come some at a time, and what comes after the last event is late.
+    """
     raw = x.raw("events")
     last = raw.agg(F.max("ts").alias("ts")).select(F.col("ts") + F.make_dt_interval(F.lit(100)))
     path = new_path(x.spark, "closing")
     known = {"ts": F.col("ts"), "user_id": F.lit(-1)}
     closing = last.toDF("ts").select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in raw.schema])
-    closing.write.parquet(path)
-    return _stream(x).unionByName(_context(ST.read_stream(x.spark, path, raw.schema)))
+    x.spark.createDataFrame([], raw.schema).write.parquet(path)
+    return _stream(x).unionByName(_context(ST.read_stream(x.spark, path, raw.schema))), lambda: closing.write.mode("append").parquet(path)
 
 
 @query("O162_state_stream", _replay_sql)
 def state_stream(x):
-    done = ST.stream_transitions(_closed_stream(x).withWatermark("event_time", "31 days"))
-    out = new_path(x.spark, "transitions")
-    ST.run_to_end(done.writeStream.format("parquet").option("path", out), new_path(x.spark, "checkpoint"))
+    stream, close = _closable_stream(x)
+    done = ST.stream_transitions(stream.withWatermark("event_time", "31 days"))
+    out, checkpoint = new_path(x.spark, "transitions"), new_path(x.spark, "checkpoint")
+    ST.run_to_end(done.writeStream.format("parquet").option("path", out), checkpoint)
+    close()
+    ST.run_to_end(done.writeStream.format("parquet").option("path", out), checkpoint)
     return x.spark.read.schema(ST.TRANSITION).parquet(out).filter("event_id IS NOT NULL").select(*_replay_cols)
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -38,56 +37,57 @@ WAITING = "event_id BIGINT, micros BIGINT, rests BOOLEAN, state_after_promise ST
 def promise_memory() -> StatefulProcessor:
     """The processor, as a local class: it travels by value, so the streaming runner needs no package of ours."""
 
+    row = Row("event_id", "invoice_id", "next_state", "state_transition_path")
+
     class PromiseMemory(StatefulProcessor):
         """Releases an account's events in (time, id) order, remembers whether it rests in a promise, and wakes it for review.
 
         Events wait in a list until the watermark is past them, when no earlier one can come; one timer an account says when that
-        is, or when a quiet account is due. Both possible outcomes of an event arrive as columns; only which one holds is decided.
+        is, or when a quiet account is due. The first waiting time and the timer are remembered beside the list, so new events are
+        appended without reading those that wait. Both possible outcomes of an event arrive as columns; only which one holds is decided.
         """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.waiting = handle.getListState("waiting", WAITING)
-            self.memory = handle.getValueState("memory", "rests BOOLEAN, review BIGINT")
+            self.memory = handle.getValueState("memory", "rests BOOLEAN, review BIGINT, first BIGINT, timer BIGINT")
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
             names = ["event_id", "event_micros", *[x.split()[0] for x in WAITING.split(", ")[2:]]]
-            for frame in rows:
-                held = [(None if e is None else int(e), int(at), bool(rests), *texts) for e, at, rests, *texts in frame[names].itertuples(index=False)]
-                self.waiting.appendList(held)
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.wake(min(r[1] for r in self.waiting.get()), self.remembered()[1])
+            held = [tuple(r[n] for n in names) for r in rows]
+            self.waiting.appendList(held)
+            rests, review, first, timer = self.memory.get() or (False, None, None, None)
+            self.remember(rests, review, min(r[1] for r in [*held, (None, first)] if r[1] is not None), timer)
             yield from ()
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             now = timerValues.getCurrentWatermarkInMs() * 1000
-            held = list(self.waiting.get()) if self.waiting.exists() else []
-            rests, review = self.remembered()
-            out = []
+            rests, review, first, _ = self.memory.get()
+            held = [] if first is None else list(self.waiting.get())
             for r in sorted((r for r in held if r[1] < now), key=lambda r: (r[1], r[0] is None, r[0])):
                 if review is not None and review < r[1]:
-                    out.append((None, key[0], None, "review.timeout"))
+                    yield row(None, key[0], None, "review.timeout")
                 state, path = (r[3], r[4]) if rests else (r[5], r[6])
-                out.append((r[0], key[0], state, path))
+                yield row(r[0], key[0], state, path)
                 rests, review = bool(r[2]), r[1] + REVIEW_MICROS if state in REVIEW_STATES else None
             if review is not None and review < now:
-                out.append((None, key[0], None, "review.timeout"))
+                yield row(None, key[0], None, "review.timeout")
                 review = None
             later = [r for r in held if r[1] >= now]
-            self.waiting.put(later) if later else self.waiting.clear()
-            self.memory.update((rests, review))
-            self.wake(min((r[1] for r in later), default=None), review)
-            if out:
-                yield pd.DataFrame(out, columns=["event_id", "invoice_id", "next_state", "state_transition_path"]).astype({"event_id": "Int64"})
-
-        def remembered(self):
-            return tuple(self.memory.get()) if self.memory.exists() else (False, None)
-
-        def wake(self, first, review) -> None:
-            due = [x for x in (first, review) if x is not None]
-            if due:
-                self.handle.registerTimer(int(min(due)) // 1000 + 1)
+            if len(later) < len(held):
+                self.waiting.put(later) if later else self.waiting.clear()
+            self.remember(rests, review, min((r[1] for r in later), default=None), None)
+
+        def remember(self, rests, review, first, timer) -> None:
+            """``timer`` is set now; one that has expired is gone already."""
+            due = min((x for x in (first, review) if x is not None), default=None)
+            due = None if due is None else due // 1000 + 1
+            if due != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if due is not None:
+                    self.handle.registerTimer(due)
+            self.memory.update((rests, review, first, due))
 
         def close(self) -> None:
             pass
@@ -103,11 +103,10 @@ def stream_transitions(events: DataFrame) -> DataFrame:
     spans.
     """
     rows = events.select(
-        F.col("event_id").cast("string").alias("event_id"),  # pandas would make floats of longs beside a null
-        "invoice_id", F.unix_micros("event_time").alias("event_micros"), "event_time",
+        F.col("event_id").cast("long").alias("event_id"), "invoice_id", F.unix_micros("event_time").alias("event_micros"), "event_time",
         F.coalesce(rests_in_promise(), F.lit(False)).alias("rests"), *_outcome("after_promise", True), *_outcome("otherwise", False),
     )
-    return rows.groupBy("invoice_id").transformWithStateInPandas(
+    return rows.groupBy("invoice_id").transformWithState(
         statefulProcessor=promise_memory(), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime",
     )
 

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from duewise import params as P
@@ -229,3 +231,53 @@ def test_scans(spark):
         "invoice_id BIGINT, amount DECIMAL(12,2), payment_date DATE")
     broken = EV.broken_promises(promises, payments, ntz("2026-08-27 12:00:00")).collect()
     assert sorted(r.payload["promise_id"] for r in broken) == ["1", "5"]
+
+
+def test_new_events_are_appended_without_reading_the_waiting_ones():
+    """What an account costs in a batch follows its new events, not those that wait; one timer stands at the first of them."""
+
+    class Handle:
+        def __init__(self):
+            self.rows, self.value, self.timers, self.reads = [], None, set(), 0
+
+        def getListState(self, name, schema):
+            return SimpleNamespace(appendList=self.rows.extend, get=self.read, put=lambda rows: self.rows.__setitem__(slice(None), rows), clear=self.rows.clear, exists=lambda: bool(self.rows))
+
+        def getValueState(self, name, schema):
+            return SimpleNamespace(get=lambda: self.value, update=lambda v: setattr(self, "value", v), exists=lambda: self.value is not None)
+
+        def read(self):
+            self.reads += 1
+            return list(self.rows)
+
+        registerTimer = lambda self, at: self.timers.add(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+        listTimers = lambda self: list(self.timers)
+
+    handle, memory = Handle(), ST.promise_memory()
+    memory.init(handle)
+    event = lambda id_, at: Row(event_id=id_, event_micros=at, rests=False, state_after_promise="kept", path_after_promise="kept", state_otherwise="closed_paid", path_otherwise="closed_paid")
+    for at in (9_000_000, 5_000_000, 7_000_000):
+        assert list(memory.handleInputRows((1,), iter([event(at, at)]), None)) == []
+    assert handle.reads == 0 and handle.timers == {5001} and len(handle.rows) == 3
+    handle.timers.clear()  # it expires
+    done = list(memory.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 8000), None))
+    assert [r.event_id for r in done] == [5_000_000, 7_000_000] and handle.timers == {9001} and len(handle.rows) == 1
+
+
+def test_a_stream_of_many_files_loses_no_event(spark):
+    """More files than two batches read: the event that closes the stream comes after all of them."""
+    from duewise.queries import lifecycle as L
+    from duewise.queries.registry import Inputs
+
+    root = new_path(spark, "many-files")
+    kind = F.element_at(F.array(*map(F.lit, ("signup", "purchase", "error", "click", "view"))), (F.col("id") % 5 + 1).cast("int"))
+    rows = spark.range(60).select(
+        F.col("id").alias("event_id"), (F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 7200)).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 4).alias("user_id"), kind.alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"),
+    )
+    rows.repartition(20, "event_id").sortWithinPartitions("event_id").write.option("maxRecordsPerFile", 2).parquet(f"{root}/events.parquet")
+    assert len(spark.read.parquet(f"{root}/events.parquet").inputFiles()) > 16
+    got = {r.event_id: r for r in L.state_stream(Inputs(spark, root)).collect()}
+    want = {r.event_id: r for r in L.state_replay(Inputs(spark, root)).withColumn("state_transition_path", F.array_join("state_transition_path", ",")).collect()}
+    assert len(got) == 60 and got == want
