@@ -187,3 +187,15 @@ def test_a_part_of_the_job_runs_alone(spark, monkeypatch):
     assert fitted == ["recovery_label"] and scored.count() == 900
     assert {r.by for r in Q.saved(x, "metrics", [("recovery", "time")]).collect()} == {"time"} and len(fitted) == 1
     assert Q.saved(x, "rounds", Q.MODELS[:2]).count() == 2 and len(fitted) == 2
+
+
+def test_text_vectors_compute_the_corpus_once(spark, monkeypatch):
+    """The model is fitted on the corpus that it gives vectors of."""
+    from types import SimpleNamespace
+
+    from duewise.queries import models as Q
+
+    made, rows = [], spark.createDataFrame([(1, "paid late"), (2, "late"), (2, "late"), (3, None)], "invoice_id BIGINT, case_text STRING")
+    monkeypatch.setattr(Q, "corpus", lambda x: made.append(1) or rows)
+    got = Q.vectors(SimpleNamespace(spark=spark, sf_dir=new_path(spark, "own"))).collect()
+    assert sorted((r.invoice_id, r.dims) for r in got) == [(1, 384), (2, 384), (2, 384), (3, 384)] and len(made) == 1
