@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duewise.llm.common import materialise, word_array
+from duewise.llm.common import give_back, materialise, word_array
 from duewise.llm.components import components
 from duewise.llm.shingles import shingle_hashes, shingle_set
 
@@ -117,6 +117,7 @@ def sketches(docs: DataFrame, words: int, with_registers: bool) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_shingles", "key", "registers"])
+        give_back()
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, registers binary")
 
@@ -131,6 +132,7 @@ def shingle_sets(texts: DataFrame, words: int, width: int) -> DataFrame:
             found = [shingle_set(t.as_py() or b"", words) for t in batch.column(1)]
             columns = [pa.array([x.tobytes() for x in found], pa.binary()), pa.array([fine_registers(x, width) for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "found", "fine"])
+        give_back()
 
     return texts.mapInArrow(run, "node long, found binary, fine binary")
 
@@ -148,6 +150,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
             size = {x: cols[x].to_numpy(zero_copy_only=False).astype(float) for x in ("n_a", "n_b")}
             keep = pa.array(estimate(matrix["r_a"], matrix["r_b"], size["n_a"], size["n_b"]) >= least)
             yield pa.RecordBatch.from_arrays([cols["a"].filter(keep), cols["b"].filter(keep)], ["a", "b"])
+        give_back()
 
     least = threshold - margin(threshold, REGISTERS, _COLLISION / (1 << MANTISSA))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -171,6 +174,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(_alike(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+        give_back()
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
@@ -296,6 +300,7 @@ def _tiles(open_: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
                 others = [node[found[x]] if x in found else [] for x in listed.tolist()]
                 keys = [pa.array([k] * len(listed), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(node[listed]), pa.array(label[listed]), pa.array(others, pa.list_(pa.int64()))], [*_TILE, "node", "label", "others"])
+        give_back()
 
     return rows.mapInArrow(run, "band long, bin int, i long, j long, node long, label long, others array<long>")
 
@@ -325,6 +330,7 @@ def _links_of_tiles(listed: DataFrame, sets: DataFrame, percent: int) -> DataFra
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
 
     rows = listed.join(sets.select("node", "found"), "node").select(*_TILE, "node", "label", "others", "found")
     return rows.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(run, "a long, b long")
@@ -337,6 +343,7 @@ def _of_class(sets: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             keep = pa.array([hashlib.blake2b(f.as_py(), digest_size=16).digest() == k for f, k in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(3)], ["node", "found", "fine"])
+        give_back()
 
     return sets.join(wanted, "node").select("node", "found", "fine", "key").mapInArrow(run, "node long, found binary, fine binary").dropDuplicates(["node"])
 

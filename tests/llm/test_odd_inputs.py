@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, clashing columns and empty tables, for every operator and stage."""
 
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,13 @@ def test_stages_keep_columns_and_run_on_odd_and_empty_tables(spark, odd, labels,
             assert out.schema.names == docs.schema.names
             docs.sparkSession.createDataFrame(out.collect(), docs.schema)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+
+
+def test_near_duplicates_give_workers_memory_back(spark, tmp_path, monkeypatch):
+    """Workers are reused by later stages, so the Python of a stage leaves no freed memory behind."""
+    monkeypatch.setattr(neardup, "give_back", lambda at=str(tmp_path): open(f"{at}/{sys._getframe(1).f_code.co_qualname.split('.')[0]}", "w").close())
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"x{i}"])) for i in range(4)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), 3, 80).collect()
+    assert {r.component_id for r in found} == {0}
+    assert {p.name for p in tmp_path.iterdir()} >= {"sketches", "shingle_sets", "_of_class", "_likely", "_confirmed"}
