@@ -199,3 +199,21 @@ def test_text_vectors_compute_the_corpus_once(spark, monkeypatch):
     monkeypatch.setattr(Q, "corpus", lambda x: made.append(1) or rows)
     got = Q.vectors(SimpleNamespace(spark=spark, sf_dir=new_path(spark, "own"))).collect()
     assert sorted((r.invoice_id, r.dims) for r in got) == [(1, 384), (2, 384), (2, 384), (3, 384)] and len(made) == 1
+
+
+def test_boosting_reads_fit_rows_that_lie_together_from_all_partitions(spark, monkeypatch):
+    rows = spark.range(0, 6000, numPartitions=1).select(
+        array_to_vector(F.array((F.col("id") % 17).cast("double"), (F.col("id") % 5).cast("double"))).alias("features"),
+        (F.col("id") % 17 > 8).cast("int").alias("y"), F.when(F.col("id") < 4000, "fit").otherwise("validation").alias("split"),
+    )
+    seen = []
+
+    class Seen(TR.GBTClassifier):
+        def fit(self, df):
+            seen.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+            return super().fit(df)
+
+    monkeypatch.setattr(TR, "GBTClassifier", Seen)
+    trees, losses = TR.fit_trees(rows, "y", rounds=3)
+    assert len(losses) == 3 and trees.getNumTrees >= 1
+    assert all(sum(n) == 4000 and len(n) >= 4 and max(n) <= 2 * 4000 / len(n) for n in seen)
