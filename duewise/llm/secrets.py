@@ -21,13 +21,14 @@ import hashlib
 import json
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duewise.llm.common import give_back
 from duewise.llm.tokens import default_tokenizer
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -188,9 +189,11 @@ def redact(docs: DataFrame, words_path: str | None = None, min_bits: float = MIN
     """All rows and columns, secrets in ``text`` replaced; ``n_chars``, if there is one, follows a changed text."""
     path = words_path or default_tokenizer()
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redacted(t, path, min_bits), na_action="ignore").astype(object)
+    @F.arrow_udf("string")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array((redacted(t.as_py(), path, min_bits) for t in texts), pa.string(), size=len(texts))
+        give_back()
 
     done = docs.withColumn("_clean", clean(F.col("text").cast("string")))
     length = lambda kind: F.when(F.col("_clean").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_clean")).cast(kind)
