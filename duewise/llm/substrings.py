@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duewise.llm.common import materialise
-from duewise.llm.shingles import shingle_hashes, word_hashes
+from duewise.llm.shingles import shingle_hashes, text_hashes
 
 WINDOW = 20
 SEED = 6
@@ -45,11 +45,19 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _hashes_of(texts: pa.Array):
+    return text_hashes(text.as_py() or b"" for text in texts)
+
+
 def seeds(hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all seed-long runs, and for each window the place of its least one (the first, if several)."""
     runs = shingle_hashes(hashes, seed)
-    wide = np.lib.stride_tricks.sliding_window_view(runs, window - seed + 1)
-    return runs, wide.argmin(axis=1) + np.arange(len(wide))
+    least, at, have, wide = runs, np.arange(len(runs)), 1, window - seed + 1
+    while have < wide:  # the least of a stretch from those of two shorter ones, the left one if equal
+        step = min(have, wide - have)
+        right = least[step:] < least[:-step]
+        least, at, have = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step]), have + step
+    return runs, at
 
 
 def _outlines(rows: DataFrame) -> DataFrame:
@@ -75,12 +83,11 @@ def _seeds_of(rows: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, found, held = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes = word_hashes((text.as_py() or b"").split())
+            for doc, hashes in zip(batch.column(0).to_pylist(), _hashes_of(batch.column(1)), strict=True):
                 if len(hashes) < window:
                     continue
                 runs, at = seeds(hashes, window, seed)
-                value, times = np.unique(runs[np.unique(at)], return_counts=True)
+                value, times = np.unique(runs[at[np.diff(at, prepend=-1) > 0]], return_counts=True)
                 found.append(np.repeat(value, np.minimum(times, 2)).view(np.int64))
                 ids.append(np.full(len(found[-1]), doc, np.int64))
                 held += len(found[-1])
@@ -99,11 +106,10 @@ def _seeded(texts: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep, ranges = [], []
-            for text, found in zip(batch.column(2), batch.column(3), strict=True):
-                words = text.as_py().split()
+            for hashes, found in zip(_hashes_of(batch.column(2)), batch.column(3), strict=True):
                 repeated = np.zeros(0, bool)
-                if len(words) >= window:
-                    runs, at = seeds(word_hashes(words), window, seed)
+                if len(hashes) >= window:
+                    runs, at = seeds(hashes, window, seed)
                     repeated = np.isin(runs[at], found.values.to_numpy().view(np.uint64))
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], repeated.view(np.int8), [0]])))
                 keep.append(len(edges) > 0)
@@ -126,9 +132,9 @@ def _edges(seeded: DataFrame, window: int) -> DataFrame:
         names = ["edge", "id", "row", "start"]
         for batch in batches:
             parts, held = [], 0
-            for doc, row, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for doc, row, hashes, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _hashes_of(batch.column(2)), batch.column(3), strict=True):
                 starts = _starts(ranges.values.to_numpy())
-                edges = shingle_hashes(word_hashes(text.as_py().split()), window)[starts].view(np.int64)
+                edges = shingle_hashes(hashes, window)[starts].view(np.int64)
                 parts.append((edges, np.full(len(starts), doc, np.int64), np.full(len(starts), row, np.int64), starts.astype(np.int32)))
                 held += len(starts)
                 if held > ROWS_AT_ONCE:
