@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from duewise.llm import shingles, substrings
+from duewise.llm import quality, shingles, substrings
 from duewise.llm.shingles import text_hashes
 
 
@@ -31,3 +31,27 @@ def test_seeds_are_the_first_least_runs_of_windows():
         runs, at = substrings.seeds(rng.integers(0, 3, n).astype(np.uint64), window, seed)
         wide = np.lib.stride_tricks.sliding_window_view(runs, window - seed + 1)
         assert at.tolist() == (wide.argmin(axis=1) + np.arange(len(wide))).tolist()
+
+
+def test_distinct_runs_and_places_with_crowded_slots(monkeypatch):
+    rng = np.random.default_rng(7)
+    for slots in (2, 20):
+        monkeypatch.setattr(quality, "_SLOTS", slots)
+        monkeypatch.setattr(quality, "_PIECE", 50)
+        pieces = [rng.integers(0, 1 << 48 if i % 3 else 40, 60) for i in range(30)]
+        known = quality.distinct_runs(iter(pieces))
+        assert known.tolist() == sorted({v for piece in pieces for v in piece.tolist()})
+        assert all((known[quality.Places(known).of(piece)] == piece).all() for piece in pieces)
+    assert len(quality.distinct_runs(iter(()))) == 0
+
+
+def test_runs_fold_signs_beyond_the_first_plane():
+    signs = [_sign(c) for c in "a 7€\U0001f600 b"]
+    padded = [1, 1, 1, *signs]
+    want = [sum(s << quality.BITS * (3 - j) for j, s in enumerate(padded[i : i + 4])) for i in range(len(signs))]
+    assert quality.runs(" a\t7€\U0001f600\n\nb ", 4).tolist() == want and len(quality.runs(" \n", 4)) == 0
+
+
+def _sign(char: str) -> int:
+    half = 1 << quality.BITS - 1
+    return ord("0") if char.isdigit() else ord(char) if ord(char) < 2 * half else half + ord(char) % half
