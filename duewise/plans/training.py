@@ -17,7 +17,7 @@ from duewise.functions.expr import clip_probability, rnd
 from duewise.functions.text import tokens
 from duewise.operators import metrics as M
 from duewise.operators.sampling import customer_split, time_split
-from duewise.session import materialise, shared_dir
+from duewise.session import materialise, new_path, shared_dir
 from duewise.sources import sinks
 
 ROUNDS, DEPTH, STEP, PATIENCE = 300, 4, 0.05, 20
@@ -76,6 +76,12 @@ def feature_matrix(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(numeric_inputs(df))
 
 
+def without_helpers(matrix: DataFrame) -> DataFrame:
+    """Without the columns that only make up ``features``, which holds their values."""
+    names = [f"{c}_{part}" for c in P.NUMERIC_FEATURES for part in ("in", "im", "missing")]
+    return matrix.drop(*names, *[f"{c}_ix" for c in matrix.columns])
+
+
 def raw_score(trees: GBTClassificationModel, matrix: DataFrame) -> DataFrame:
     scored = trees.transform(matrix).withColumn("raw", vector_to_array("probability")[1])
     return scored.drop("probability", "rawPrediction", "prediction")
@@ -128,13 +134,13 @@ def fit_trees(
 
 
 def fit_calibrator(scored: DataFrame, label: str, method: str):
-    """Fitted on the calibration slice only. Equal scores enter as one weighted point, at most 10**6 of them."""
+    """Fitted on the calibration slice only. Equal scores enter as one weighted point, at most 10**6 of them, stored as a fit reads them twice."""
     slice_ = scored.filter("split = 'calibration'")
     if method == "isotonic":
         points = slice_.groupBy(rnd(F.col("raw"), SCORE_DIGITS).alias("raw")).agg(
             F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
         )
-        return IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(points)
+        return IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(materialise(points, "points"))
     rows = slice_.select(array_to_vector(F.array("raw")).alias("x"), F.col(label).cast("double").alias("label"))
     return LogisticRegression(
         featuresCol="x", labelCol="label", regParam=1.0 / max(rows.count(), 1), elasticNetParam=0.0, standardization=False,
@@ -155,8 +161,10 @@ def calibrated(trained: Trained, scored: DataFrame) -> DataFrame:
     )
 
 
-def train(name: str, table: DataFrame, rounds: int = ROUNDS, by: str = "time", patience: int = PATIENCE) -> tuple[Trained, DataFrame]:
-    """One model from its labelled table. Also gives the stored, split and raw-scored table."""
+def train(
+    name: str, table: DataFrame, rounds: int = ROUNDS, by: str = "time", patience: int = PATIENCE, path: str | None = None,
+) -> tuple[Trained, DataFrame]:
+    """One model from its labelled table. Also gives the split and raw-scored table, stored at ``path``: rows are scored once."""
     label, date, key, method, extra = MODELS[name]
     split = time_split(table, date, label, key) if by == "time" else customer_split(table)
     stored = materialise(split, f"{name}-split")
@@ -165,7 +173,9 @@ def train(name: str, table: DataFrame, rounds: int = ROUNDS, by: str = "time", p
     matrix = feature_matrix(prepare, stored)
     widest = max((len(v) for s in prepare.stages if isinstance(s, StringIndexerModel) for v in s.labelsArray), default=0)
     trees, losses = fit_trees(matrix, label, rounds, bins=max(64, widest + 1), patience=patience)
-    scored = raw_score(trees, matrix)
+    path = path or new_path(table.sparkSession, f"{name}-scored")
+    raw_score(trees, without_helpers(matrix)).write.mode("overwrite").parquet(path)
+    scored = table.sparkSession.read.parquet(path)
     calibration = scored if by == "time" else scored.withColumn("split", F.when(F.col("split") == "validation", "calibration").otherwise(F.col("split")))
     return Trained(name, prepare, trees, fit_calibrator(calibration, label, method), losses), scored
 
@@ -253,10 +263,8 @@ def models_job(tables: dict[str, DataFrame], root: str, models: list[tuple[str,
     spark = next(iter(tables.values())).sparkSession
     reports, importances, kept_rounds = [], [], []
     for name, by in models:
-        model, scored = train(name, tables[name], rounds, by)
+        model, kept = train(name, tables[name], rounds, by, path=f"{root}/{by}/{name}/scored")
         save(model, f"{root}/{by}")
-        scored.write.mode("overwrite").parquet(f"{root}/{by}/{name}/scored")
-        kept = spark.read.parquet(f"{root}/{by}/{name}/scored")
         reports.append(materialise(experiment_report(model, kept).withColumn("by", F.lit(by)), "report"))
         importances.append(top_importances(model, kept).select(F.lit(name).alias("model"), F.lit(by).alias("by"), "feature", "importance"))
         kept_rounds.append((name, by, model.trees.getNumTrees, [float(v) for v in model.losses]))

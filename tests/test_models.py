@@ -90,6 +90,15 @@ def test_training_round_trip(spark):
     assert TR.score(model, unseen).filter("p IS NULL").isEmpty()
 
 
+def test_rows_are_scored_once_and_stored_without_helper_columns(spark):
+    path = new_path(spark, "scored")
+    model, rows = TR.train("recovery", table(spark, 300), rounds=2, path=path)
+    assert rows.count() == 300 and rows.inputFiles() and all(path in f for f in rows.inputFiles())
+    assert set(rows.columns) == {*table(spark, 1).columns, "split", "features", "raw"}
+    again = TR.raw_score(model.trees, rows.withColumnRenamed("raw", "kept"))
+    assert again.filter("raw <> kept").isEmpty()
+
+
 def test_customer_split_model(spark):
     model, rows = TR.train("recovery", table(spark), rounds=3, by="customer")
     assert {r.split for r in rows.select("split").distinct().collect()} == {"fit", "validation", "test"}
