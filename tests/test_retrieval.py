@@ -237,3 +237,77 @@ def test_an_index_is_built_from_some_tokens_at_a_time(monkeypatch):
     flat = np.concatenate(cases.to_list())
     asked = np.isin(flat, terms)
     assert index.tf.sum() == asked.sum() and len(index.tf) == len(set(zip(owner[asked].tolist(), flat[asked].tolist())))
+
+
+def drawn(rng, n, queries, own):
+    """A shard with equal vectors, texts and amounts, unknown amounts, vectors without direction, and queries; ids are apart."""
+    vectors = rng.normal(size=(n, 6)).astype(np.float32)
+    vectors[rng.integers(0, n, n // 3)] = vectors[0]
+    vectors[rng.integers(0, n, 20)] = 0
+    tokens = [np.concatenate([rng.integers(0, 5, rng.integers(0, 9)), rng.integers(100, 300, 2)]) for _ in range(n)]
+    amounts = np.where(rng.random(n) < 0.5, rng.normal(size=n), rng.integers(0, 9, n) * 0.5)
+    amounts[rng.integers(0, n, 50)] = np.nan
+    c = pd.DataFrame({"doc_id": np.arange(n) * 3, "tokens": tokens, "log_amount": amounts, "vec": list(vectors)})
+    lengths = c["tokens"].map(len)
+    q = pd.DataFrame({
+        "query_id": np.arange(queries) * 30, "pool": "p", "n_blocks": 1, "q_vec": list(rng.normal(size=(queries, 6)).astype(np.float32)),
+        "q_log_amount": rng.integers(0, 9, queries) * 0.5, "exclude_id": [i * 30 if own else None for i in range(queries)],
+        "terms": [np.array([0, 1, 2, 3, 4, *t]) for t in rng.integers(100, 300, (queries, 3))],
+        "weights": [rng.random(8) + np.array([0] * 5 + [3] * 3) for _ in range(queries)], "avgdl": float(lengths.mean()),
+    })
+    q["terms"], q["weights"] = [np.unique(t) for t in q["terms"]], [w[: len(np.unique(t))] for t, w in zip(q["terms"], q["weights"])]
+    q.at[1, "q_vec"], q.loc[2, "q_log_amount"] = np.zeros(6, np.float32), np.nan
+    return q, c
+
+
+def ranks_of_all(q, c):
+    """Every case's ranks by sorting the whole shard."""
+    unit = lambda v: np.divide(v.astype(float), np.linalg.norm(v.astype(float)), where=v.any(), out=np.zeros(len(v)))
+    cosines = np.array([unit(v) for v in c["vec"]]) @ unit(q["q_vec"])
+    norm = P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * c["tokens"].map(len).to_numpy() / q["avgdl"])
+    words = np.zeros(len(c))
+    for t, w in zip(q["terms"], q["weights"]):
+        tf = np.array([(x == t).sum() for x in c["tokens"]])
+        words += w * tf * (P.BM25_K1 + 1) / (tf + norm)
+    ranks = []
+    for scores in (cosines, words, -np.abs(c["log_amount"].to_numpy() - q["q_log_amount"])):
+        order = np.lexsort((c["doc_id"], np.where(np.isnan(scores), np.inf, -np.round(scores, 9))))
+        order = order[c["doc_id"].to_numpy()[order] != q["exclude_id"]]
+        ranks.append({int(c["doc_id"].iat[i]): n for n, i in enumerate(order, 1)})
+    return ranks
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_a_pool_of_one_shard_leaves_only_winners_with_exact_ranks(monkeypatch, own):
+    """No rank is left to a second pass, whatever ties, samples and errors there are on the way."""
+    q, c = drawn(np.random.default_rng(7), 6_000, 6, own)
+    monkeypatch.setattr(R, "SAMPLE", 300, raising=False)
+    found = R._best_of_shard(R.LISTS, 5)(q, c.sample(frac=1.0, random_state=1))
+    assert not found[["r_vector", "r_bm25", "r_amount"]].isna().any().any()
+    assert len(found) == 5 * len(q)
+    for _, row in q.iterrows():
+        ranks = ranks_of_all(row, c)
+        fused = {i: sum(1.0 / (P.RRF_K + r[i]) for r in ranks) for i in ranks[0]}
+        want = sorted(fused, key=lambda i: (-round(fused[i], 12), i))[:5]
+        got = found[found["query_id"] == row["query_id"]]
+        assert {int(r.doc_id): (r.r_vector, r.r_bm25, r.r_amount) for r in got.itertuples()} == {i: tuple(r[i] for r in ranks) for i in want}
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_better_cases_of_a_shard_are_counted(own):
+    q, c = drawn(np.random.default_rng(8), 3_000, 4, own)
+    rng, pairs = np.random.default_rng(9), []
+    for _, row in q.iterrows():
+        ranks, some = ranks_of_all(row, c), [int(i) for i in rng.choice(c["doc_id"], 40, replace=False) if i != row["exclude_id"]]
+        pairs.append([(i, [r[i] for r in ranks]) for i in some])
+    shard = R.Shard(R.LISTS, q, c)
+    for rows in shard.batches:
+        shard.score(rows)
+        at = np.repeat(np.arange(len(rows)), [len(pairs[i]) for i in rows])
+        places = np.array([i // 3 for n in rows for i, _ in pairs[n]])
+        want = np.array([r for n in rows for _, r in pairs[n]])
+        for n, name in enumerate(R.LISTS):
+            scores = shard.scores[name]
+            assert (scores.ahead(at, scores.exact(at, places), places) + 1).tolist() == want[:, n].tolist(), name
+            if name != "bm25":
+                assert (scores.ahead_at_least(at, places) < want[:, n]).all()
