@@ -311,3 +311,22 @@ def test_better_cases_of_a_shard_are_counted(own):
             assert (scores.ahead(at, scores.exact(at, places), places) + 1).tolist() == want[:, n].tolist(), name
             if name != "bm25":
                 assert (scores.ahead_at_least(at, places) < want[:, n]).all()
+
+
+def test_a_task_with_a_whole_pool_weighs_terms_itself(spark, monkeypatch):
+    """Terms of queries over pools of one shard meet no table; weights equal those that tables give."""
+    rng = random.Random(23)
+    corpus, asked = [make(rng, i, hot=1.0) for i in range(200)], [make(rng, 10_000 + i, hot=1.0) for i in range(6)]
+    left, write = {}, R.materialise
+    monkeypatch.setattr(R, "materialise", lambda df, name: left.setdefault(name, write(df, name)))
+    check(spark, asked, corpus, 5)
+    assert left["weighed"].where("terms IS NOT NULL").count() == 0
+    cases = left["cases"].selectExpr("explode(pools) AS pool", "*")
+    want = {r.query_id: r for r in R.bm25_query_weights(left["asked"], cases, False).collect()}
+    for (pool_,), q in left["weighed"].toPandas().groupby(["pool"]):
+        c = cases.where(F.col("pool") == pool_).toPandas()
+        index, words, weights, means = R._index(q, c)
+        terms = np.unique(np.concatenate(q["q_tokens"].to_list()))
+        for key, w, weight, mean in zip(q["query_id"], words, weights, means, strict=True):
+            table = dict(zip(want[key].terms, want[key].weights))
+            assert table == pytest.approx(dict(zip(terms[w].tolist(), weight.tolist()))) and mean == pytest.approx(want[key].avgdl)
